@@ -23,8 +23,8 @@ WALK = WalkForward(
 # history is a candidate, and signals trade the models named here.
 SETTINGS = Settings(
     quality=QualityParams(period=DATA, min_history_days=60, max_missing_fraction=0.5),
-    universe=UniverseParams(period=DATA, min_adjusted_close_price=30.0,
-                            min_average_daily_dollar_volume=60_000.0,
+    universe=UniverseParams(period=DATA, min_adjusted_close_price=1.0,
+                            min_average_daily_dollar_volume=1_000.0,
                             max_missing_data_ratio=0.98, min_history_days=60),
     pairs=PairParams(formation=FORMATION, min_return_correlation=-0.05, fdr_alpha=0.05,
                      half_life_min_days=0.05, half_life_max_days=60, top_n_pairs=8,
@@ -34,20 +34,21 @@ SETTINGS = Settings(
                            spread_volatility_windows=(20,), correlation_windows=(20,),
                            momentum_windows=(5,), volatility_regime_window=20,
                            market_proxy=driver.MARKET),
-    forecasts=ForecastParams(rolling_window=20),
-    signals=SignalParams(entry_z=1.5, exit_z=0.5, stop_loss_z=3.0, max_holding_days=5, z_score_window=20),
+    forecasts=ForecastParams(rolling_window=10),
+    signals=SignalParams(entry_z=0.5, exit_z=0.25, stop_loss_z=2.5, max_holding_days=5, z_score_window=60),
     backtest=BacktestParams(max_active_pairs=3, borrow_cost_bps=25.0),
     analytics=AnalyticsParams(risk_free_rate=0.01),
     robustness=RobustnessParams(
-        entry_z_values=(0.75, 1.5), commission_bps_values=(0.0, 5.0), zscore_window_values=(20,),
-        signal_model_values=("naive", "best_validation"), max_scenarios=10),
+        entry_z_values=(0.5, 1.5), exit_z_values=(0.25,), stop_loss_z_values=(2.5,),
+        commission_bps_values=(0.0, 5.0), zscore_window_values=(60,),
+        signal_model_values=("naive", "best_validation", "rolling_mean"), max_scenarios=10),
     regimes=RegimeParams(
         market_proxy=driver.MARKET, walk=WALK, volatility_window=20, volatility_min_periods=20,
         trend_window=60, trend_min_periods=60, minimum_observations=10,
         special_periods=(("Spring 1999", Period("1999-03-01", "1999-05-31")),
                          ("year-2000 close", Period("2000-10-01", "2000-12-31")),
                          ("final_holdout", Period("2001-01-01", "2001-12-31")))),
-    traded=("naive", "arima"),
+    traded=("naive", "rolling_mean"),
 )
 
 _RUNS: dict = {}

@@ -185,27 +185,26 @@ def ar1_fit(n: pd.Series, q: pd.Series, lag: pd.Series, first: pd.Series,
 
     Inputs are sums over the mean-centred series: squares ``q``, lagged products
     ``lag``, and the first and last value. Mean and variance drop out in closed
-    form, which leaves a one-dimensional search over phi.
+    form, which leaves one likelihood equation in phi, solved by bisection.
     """
     n, q, lag, a, b = (np.asarray(v, float) for v in (n, q, lag, first, last))
 
     def mean(phi):
         return phi * (a + b) / ((1 + phi) + (n - 1) * (1 - phi))
 
-    def loss(phi):
-        mu, drift = mean(phi), phi * b - a
-        squares = (
-            (1 - phi ** 2) * (a - mu) ** 2
-            + (q - a ** 2) - 2 * phi * lag + phi ** 2 * (q - b ** 2)
-            - 2 * (1 - phi) * mu * drift + (n - 1) * (1 - phi) ** 2 * mu ** 2
-        )
-        return n * np.log(np.maximum(squares, 1e-300) / n) - np.log1p(-phi ** 2)
-
-    lo, hi = np.full(len(n), -0.999999), np.full(len(n), 0.999999)
-    golden = (math.sqrt(5) - 1) / 2
-    for _ in range(80):
-        left, right = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        keep_left = loss(left) < loss(right)
-        lo, hi = np.where(keep_left, lo, left), np.where(keep_left, right, hi)
+    def slope(phi):
+        mu = mean(phi)
+        cross = lag + mu * (a + b) + (n - 1) * mu ** 2
+        early = q - b ** 2 + 2 * mu * b + (n - 1) * mu ** 2
+        late = q - a ** 2 + 2 * mu * a + (n - 1) * mu ** 2
+        squares = (1 - phi ** 2) * (a - mu) ** 2 + late - 2 * phi * cross + phi ** 2 * early
+        change = 2 * (phi * (early - (a - mu) ** 2) - cross)
+        return n * change / np.maximum(squares, 1e-300) + 2 * phi / (1 - phi ** 2)
+
+    lo, hi = np.full(len(n), -1 + 1e-9), np.full(len(n), 1 - 1e-9)
+    for _ in range(64):
+        middle = (lo + hi) / 2
+        falling = slope(middle) < 0
+        lo, hi = np.where(falling, middle, lo), np.where(falling, hi, middle)
     phi = (lo + hi) / 2
     return pd.DataFrame({"phi": phi, "mu": mean(phi)})
