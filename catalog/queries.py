@@ -431,9 +431,7 @@ add("b05_simulation_calendar", lambda r, s, sf: r.backtest.calendar, "date:d", "
 
 
 def _admitted(r):
-    bt = r.backtest
-    px = B.pair_prices(r.selected, r.prices, r.spreads, DATA, unique=True)
-    return B.admit(B.priced_events(bt.prepared, px), BT)
+    return B.admit(B.priced_events(r.backtest.prepared, r.leg_prices), BT)
 
 
 add("b06_admitted_trades", lambda r, s, sf: _admitted(r),

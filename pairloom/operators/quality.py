@@ -35,7 +35,7 @@ def validation_report(raw: DataFrame, p: QualityParams) -> DataFrame:
     ticker with very many rows is already one row per day when it is summed up.
     Columns the source lacks are known from its schema, before any data is read.
     """
-    bars = in_period(normalize_bars(raw), p)
+    bars = normalize_bars(raw)
     have = set(bars.columns)
     lost = [c for c in p.required_columns if c not in have]
     lost_ohlcv = [c for c in lost if c in OHLCV]
@@ -52,24 +52,27 @@ def validation_report(raw: DataFrame, p: QualityParams) -> DataFrame:
         counted("volume" in have, lambda: F.col("volume") == 0).alias("zv"),
         counted(bool(prices), lowest).alias("np"),
     ]
-    keys = ["ticker", "date"] if "date" in have else ["ticker"]
-    daily = bars.groupBy(*keys).agg(*checks)
     dated = "date" in have
-    per_ticker = daily.groupBy("ticker").agg(
+    if dated:
+        # Rows outside the period share a NULL day: the ticker keeps its row in the
+        # report without a second scan for the list of tickers.
+        inside = F.col("date").between(F.lit(p.period.start), F.lit(p.period.end))
+        bars = bars.withColumn("date", F.when(inside, F.col("date")))
+    daily = bars.groupBy("ticker", *(["date"] if dated else [])).agg(*checks)
+
+    def total(name: str) -> F.Column:
+        value = F.when(F.col("date").isNotNull(), F.col(name)) if dated else F.col(name)
+        return F.coalesce(F.sum(value), F.lit(0).cast("long"))
+
+    repeated = F.when(F.col("date").isNotNull() & (F.col("n") > 1), F.col("n")) if dated else None
+    report = daily.groupBy("ticker").agg(
         (F.count("date") if dated else F.sum("n")).alias("row_count"),
         (F.min("date") if dated else F.lit(None).cast("date")).alias("start_date"),
         (F.max("date") if dated else F.lit(None).cast("date")).alias("end_date"),
-        F.sum("na").alias("missing_adjusted_close"),
-        F.sum("zv").alias("zero_volume_days"),
-        (F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0).cast("long"))
-         if dated else F.lit(0).cast("long")).alias("duplicated_dates"),
-        F.sum("np").alias("non_positive_price_rows"),
-    )
-    # A ticker whose rows all lie outside the period still gets its (empty) row.
-    report = (
-        raw.select("ticker").distinct().join(per_ticker, "ticker", "left")
-        .na.fill(0, ["row_count", "missing_adjusted_close", "zero_volume_days",
-                     "duplicated_dates", "non_positive_price_rows"])
+        total("na").alias("missing_adjusted_close"), total("zv").alias("zero_volume_days"),
+        (F.coalesce(F.sum(repeated), F.lit(0).cast("long")) if dated
+         else F.lit(0).cast("long")).alias("duplicated_dates"),
+        total("np").alias("non_positive_price_rows"),
     )
     expected = count_business_days(p.period.start, p.period.end)
     missing = F.greatest(F.lit(expected) - F.col("row_count"), F.lit(0)).cast("long")

@@ -12,8 +12,11 @@ METRICS = ("has_price_data", "row_count", "expected_observations",
            "zero_volume_days")
 
 
-def tradability(prices: DataFrame, p: UniverseParams) -> DataFrame:
-    """Per-ticker metrics over the period, last source row per day."""
+def tradability(prices: DataFrame, p: UniverseParams, unique: bool = False) -> DataFrame:
+    """Per-ticker metrics over the period, last source row per day.
+
+    ``unique`` says that ``prices`` already has one row per (ticker, date).
+    """
     have = set(prices.columns)
     lacking = [c for c in ("date", "adjusted_close", "volume") if c not in have]
     if lacking:
@@ -26,21 +29,23 @@ def tradability(prices: DataFrame, p: UniverseParams) -> DataFrame:
             F.lit(None).cast("double").alias("missing_exact"),
             F.lit("missing_price_columns:" + ",".join(lacking)).alias("column_reason"),
         )
-    rows = prices.filter(F.col("date").between(F.lit(p.period.start), F.lit(p.period.end)))
+    # Rows outside the period share a NULL day, so a ticker without any row inside
+    # keeps its line and the prices are scanned once.
+    inside = F.col("date").between(F.lit(p.period.start), F.lit(p.period.end))
     order = ["ord"] if "ord" in have else ["adjusted_close", "volume"]
-    rows = rows.select("ticker", "date", "adjusted_close", "volume",
-                       *[c for c in order if c == "ord"])
-    rows = last_row(rows, ["ticker", "date"], order)
+    rows = prices.select(
+        "ticker", F.when(inside, F.col("date")).alias("date"), "adjusted_close", "volume",
+        *[c for c in order if c == "ord"])
+    if not unique:
+        rows = last_row(rows, ["ticker", "date"], order)
+    dated = F.col("date").isNotNull()
     expected = count_business_days(p.period.start, p.period.end)
     metrics = rows.groupBy("ticker").agg(
         F.count("date").alias("row_count"),
-        F.min("adjusted_close").alias("min_adjusted_close"),
-        F.avg(F.col("adjusted_close") * F.col("volume")).alias("average_daily_dollar_volume"),
-        F.count_if(F.col("volume") == 0).alias("zero_volume_days"),
+        F.min(F.when(dated, F.col("adjusted_close"))).alias("min_adjusted_close"),
+        F.avg(F.when(dated, F.col("adjusted_close") * F.col("volume"))).alias("average_daily_dollar_volume"),
+        F.count_if(dated & (F.col("volume") == 0)).alias("zero_volume_days"),
     )
-    # Tickers with a price file but no row in the period still have price data.
-    metrics = prices.select("ticker").distinct().join(metrics, "ticker", "left").na.fill(
-        0, ["row_count", "zero_volume_days"])
     missing = F.greatest(F.lit(expected) - F.col("row_count"), F.lit(0))
     exact = missing / F.lit(float(expected)) if expected else F.lit(0.0)
     return metrics.select(
@@ -56,7 +61,8 @@ def _below(name: str, bound: float):
     return F.col(name).isNull() | (F.col(name) < bound)
 
 
-def universe_audit(constituents: DataFrame, prices: DataFrame, p: UniverseParams) -> DataFrame:
+def universe_audit(constituents: DataFrame, prices: DataFrame, p: UniverseParams,
+                   unique: bool = False) -> DataFrame:
     """Every constituents row with its metrics, warnings and exclusion reasons.
 
     ``constituents`` carries ``row_no`` (its source order, from 0).
@@ -72,7 +78,7 @@ def universe_audit(constituents: DataFrame, prices: DataFrame, p: UniverseParams
     rows = rows.withColumn("nth", F.row_number().over(same))
     usable = (F.col("ticker") != "") & (F.col("nth") == 1)
     looked_up = rows.withColumn("lookup", F.when(usable, F.col("ticker"))).join(
-        tradability(prices, p).withColumnRenamed("ticker", "lookup"), "lookup", "left"
+        tradability(prices, p, unique).withColumnRenamed("ticker", "lookup"), "lookup", "left"
     )
     unpriced = usable & F.col("has_price_data").isNull()
     measured = usable & F.col("has_price_data") & F.col("column_reason").isNull()

@@ -96,7 +96,8 @@ class Research:
 
     @cached_property
     def audit(self) -> DataFrame:
-        return self._stage(U.universe_audit(self.constituents, self.prices, self.settings.universe), "audit")
+        return self._stage(U.universe_audit(
+            self.constituents, self.prices, self.settings.universe, unique=True), "audit")
 
     @property
     def universe(self) -> DataFrame:
@@ -188,11 +189,16 @@ class Research:
     def signals(self) -> DataFrame:
         return self.signals_of(G.single_run(self.traded_models(), self.settings.signals), "signals")
 
+    @cached_property
+    def leg_prices(self) -> DataFrame:
+        """Leg prices of the selected pairs, shared by every backtest of this run."""
+        return self._stage(B.pair_prices(
+            self.selected, self.prices, self.spreads, self.settings.spreads.data, unique=True), "leg_prices")
+
     def run_backtest(self, signals: DataFrame, costs: DataFrame, stage: str) -> Backtest:
         p, period = self.settings.backtest, self.settings.spreads.data
         prepared = self._stage(B.prepare_signals(signals, self.selected, p), f"{stage}/prepared")
-        pairs = prepared.select("pair_id", "ticker_1", "ticker_2").distinct()
-        px = self._stage(B.pair_prices(pairs, self.prices, self.spreads, period, unique=True), f"{stage}/pair_prices")
+        px = self.leg_prices
         calendar = self._stage(B.simulation_calendar(prepared, self.prices, period, self.selected), f"{stage}/calendar")
         ratios = B.hedge_ratios(self.spread_diagnostics, self.spreads, self.selected)
         events = self._stage(B.priced_events(prepared, px), f"{stage}/events")
