@@ -111,8 +111,7 @@ def simulation_calendar(prepared: DataFrame, prices: DataFrame, period: Period,
 def priced_events(prepared: DataFrame, px: DataFrame) -> DataFrame:
     """Entries and exits on days with both prices; the others have no effect."""
     rows = prepared.filter(F.col("signal_action").isin(*ENTER, *LEAVE)).join(
-        px, (prepared["pair_id"] == px["pair_id"]) & (prepared["execution_date"] == px["date"]),
-    ).drop(px["pair_id"]).drop("date")
+        px.withColumnRenamed("date", "execution_date"), ["pair_id", "execution_date"])
     return rows.withColumn("enters", F.col("signal_action").isin(*ENTER))
 
 
