@@ -354,9 +354,22 @@ add("m03_arima_other_order",
     lambda r, s, sf: M.arima_forecast(r.features, replace(FC, arima_order=(2, 1, 1))), PREDICTION)
 add("m04_boosted_trees", lambda r, s, sf: L.boosted_tree_forecast(r.features, replace(FC, trees=20)), PREDICTION)
 add("m05_sequences", lambda r, s, sf: L.sequences(r.features, replace(FC, sequence_length=5)).select(
-    "pair_id", "date", F.col("for_split").alias("split"), "phase", F.size("sequence").alias("length"),
+    "pair_id", "date", F.col("for_split").alias("split"), "phase",
+    F.when(F.col("sequence").isNotNull(), F.size("sequence")).alias("length"),
     F.aggregate("sequence", F.lit(0.0), lambda a, v: a + v).alias("total")),
-    "pair_id date:d split phase:i")
+    "pair_id date:d split phase:i length:i total:4",
+    # Per row the sum of scaled inputs, then the sum of the last five rows.
+    "WITH scale AS MATERIALIZED (SELECT " + ", ".join(
+        f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(["spread"] + FEATURES))
+    + " FROM train), feed AS (SELECT pair_id, date, split, 1 AS phase, * EXCLUDE (pair_id, date, split) FROM eval_rows "
+      "UNION ALL SELECT t.pair_id, t.date, s.split, 0, t.* EXCLUDE (pair_id, date, split) FROM train t "
+      "CROSS JOIN (SELECT unnest(['validation', 'test', 'holdout_2025']) AS split) s), "
+      "totals AS (SELECT pair_id, date, split, phase, " + " + ".join(
+        f"({c} - m{i}) / d{i}" for i, c in enumerate(["spread"] + FEATURES)) + " AS v FROM feed, scale) "
+    "SELECT pair_id, date, split, phase, CASE WHEN count(*) OVER f = 5 THEN %d END AS length, "
+    "CASE WHEN count(*) OVER f = 5 THEN sum(v) OVER f END AS total FROM totals "
+    "WINDOW f AS (PARTITION BY pair_id, split ORDER BY phase, date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+    % (5 * (1 + len(FEATURES))))
 add("m05_sequence_regression",
     lambda r, s, sf: L.sequence_forecast(r.features, replace(FC, sequence_length=3)), PREDICTION)
 INPUTS = ["spread"] + FEATURES

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import finite, ratio
+from ..functions.stats import exact_median
 from ..params import AnalyticsParams
 
 ALL = "all"
@@ -120,7 +121,6 @@ def trade_metrics(trades: DataFrame, keys: tuple = MODEL) -> DataFrame:
         F.count(pnl).alias("number_of_trades"),
         F.avg(F.when(pnl.isNotNull(), F.when(pnl > 0, 1.0).otherwise(0.0))).alias("win_rate"),
         F.avg(pnl).alias("average_trade_pnl"),
-        F.percentile(pnl, F.lit(0.5)).alias("median_trade_pnl"),
         F.avg(held).alias("average_holding_period"),
         wins.alias("gross_profit"), losses.alias("gross_loss"))
     sums = sums.withColumn("profit_factor", F.when(
@@ -128,12 +128,14 @@ def trade_metrics(trades: DataFrame, keys: tuple = MODEL) -> DataFrame:
     ).when(F.col("gross_profit") > 0, F.lit(float("inf"))))
     reason = F.trim("exit_reason") if "exit_reason" in rows.columns else F.lit("")
     counts = rows.groupBy(*keys, "split", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    middle = exact_median(rows.withColumn("pnl", pnl), [*keys, "split"], "pnl", "median_trade_pnl")
     named = counts.filter(F.col("reason") != "").groupBy(*keys, "split").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("reason", "n"))),
             lambda s: F.concat(s["reason"], F.lit(":"), s["n"].cast("string"))), ";")
         .alias("exit_reason_counts"))
-    return sums.join(named, [*keys, "split"], "left").select(
+    on = [*keys, "split"]
+    return sums.join(named, on, "left").join(middle, on, "left").select(
         *keys, "split", "number_of_trades", "win_rate", "average_trade_pnl", "median_trade_pnl",
         "profit_factor", "average_holding_period", "gross_profit", "gross_loss",
         F.coalesce("exit_reason_counts", F.lit("")).alias("exit_reason_counts"))

@@ -8,6 +8,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import number
+from ..functions.stats import exact_median
 from ..params import ForecastParams
 from .forecast import evaluation_rows, prediction_table, training_rows
 
@@ -32,24 +33,25 @@ def fitted_inputs(features: DataFrame, p: ForecastParams) -> DataFrame:
     columns = input_columns(features)
     train = training_rows(features, p).filter(F.col(p.target).isNotNull()).select(
         "for_split", *[number(F.col(c)).alias(c) for c in columns])
-    fill = (lambda c: F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0))) \
-        if p.missing_strategy == "median" else (lambda c: F.lit(0.0))
-    stats = train.groupBy("for_split").agg(*[
-        F.struct(
-            F.count(c).alias("n"), F.count(F.lit(1)).alias("rows"), fill(c).alias("fill"),
-            F.avg(c).alias("avg"), F.var_pop(c).alias("var"),
-        ).alias(c) for c in columns
-    ])
-    long = stats.select("for_split", F.explode(F.create_map(*[
-        x for c in columns for x in (F.lit(c), F.col(c))])).alias("column", "s"))
+    long = train.select("for_split", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns])))
+    keys = ["for_split", "column"]
+    stats = long.groupBy(*keys).agg(
+        F.count("x").alias("n"), F.count(F.lit(1)).alias("rows"),
+        F.avg("x").alias("avg"), F.var_pop("x").alias("var"))
+    if p.missing_strategy == "median":
+        stats = stats.join(exact_median(long, keys, "x", "fill"), keys, "left")
+    else:
+        stats = stats.withColumn("fill", F.lit(0.0))
+    stats = stats.withColumn("fill", F.coalesce("fill", F.lit(0.0)))
     # Filled training rows: mean and variance with the gaps counted at the fill value.
-    share = F.col("s.n") / F.col("s.rows")
-    mean = share * F.coalesce("s.avg", F.lit(0.0)) + (1 - share) * F.col("s.fill")
-    second = share * (F.coalesce("s.var", F.lit(0.0)) + F.pow(F.coalesce("s.avg", F.lit(0.0)), 2)) \
-        + (1 - share) * F.pow(F.col("s.fill"), 2)
-    std = F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))
-    return long.filter("s.n > 0").select(
-        "for_split", "column", F.col("s.fill").alias("fill"), mean.alias("mean"),
+    share, avg = F.col("n") / F.col("rows"), F.coalesce("avg", F.lit(0.0))
+    mean = share * avg + (1 - share) * F.col("fill")
+    spread = share * (F.coalesce("var", F.lit(0.0)) + F.pow(avg - mean, F.lit(2))) \
+        + (1 - share) * F.pow(F.col("fill") - mean, F.lit(2))
+    std = F.sqrt(spread)
+    return stats.filter("n > 0").select(
+        "for_split", "column", "fill", mean.alias("mean"),
         F.when(std > 0, std).otherwise(F.lit(1.0)).alias("std"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows, weekdays
-from pairloom.functions.stats import lagged_design, tau_p_value, unit_root_statistic
+from pairloom.functions.stats import exact_median, lagged_design, tau_p_value, unit_root_statistic
 from pairloom.operators import pairs as P
 from pairloom.operators import spreads as S
 from pairloom.operators.panel import price_panel, price_vectors
@@ -206,3 +206,12 @@ def test_lagged_zscore_uses_rows_before_today(spark):
     assert (out[3]["rolling_mean_lagged"], out[3]["rolling_std_lagged"], out[3]["z_score"]) == (2.0, 1.0, 2.0)
     flat = df.withColumn("spread", F.lit(1.0))
     assert {r["z_score"] for r in rows(S.lagged_zscores(flat, (3,)))} == {None}
+
+
+def test_exact_median_with_hot_values(spark):
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=5001), "b": np.append(np.full(3000, 1.5), rng.normal(size=4000)), "c": [3.0, 1.0]}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("c", None)],
+                               "k string, v double")
+    got = {r["k"]: r["m"] for r in rows(exact_median(df, ["k"], "v", "m", margin=0.01))}
+    assert got == {k: float(np.median(v)) for k, v in groups.items()}

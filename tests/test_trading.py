@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 from dataclasses import replace
 
 import numpy as np
@@ -10,9 +11,11 @@ from conftest import rows, weekdays
 from pairloom.operators import backtest as B
 from pairloom.operators import signals as G
 from pairloom.params import BacktestParams, Period, SignalParams
+from pairloom.session import stage_table
 
 DAYS = weekdays("2021-01-04", 30)
 SP = SignalParams(z_score_window=60)
+COUNTER = itertools.count()
 
 
 def walk(predicted, current, p=SP):
@@ -118,14 +121,17 @@ def run(spark, actions, p1, p2, beta=1.0, pair=("AAA_BBB", "AAA", "BBB"), splits
         [(t, d, v, 1.0) for t, px in (("AAA", p1), ("BBB", p2)) for d, v in zip(DAYS, px) if v is not None],
         "ticker string, date date, adjusted_close double, volume double")
     period = Period(DAYS[0], DAYS[n - 1])
-    prepared = B.prepare_signals(signals, chosen, p).cache()
-    px = B.pair_prices(chosen, prices, spreads, period).cache()
-    calendar = B.simulation_calendar(prepared, prices, period, chosen).cache()
+    name = f"tests/{next(COUNTER)}"
+    stage = lambda df, part: stage_table(df, f"{name}/{part}")
+    prepared = stage(B.prepare_signals(signals, chosen, p), "prepared")
+    px = stage(B.pair_prices(chosen, prices, spreads, period), "px")
+    calendar = stage(B.simulation_calendar(prepared, prices, period, chosen), "calendar")
     ratios = B.hedge_ratios(diag, spreads, chosen)
-    positions = B.size_positions(B.admit(B.priced_events(prepared, px), p), ratios, p).cache()
-    days = B.position_days(positions, px, calendar).cache()
-    valued = B.valued_trades(positions, days).cache()
-    flows, table = B.daily_flows(valued, days).cache(), B.cost_table(spark, p)
+    events = stage(B.priced_events(prepared, px), "events")
+    positions = stage(B.size_positions(B.admit(events, p), ratios, p), "positions")
+    days = stage(B.position_days(positions, px, calendar), "days")
+    valued = stage(B.valued_trades(positions, days), "valued")
+    flows, table = stage(B.daily_flows(valued, days), "flows"), B.cost_table(spark, p)
     return {"trades": rows(B.trade_log(valued, table)),
             "daily": rows(B.daily_pnl(prepared, flows, calendar, table, p), "date"),
             "exposure": rows(B.exposure(prepared, days, flows, calendar, table), "date"),
