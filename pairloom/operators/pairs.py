@@ -196,7 +196,7 @@ def benjamini_hochberg(df: DataFrame, p_col: str, out: str, family: tuple = ())
         F.sum("bn").over(Window.partitionBy(*keys)).alias("total"),
     )
     inside = Window.partitionBy(*keys, "bucket").orderBy("p")
-    ranked = distinct.join(buckets, [*keys, "bucket"]).withColumn(
+    ranked = _same_bucket(distinct, buckets, keys).withColumn(
         "rank", F.col("before") + F.sum("n").over(inside)
     ).withColumn("raw", F.least(p * F.col("total") / F.col("rank"), F.lit(1.0)))
     # Suffix minima as growing frames over the reverse order: linear, not quadratic.
@@ -206,7 +206,7 @@ def benjamini_hochberg(df: DataFrame, p_col: str, out: str, family: tuple = ())
         Window.unboundedPreceding, -1)
     carried = ranked.groupBy(*keys, "bucket").agg(F.min("raw").alias("low")).withColumn(
         "beyond", F.coalesce(F.min("low").over(later), F.lit(1.0))).drop("low")
-    adjusted = ranked.join(carried, [*keys, "bucket"]).select(
+    adjusted = _same_bucket(ranked, carried, keys).select(
         *keys, "p", F.least(F.min("raw").over(suffix), F.col("beyond")).alias(out))
     kept = df.drop(out) if out in df.columns else df
     renamed = adjusted.select(*[F.col(k).alias(f"_{k}") for k in keys], "p", out)
@@ -216,6 +216,21 @@ def benjamini_hochberg(df: DataFrame, p_col: str, out: str, family: tuple = ())
     return kept.join(renamed, match, "left").drop("p", *[f"_{k}" for k in keys])
 
 
+def _same_bucket(rows: DataFrame, table: DataFrame, keys: list) -> DataFrame:
+    """Join bucket figures to rows.
+
+    The null-safe comparison adds no filters of its own below the join, so all uses of
+    the counted p-values stay the same plan and share one shuffle.
+    """
+    on = [*keys, "bucket"]
+    other = table.select(*[F.col(c).alias(f"_{c}") for c in on],
+                         *[c for c in table.columns if c not in on])
+    match = rows[on[0]].eqNullSafe(other[f"_{on[0]}"])
+    for c in on[1:]:
+        match = match & rows[c].eqNullSafe(other[f"_{c}"])
+    return rows.join(other, match).drop(*[f"_{c}" for c in on])
+
+
 def finalize(diagnostics: DataFrame, p: PairParams) -> DataFrame:
     """Append significance and half-life reasons; a pair without any is eligible."""
     order = diagnostics.columns
