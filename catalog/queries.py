@@ -374,11 +374,10 @@ add("m05_sequence_regression",
     lambda r, s, sf: L.sequence_forecast(r.features, replace(FC, sequence_length=3)), PREDICTION)
 INPUTS = ["spread"] + FEATURES
 add("m06_m08_fitted_inputs", lambda r, s, sf: L.fitted_inputs(r.features, FC),
-    "for_split column fill:6 mean:6 std:6",
+    "source column fill:6 mean:6 std:6",
     " UNION ALL ".join(
-        f"SELECT s.split AS for_split, '{c}' AS \"column\", median({c}) AS fill, avg({c}) AS mean, "
-        f"stddev_pop({c}) AS std FROM train, (SELECT unnest(['validation', 'test', 'holdout_2025']) AS split) s "
-        f"GROUP BY s.split" for c in INPUTS))
+        f"SELECT 'train' AS source, '{c}' AS \"column\", median({c}) AS fill, avg({c}) AS mean, "
+        f"stddev_pop({c}) AS std FROM train" for c in INPUTS))
 add("m09_train_validation_for_test",
     lambda r, s, sf: M.rolling_mean_forecast(r.features, replace(FC, train_validation_for_test=True)).filter(
         "split = 'test'"),

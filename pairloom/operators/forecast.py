@@ -21,34 +21,53 @@ def evaluation_rows(features: DataFrame) -> DataFrame:
     return features.filter(F.col("split").isin(*EVALUATION_SPLITS))
 
 
+def training_sources(p: ForecastParams) -> dict:
+    """Training set -> evaluation splits it serves. Each set is fitted once."""
+    if p.train_validation_for_test:
+        return {"train": ("validation", "holdout_2025"), "train+validation": ("test",)}
+    return {"train": EVALUATION_SPLITS}
+
+
+def source_of(split, p: ForecastParams):
+    """Training set that serves an evaluation split."""
+    out = F.lit("train")
+    for source, served in training_sources(p).items():
+        out = F.when(split.isin(*served), F.lit(source)).otherwise(out)
+    return out
+
+
+def served_splits(rows: DataFrame, p: ForecastParams, out: str) -> DataFrame:
+    """Rows tagged with a training set, repeated for every split it serves."""
+    listed = F.create_map(*[x for source, served in training_sources(p).items()
+                            for x in (F.lit(source), F.array(*[F.lit(v) for v in served]))])
+    return rows.withColumn(out, F.explode(listed[F.col("source")]))
+
+
 def training_rows(features: DataFrame, p: ForecastParams) -> DataFrame:
-    """Training rows tagged with the split they serve (``for_split``).
+    """Training rows tagged with their set (``source``).
 
     Every split is fitted on the training range; the test split may add the
     validation rows when that is switched on.
     """
-    source = features.withColumn("serves", F.when(
-        F.col("split") == "train", F.array(*[F.lit(s) for s in EVALUATION_SPLITS])))
-    if p.train_validation_for_test:
-        source = source.withColumn("serves", F.when(
-            F.col("split") == "validation", F.array(F.lit("test"))).otherwise(F.col("serves")))
-    return source.filter(F.col("serves").isNotNull()).withColumn("for_split", F.explode("serves")).drop("serves")
+    if not p.train_validation_for_test:
+        return features.filter(F.col("split") == "train").withColumn("source", F.lit("train"))
+    sources = F.when(F.col("split") == "train", F.array(*[F.lit(v) for v in training_sources(p)])).when(
+        F.col("split") == "validation", F.array(F.lit("train+validation")))
+    rows = features.filter(F.col("split").isin("train", "validation"))
+    return rows.withColumn("source", F.explode(sources))
 
 
 def prediction_table(rows: DataFrame, model: str, features: DataFrame, p: ForecastParams) -> DataFrame:
     """Standard prediction columns of ``rows`` (evaluation rows with ``prediction``)."""
-    counts = training_rows(features, p).groupBy("for_split").agg(F.count(F.lit(1)).alias("n"))
-    source = F.lit("train")
-    if p.train_validation_for_test:
-        source = F.when(F.col("split") == "test", F.lit("train+validation")).otherwise(source)
-    # Three rows, one per evaluation split.
-    rows = rows.join(F.broadcast(counts), rows["split"] == counts["for_split"], "left")
+    counts = training_rows(features, p).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("source", source_of(F.col("split"), p))
+    rows = rows.join(F.broadcast(counts), "source", "left")  # one row per training set
     return rows.select(
         "pair_id", "ticker_1", "ticker_2", F.lit(model).alias("model"),
         F.col("date").alias("feature_date"), "target_date", "split",
         F.col("prediction").cast("double"), F.col(p.target).alias("actual"),
         (F.col(p.target) - F.col("prediction")).alias("forecast_error"),
-        source.alias("training_split_source"),
+        F.col("source").alias("training_split_source"),
         F.coalesce("n", F.lit(0)).alias("training_observation_count"), "spread",
     )
 
@@ -61,11 +80,15 @@ def naive_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
 def rolling_mean_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
     """Mean of the last W spreads known before the row.
 
-    History is the training rows plus earlier rows of the same evaluation split.
-    Missing spreads are not history, so the frame runs over numbered known values.
+    History is the training rows plus earlier rows of the same evaluation split; of
+    the training rows only the last W known ones can matter. Missing spreads are not
+    history, so the frame runs over numbered known values.
     """
-    train = training_rows(features, p).select(
-        "pair_id", F.col("for_split").alias("split"), "date", "spread", F.lit(0).alias("phase"))
+    recent = Window.partitionBy("pair_id", "source").orderBy(F.desc("date"))
+    train = training_rows(features, p).filter(F.col("spread").isNotNull()).select(
+        "pair_id", "source", "date", "spread").withColumn("back", F.row_number().over(recent))
+    train = served_splits(train.filter(F.col("back") <= p.rolling_window), p, "split").select(
+        "pair_id", "split", "date", "spread", F.lit(0).alias("phase"))
     evaluated = evaluation_rows(features)
     later = evaluated.select("pair_id", "split", "date", "spread", F.lit(1).alias("phase"),
                              "ticker_1", "ticker_2", "target_date", p.target)
@@ -81,15 +104,15 @@ def rolling_mean_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
 
 
 def ar1_parameters(features: DataFrame, p: ForecastParams) -> DataFrame:
-    """phi, mean and last training value per (pair, evaluation split).
+    """phi, mean and last training value per (pair, training set).
 
     Spark sums the series; the likelihood search sees one row per pair.
     """
     rows = training_rows(features, p).filter(F.col("spread").isNotNull()).select(
-        "pair_id", "for_split", "date", "spread")
-    w = by_date("pair_id", "for_split")
+        "pair_id", "source", "date", "spread")
+    w = by_date("pair_id", "source")
     rows = rows.withColumn("prior", F.lag("spread").over(w))
-    sums = rows.groupBy("pair_id", "for_split").agg(
+    sums = rows.groupBy("pair_id", "source").agg(
         F.count("spread").alias("n"), F.avg("spread").alias("m"),
         F.var_pop("spread").alias("v"), F.covar_pop("spread", "prior").alias("c"),
         F.avg(F.when(F.col("prior").isNotNull(), F.col("spread"))).alias("m1"),
@@ -103,11 +126,11 @@ def ar1_parameters(features: DataFrame, p: ForecastParams) -> DataFrame:
         F.col("first") - F.col("m"), F.col("last") - F.col("m"),
     )
     enough = F.col("n") >= max(3, sum(p.arima_order) + 2)
-    fitted = sums.filter(enough & (F.col("v") > 0)).select("pair_id", "for_split", "m", fit.alias("f"))
-    return sums.select("pair_id", "for_split", "last").join(
-        fitted.select("pair_id", "for_split", F.col("f.phi").alias("phi"),
+    fitted = sums.filter(enough & (F.col("v") > 0)).select("pair_id", "source", "m", fit.alias("f"))
+    return sums.select("pair_id", "source", "last").join(
+        fitted.select("pair_id", "source", F.col("f.phi").alias("phi"),
                       (F.col("m") + F.col("f.mu")).alias("mean")),
-        ["pair_id", "for_split"], "left")
+        ["pair_id", "source"], "left")
 
 
 def arima_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
@@ -118,21 +141,20 @@ def arima_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
     """
     rows = evaluation_rows(features)
     steps = by_date("pair_id", "split")
-    rows = rows.withColumn("h", F.row_number().over(steps))
+    rows = rows.withColumns({"h": F.row_number().over(steps), "source": source_of(F.col("split"), p)})
     if tuple(p.arima_order) == (1, 0, 0):
-        params = ar1_parameters(features, p).withColumnRenamed("for_split", "split")
-        rows = rows.join(params, ["pair_id", "split"], "left")
+        rows = rows.join(ar1_parameters(features, p), ["pair_id", "source"], "left")
         path = F.col("mean") + F.pow(F.col("phi"), F.col("h")) * (F.col("last") - F.col("mean"))
         rows = rows.withColumn("prediction", F.coalesce(path, F.col("last")))
         return prediction_table(rows, "arima", features, p)
-    horizon = rows.groupBy("pair_id", "split").agg(F.max("h").alias("horizon"))
+    horizon = rows.groupBy("pair_id", "source").agg(F.max("h").alias("horizon"))
     series = training_rows(features, p).filter(F.col("spread").isNotNull()).select(
-        "pair_id", F.col("for_split").alias("split"), "date", "spread")
-    paths = series.join(horizon, ["pair_id", "split"]).groupBy("pair_id", "split").applyInPandas(
+        "pair_id", "source", "date", "spread")
+    paths = series.join(horizon, ["pair_id", "source"]).groupBy("pair_id", "source").applyInPandas(
         _order_path(tuple(p.arima_order)), T.StructType([
-            T.StructField("pair_id", T.StringType()), T.StructField("split", T.StringType()),
+            T.StructField("pair_id", T.StringType()), T.StructField("source", T.StringType()),
             T.StructField("h", T.IntegerType()), T.StructField("prediction", T.DoubleType())]))
-    rows = rows.join(paths, ["pair_id", "split", "h"], "left")
+    rows = rows.join(paths, ["pair_id", "source", "h"], "left")
     return prediction_table(rows, "arima", features, p)
 
 
@@ -174,7 +196,7 @@ def _order_path(order: tuple):
                 for level in range(d - 1, -1, -1):
                     out = np.diff(series, level)[-1] + np.cumsum(out)
         return pd.DataFrame({
-            "pair_id": pdf["pair_id"].iloc[0], "split": pdf["split"].iloc[0],
+            "pair_id": pdf["pair_id"].iloc[0], "source": pdf["source"].iloc[0],
             "h": np.arange(1, horizon + 1, dtype=np.int32), "prediction": out})
 
     return path

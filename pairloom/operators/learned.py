@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import number
 from ..functions.stats import exact_median
 from ..params import ForecastParams
-from .forecast import evaluation_rows, prediction_table, training_rows
+from .forecast import (
+    evaluation_rows, prediction_table, served_splits, source_of, training_rows, training_sources,
+)
 
 # Identifier and bookkeeping columns that are never model inputs.
 NOT_INPUTS = {
@@ -25,17 +27,17 @@ def input_columns(features: DataFrame) -> list[str]:
 
 
 def fitted_inputs(features: DataFrame, p: ForecastParams) -> DataFrame:
-    """Per input column and served split: fill value, mean and deviation of training.
+    """Per input column and training set: fill value, mean and deviation of training.
 
-    One long row per (split, column). Columns without any training value are left
+    One long row per (set, column). Columns without any training value are left
     out. The table has a handful of rows, whatever the data volume.
     """
     columns = input_columns(features)
     train = training_rows(features, p).filter(F.col(p.target).isNotNull()).select(
-        "for_split", *[number(F.col(c)).alias(c) for c in columns])
-    long = train.select("for_split", F.inline(F.array(*[
+        "source", *[number(F.col(c)).alias(c) for c in columns])
+    long = train.select("source", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns])))
-    keys = ["for_split", "column"]
+    keys = ["source", "column"]
     stats = long.groupBy(*keys).agg(
         F.count("x").alias("n"), F.count(F.lit(1)).alias("rows"),
         F.avg("x").alias("avg"), F.var_pop("x").alias("var"))
@@ -51,20 +53,20 @@ def fitted_inputs(features: DataFrame, p: ForecastParams) -> DataFrame:
         + (1 - share) * F.pow(F.col("fill") - mean, F.lit(2))
     std = F.sqrt(spread)
     return stats.filter("n > 0").select(
-        "for_split", "column", "fill", mean.alias("mean"),
+        "source", "column", "fill", mean.alias("mean"),
         F.when(std > 0, std).otherwise(F.lit(1.0)).alias("std"))
 
 
 def prepared(rows: DataFrame, features: DataFrame, p: ForecastParams, scale: bool) -> DataFrame:
-    """Rows (with ``for_split``) whose ``inputs`` array is filled and maybe scaled.
+    """Rows (with their training set as ``source``) whose ``inputs`` array is filled and maybe scaled.
 
     A column without training values becomes the constant 0, which no model can use:
     the same as leaving it out, with one fixed vector length.
     """
     columns = input_columns(features)
-    params = fitted_inputs(features, p).groupBy("for_split").agg(F.map_from_entries(
+    params = fitted_inputs(features, p).groupBy("source").agg(F.map_from_entries(
         F.collect_list(F.struct("column", F.struct("fill", "mean", "std")))).alias("fit"))
-    joined = rows.join(F.broadcast(params), "for_split")  # one row per served split
+    joined = rows.join(F.broadcast(params), "source")  # one row per training set
 
     def value(c: str):
         s = F.col("fit")[c]
@@ -91,26 +93,20 @@ def boosted_tree_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
     never leaves the executors. Splits that share their training rows share a model.
     """
     size = len(input_columns(features))
-    rows = evaluation_rows(features).withColumn("for_split", F.col("split"))
+    rows = evaluation_rows(features).withColumn("source", source_of(F.col("split"), p))
     train = prepared(training_rows(features, p).filter(F.col(p.target).isNotNull()),
                      features, p, scale=False).withColumn("label", F.col(p.target))
     out = None
-    for serve, served in _model_groups(p):
+    for source, served in training_sources(p).items():
         estimator = GBTRegressor(
             featuresCol="vector", labelCol="label", predictionCol="prediction",
             maxIter=p.trees, maxDepth=p.tree_depth, stepSize=p.learning_rate,
             subsamplingRate=p.subsample, featureSubsetStrategy=str(p.column_sample), seed=p.seed)
         part = _fit_predict(
-            estimator, train.filter(F.col("for_split") == serve),
+            estimator, train.filter(F.col("source") == source),
             prepared(rows.filter(F.col("split").isin(*served)), features, p, scale=False), size)
         out = part if out is None else out.unionByName(part)
-    return prediction_table(out.drop("for_split"), "xgboost", features, p)
-
-
-def _model_groups(p: ForecastParams) -> list[tuple[str, tuple]]:
-    if p.train_validation_for_test:
-        return [("validation", ("validation", "holdout_2025")), ("test", ("test",))]
-    return [("validation", ("validation", "test", "holdout_2025"))]
+    return prediction_table(out, "xgboost", features, p)
 
 
 def sequences(features: DataFrame, p: ForecastParams) -> DataFrame:
@@ -119,8 +115,10 @@ def sequences(features: DataFrame, p: ForecastParams) -> DataFrame:
     Evaluation rows continue from the end of their training history; rows with
     fewer than L vectors get NULL.
     """
-    train = training_rows(features, p).filter(F.col(p.target).isNotNull()).withColumn("phase", F.lit(0))
-    later = evaluation_rows(features).withColumn("for_split", F.col("split")).withColumn("phase", F.lit(1))
+    train = training_rows(features, p).filter(F.col(p.target).isNotNull())
+    train = served_splits(train, p, "for_split").withColumn("phase", F.lit(0))
+    later = evaluation_rows(features).withColumns({
+        "for_split": F.col("split"), "phase": F.lit(1), "source": source_of(F.col("split"), p)})
     rows = prepared(train.unionByName(later), features, p, scale=p.scale_features)
     w = Window.partitionBy("pair_id", "for_split").orderBy("phase", "date").rowsBetween(
         -(p.sequence_length - 1), 0)
@@ -135,12 +133,12 @@ def sequence_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
     rows = sequences(features, p).withColumnRenamed("sequence", "inputs")
     usable = rows.filter(F.col("inputs").isNotNull())
     out = None
-    for serve, served in _model_groups(p):
+    for served in training_sources(p).values():
         estimator = LinearRegression(featuresCol="vector", labelCol="label",
                                      predictionCol="prediction", regParam=0.1, maxIter=50)
         part = _fit_predict(
             estimator,
-            usable.filter((F.col("phase") == 0) & (F.col("for_split") == serve))
+            usable.filter((F.col("phase") == 0) & (F.col("for_split") == served[0]))
             .withColumn("label", F.col(p.target)),
             usable.filter((F.col("phase") == 1) & F.col("for_split").isin(*served)), size)
         out = part if out is None else out.unionByName(part)

@@ -102,7 +102,7 @@ def test_ar1_is_the_exact_likelihood_fit(spark):
         x.append(2.0 + 0.7 * (x[-1] - 2.0) + rng.normal(0, 0.3))
     x = np.array(x)
     df = frame(spark, [("train", x.tolist()), ("validation", [0.0] * 3)])
-    row = [r for r in rows(M.ar1_parameters(df, ForecastParams())) if r["for_split"] == "validation"][0]
+    row = rows(M.ar1_parameters(df, ForecastParams()))[0]
 
     def loss(phi):
         cov = phi ** np.abs(np.subtract.outer(np.arange(80), np.arange(80))) / (1 - phi ** 2)
@@ -168,7 +168,7 @@ def test_fitted_inputs_fill_and_scale(spark):
     values = [1.0, None, 4.0, 7.0]
     df = frame(spark, [("train", [1.0, 2.0, 3.0, 4.0]), ("validation", [1.0])],
                extra=(lambda i: values[i] if i < 4 else 9.0, lambda i: None if i < 4 else 1.0))
-    out = {r["column"]: r for r in rows(L.fitted_inputs(df, ForecastParams())) if r["for_split"] == "validation"}
+    out = {r["column"]: r for r in rows(L.fitted_inputs(df, ForecastParams()))}
     filled = np.array([1.0, 4.0, 4.0, 7.0])
     assert set(out) == {"spread", "x0"}
     assert (out["x0"]["fill"], out["x0"]["mean"], out["x0"]["std"]) == pytest.approx((4.0, filled.mean(), filled.std()))
