@@ -94,11 +94,6 @@ add("d15_valid_ticker_gate", _gated, f"ticker date:d {BAR}",
         WHERE {between('date', DATA)} GROUP BY ticker HAVING count(*) >= {QP.min_history_days}
         AND 1 - count(*) / {count_business_days(DATA.start, DATA.end)} <= 0.52)""")
 add("s01_daily_bars", lambda r, s, sf: driver.bars(s, sf), f"ticker date:d {BAR}", "SELECT * FROM ohlc")
-add("s02_constituents", lambda r, s, sf: tables.normalize_constituents(messy(r.constituents).withColumnRenamed(
-    " Row No ", "row_no")), "ticker company_name sector industry row_no:i",
-    "SELECT ticker, lower(company_name) AS company_name, lower(sector) AS sector, lower(industry) AS industry, row_no "
-    "FROM cons")
-
 
 def supplier_listing(s, sf):
     """One listing row per supplier: repeated tickers, some blank, some without a sector."""
@@ -117,6 +112,8 @@ step("listing", """SELECT CASE WHEN s_acctbal < 0 THEN '' ELSE upper(n_name) END
  CASE WHEN s_acctbal > 9000 THEN '' ELSE trim(r_name) END AS sector,
  CASE WHEN s_acctbal > 8000 THEN '' ELSE trim(n_name) END AS industry, s_suppkey AS row_no
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+add("s02_constituents", lambda r, s, sf: tables.normalize_constituents(supplier_listing(s, sf)),
+    "ticker company_name sector industry row_no:i", "SELECT * FROM listing")
 add("s03_clean_universe_scan", lambda r, s, sf: tables.normalize_clean_universe(supplier_listing(s, sf)),
     "ticker company_name sector industry row_no:i",
     "SELECT * FROM listing WHERE ticker <> '' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY row_no) = 1")
@@ -227,17 +224,22 @@ def _listed_audit(r, s, sf):
 
 
 add("u01_u02_listing_audit", _listed_audit, AUDIT, "SELECT * FROM listed_audit")
-# The proxy has prices but is not a constituent; nations without suppliers have none.
-add("u05_missing_price_audit",
-    lambda r, s, sf: U.universe_audit(
-        r.constituents, r.prices.filter(F.col("ticker").endswith("1") | F.col("ticker").endswith("2")),
-        SETTINGS.universe),
-    "ticker included exclusion_reasons has_price_data row_count:i",
-    """SELECT ticker, (ticker LIKE '%1' OR ticker LIKE '%2') AND exclusion_reasons = '' AS included,
-       CASE WHEN ticker LIKE '%1' OR ticker LIKE '%2' THEN exclusion_reasons
-         ELSE 'missing_processed_price_data' END AS exclusion_reasons,
-       has_price_data AND (ticker LIKE '%1' OR ticker LIKE '%2') AS has_price_data,
-       CASE WHEN ticker LIKE '%1' OR ticker LIKE '%2' THEN row_count ELSE 0 END AS row_count FROM main_audit""")
+
+
+def with_indices(r, s, sf):
+    """Nations plus their regions as listed indices, which have no prices of their own."""
+    region = driver.table(s, sf, "region")
+    name = F.upper(F.trim("r_name"))
+    return r.constituents.unionByName(region.select(
+        name.alias("ticker"), F.col("r_name").alias("company_name"), F.col("r_name").alias("sector"),
+        F.lit("Index").alias("industry"), (F.col("r_regionkey") + 1000).cast("long").alias("row_no")))
+
+
+step("cons_indices", """SELECT * FROM cons UNION ALL
+ SELECT upper(trim(r_name)), r_name, r_name, 'Index', r_regionkey + 1000 FROM region""")
+audit_steps("indexed", "cons_indices", "prices", SETTINGS.universe)
+add("u05_missing_price_audit", lambda r, s, sf: U.universe_audit(with_indices(r, s, sf), r.prices, SETTINGS.universe, unique=True),
+    AUDIT, "SELECT * FROM indexed_audit")
 add("u06_clean_universe", lambda r, s, sf: r.universe,
     "ticker company_name sector industry has_price_data row_count:i missing_data_ratio:6 min_adjusted_close:6 "
     "average_daily_dollar_volume:4 zero_volume_days:i", "SELECT * FROM universe")
@@ -264,16 +266,22 @@ add("p03_p05_p07_p08_p11_pair_statistics", _statistics,
     """SELECT pair_id, n AS overlap_observations, rho AS return_correlation, beta AS hedge_ratio_beta, alpha,
        t AS df_statistic, CASE WHEN gamma < 0 THEN -ln(2) / gamma END AS half_life_days
        FROM pair_fit JOIN pair_df USING (pair_id)""")
-add("p04_missing_leg",
-    lambda r, s, sf: P.evaluate_candidates(
-        P.candidate_pairs(r.universe), r.prices.filter(~F.col("ticker").endswith("3")), SETTINGS.pairs, unique=True),
+
+
+def _with_missing_legs(r, s, sf):
+    audit = U.universe_audit(with_indices(r, s, sf), r.prices, SETTINGS.universe, unique=True)
+    listed = audit.filter(F.col("included") | (F.col("industry") == "Index"))
+    return P.evaluate_candidates(P.candidate_pairs(listed), r.prices, SETTINGS.pairs, unique=True)
+
+
+step("indexed_universe", "SELECT * FROM indexed_audit WHERE included OR industry = 'Index'")
+step("indexed_candidates", candidate_sql("indexed_universe", True))
+add("p04_missing_leg", _with_missing_legs,
     "pair_id overlap_observations:i return_correlation:6 passes_correlation_filter exclusion_reasons pair_liquidity:4",
-    """SELECT pair_id, CASE WHEN gone THEN 0 ELSE overlap_observations END AS overlap_observations,
-       CASE WHEN NOT gone THEN return_correlation END AS return_correlation,
-       passes_correlation_filter AND NOT gone AS passes_correlation_filter,
-       CASE WHEN gone THEN 'missing_processed_price_data' ELSE exclusion_reasons END AS exclusion_reasons,
-       CASE WHEN NOT gone THEN pair_liquidity END AS pair_liquidity
-       FROM (SELECT *, ticker_1 LIKE '%3' OR ticker_2 LIKE '%3' AS gone FROM evaluated)""")
+    """SELECT c.pair_id, coalesce(e.overlap_observations, 0) AS overlap_observations, e.return_correlation,
+       coalesce(e.passes_correlation_filter, false) AS passes_correlation_filter,
+       coalesce(e.exclusion_reasons, 'missing_processed_price_data') AS exclusion_reasons, e.pair_liquidity
+       FROM indexed_candidates c LEFT JOIN evaluated e USING (pair_id)""")
 add("p06_p10_candidate_diagnostics", lambda r, s, sf: r.evaluated, DIAGNOSTIC, "SELECT * FROM evaluated")
 add("p09_engle_granger_aic",
     lambda r, s, sf: P.evaluate_candidates(r.candidates, r.prices, replace(SETTINGS.pairs, variant="aic"), unique=True),
