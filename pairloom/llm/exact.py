@@ -61,12 +61,13 @@ def refine(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_sha", F.when(F.col("_open"), F.sha2(F.col("_text"), 256)))
 
 
-def join_salted(rows: DataFrame, groups: DataFrame, keys: list[str], by: Column) -> DataFrame:
+def join_salted(rows: DataFrame, groups: DataFrame, keys: list[str], by: Column,
+                how: str = "inner") -> DataFrame:
     """Rows with their group's columns; a hot group's rows are dealt over ``SALTS`` keys, and
     adaptive execution can split those further.
     """
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"])
+    return rows.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how)
 
 
 def decide(keys: DataFrame) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pairloom.llm import bpe, exact, packing, wavelet
+from pairloom.llm import bpe, chat, exact, line_dedup, packing, quality, wavelet
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.query,
+    "op3_line_dedup": line_dedup.query,
+    "op4_chat_format": chat.query,
     "op5_exact_dedup": exact.query,
     "op7_wavelet_shards": wavelet.query,
     "op8_best_fit_packing": packing.query,
+    "op10_quality_cascade": quality.query,
 }
 
 ORACLE = {
+    "op3_line_dedup": line_dedup.SQL,
+    "op4_chat_format": chat.SQL,
     "op5_exact_dedup": exact.SQL,
+    "op10_quality_cascade": quality.SQL,
 }
