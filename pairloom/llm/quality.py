@@ -2,7 +2,8 @@
 
 A rule rejects a text on one figure of it. Rules are tried in turn and the first that rejects
 ends the work on that text, so the order decides the cost but never the verdict: each rule is
-timed and counted on a bounded sample (``SAMPLE`` rows, used for the order alone), and rules
+timed and counted on a bounded sample (``SAMPLE`` rows of at most ``SAMPLE_CHARS``
+characters, used for the order alone), and rules
 with more rejections per second go first.
 
 Words are runs of characters other than blank, tab, line feed, vertical tab, form feed and
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm import common
 
-SAMPLE = 500
+SAMPLE, SAMPLE_CHARS = 500, 20_000
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -117,7 +118,7 @@ BASE = {
 RULES = BASE | {
     "symbols": lambda m: m("n_symbols") * 10 > m("n_words"),
     "exclamations": lambda m: m("n_bangs") * 2 > m("n_words"),
-    "duplicate_lines": lambda m: m("n_dup_lines") * 100 > m("n_lines") * 30,
+    "duplicate_lines": lambda m: (m("n_dup_lines") >= 3) & (m("n_dup_lines") * 100 > m("n_lines") * 30),
     "word_length": lambda m: (m("word_chars") < m("n_words") * 2) | (m("word_chars") > m("n_words") * 15),
 }
 
@@ -132,8 +133,10 @@ def rule_order(docs: DataFrame, text: str = "text", rules: dict = RULES, sample:
 
     The figures are times, so the order can differ between runs; verdicts do not depend on it.
     """
-    rows = docs.select(common.text_or_empty(text).alias("_text")).limit(sample)
-    part = common.stage(rows.select("_text", words_of(F.col("_text")).alias("_words")), "quality-sample")
+    texts = docs.select(common.text_or_empty(text).alias("_text"))
+    rows = texts.filter(F.length("_text") <= SAMPLE_CHARS).take(sample)  # reads as few files as it needs
+    part = docs.sparkSession.createDataFrame(rows, "_text string").select(
+        "_text", words_of(F.col("_text")).alias("_words"))
     metric = from_text(F.col("_words"), F.col("_text"))
     part.select(F.max(F.size("_words")), F.max(F.length("_text"))).collect()  # reads and compiles once
     figures = {}
@@ -186,8 +189,11 @@ WITH d AS (
 l AS (
   SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d),
-g AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
-r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1),
+g AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i:
+           struct_pack(i := i, a := w[i], b := w[i + 1], c := w[i + 2]))) AS x
+  FROM d),
+r AS (SELECT doc_id, x.i AS i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x.a, x.b, x.c) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
 m AS (
   SELECT l.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
@@ -198,7 +204,7 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
-            OR 2 * n_bangs > n_words OR 100 * n_dup_lines > 30 * n_lines
+            OR 2 * n_bangs > n_words OR n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM m
 """

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pairloom.llm import bpe, chat, exact, line_dedup, packing, quality, wavelet
+from pairloom.llm import bpe, chat, exact, langid, line_dedup, ngram_join, packing, page_text, quality, wavelet
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.query,
+    "op2_language_id": langid.query,
     "op3_line_dedup": line_dedup.query,
     "op4_chat_format": chat.query,
     "op5_exact_dedup": exact.query,
+    "op6_ngram_jaccard_join": ngram_join.query,
     "op7_wavelet_shards": wavelet.query,
     "op8_best_fit_packing": packing.query,
+    "op9_html_text": page_text.query,
     "op10_quality_cascade": quality.query,
 }
 
@@ -18,5 +21,6 @@ ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_chat_format": chat.SQL,
     "op5_exact_dedup": exact.SQL,
+    "op9_html_text": page_text.query,
     "op10_quality_cascade": quality.SQL,
 }
