@@ -94,10 +94,10 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, ranks_path: str | None = None, text: str = "text",
            into: str = "ids") -> DataFrame:
-    """``docs`` with ``text`` replaced by the list of its ids in ``into``."""
+    """``docs`` with ``text`` replaced by the list of its ids in ``into``; a column of that name goes."""
     ranks = common.file_bytes(ranks_path or public_tokenizers.path(RANKS))
     pattern = public_tokenizers.PATTERN
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, into)]
 
     def run(batches):
         codec = _codec(ranks, pattern)
@@ -115,7 +115,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, text: str = "text",
 
 def decode(tokens: DataFrame, ranks_path: str | None = None, ids: str = "ids",
            into: str = "decoded") -> DataFrame:
-    """``tokens`` with the raw bytes of its id lists in ``into``."""
+    """``tokens`` with the raw bytes of its id lists in ``into``; a column of that name goes."""
+    tokens = tokens.select(*[F.col(f"`{c}`") for c in tokens.columns if c != into])
     ranks = common.file_bytes(ranks_path or public_tokenizers.path(RANKS))
     pattern = public_tokenizers.PATTERN
 
