@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 from pairloom.llm import common
 
-#: Units and their characters that a worker remembers before it starts afresh.
-UNITS, UNIT_CHARS = 400_000, 32 << 20
+#: Units and their characters that a worker remembers before it drops those seen once.
+UNITS, UNIT_CHARS = 600_000, 48 << 20
+
+#: New units that go to the library as one text.
+GROUP = 2000
 
 
 class Texts:
@@ -33,49 +36,65 @@ class Texts:
         # In the byte alphabet a token has one character for each byte.
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
         self.units = re.compile(f"[{common.SPACES}]*[^{common.SPACES}]+|[{common.SPACES}]+")
-        self.space = re.compile(f"[{common.SPACES}]")
+        self.spaces = frozenset(filter(re.compile(f"[{common.SPACES}]").match, map(chr, range(0x3001))))
         self.unsure = re.compile(common.UNSURE)
         self.forget()
 
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.chars = 0
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Drop the units, but for those at the places ``keep``."""
+        if keep is None:
+            self.at: dict[str, int] = {}
+            self.starts, self.sizes, self.used = (np.zeros(0, np.int64) for _ in range(3))
+            self.ids = np.zeros(0, np.uint32)
+        else:
+            new = np.full(len(self.starts), -1)
+            new[keep] = np.arange(len(keep))
+            self.at = {u: n for u, n in zip(self.at, new.tolist()) if n >= 0}
+            self.ids = self.ids[common.spread(self.starts[keep], self.sizes[keep])]
+            self.sizes, self.used = self.sizes[keep], np.zeros(len(keep), np.int64)
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        self.chars = sum(map(len, self.at))
+
+    def make_room(self) -> None:
+        """Past the bound, keep units that returned: most units of a language never do."""
+        if len(self.at) > UNITS or self.chars > UNIT_CHARS:
+            keep = np.flatnonzero(self.used > 1)
+            self.forget(keep if len(keep) <= UNITS // 2 and self.chars <= UNIT_CHARS else None)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
-        if len(self.at) > UNITS or self.chars > UNIT_CHARS:
-            self.forget()
-        cut = [[t] if self.unsure.search(t) else self.units.findall(t) for t in texts]
+        self.make_room()
+        whole = {t for t in texts if self.unsure.search(t)}
+        cut = [[t] if t in whole else self.units.findall(t) for t in texts]
         flat = list(chain.from_iterable(cut))
-        codes = list(map(self.at.get, flat))
-        if None in codes:
-            self.learn(list(dict.fromkeys(u for u, c in zip(flat, codes) if c is None)))
-            codes = list(map(self.at.__getitem__, flat))
-        codes = np.asarray(codes, np.int64)
+        codes = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            new = [flat[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(new)), whole)
+            codes[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        self.used += np.bincount(codes, minlength=len(self.used))
         sizes = self.sizes[codes]
         ids = self.ids[common.spread(self.starts[codes], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         last = np.cumsum([len(u) for u in cut])
         return ids, np.diff(np.concatenate([[0], ends[last]]))
 
-    def learn(self, units: list[str]) -> None:
-        """Encode new units, joined to longer texts wherever that leaves their borders."""
-        groups: list[list[str]] = []
-        room = 0
-        closed = True
-        for u in units:
-            if closed or not room or not self.space.match(u):
-                groups.append([])
-                room = 2000
-            groups[-1].append(u)
-            room -= 1
-            closed = u.isspace() or bool(self.unsure.search(u))
-        found = self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+    def learn(self, units: list[str], whole: set[str]) -> None:
+        """Encode new units, joined to longer texts wherever that leaves their borders.
+
+        A unit that begins with white space and ends with something else can be joined, but for
+        uncut texts (``whole``).
+        """
+        spaces = self.spaces
+        alone = [u for u in units if u[0] not in spaces or u[-1] in spaces or u in whole]
+        odd = set(alone)
+        joined = [u for u in units if u not in odd] if odd else units
+        units = [*joined, *alone]
+        groups = ["".join(joined[i:i + GROUP]) for i in range(0, len(joined), GROUP)] + alone
+        found = self.library.encode_batch_fast(groups, add_special_tokens=False)
         order = np.concatenate([np.asarray(e.ids, np.uint32) for e in found])
-        bytes_of = np.array([len(u.encode("utf-8")) for u in units], np.int64)
+        bytes_of = byte_lengths(units)
         ends = np.searchsorted(np.cumsum(self.width[order]), np.cumsum(bytes_of)) + 1
         sizes = np.diff(np.concatenate([[0], ends]))
         if int(ends[-1]) != len(order) or int(self.width[order].sum()) != int(bytes_of.sum()):
@@ -83,11 +102,20 @@ class Texts:
         known = len(self.starts)
         self.starts = np.concatenate([self.starts, len(self.ids) + ends - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(units), np.int64)])
         self.ids = np.concatenate([self.ids, order])
         self.at.update(zip(units, range(known, known + len(units))))
         self.chars += sum(map(len, units))
 
 
+def byte_lengths(units: list[str]) -> np.ndarray:
+    """UTF-8 bytes of each unit."""
+    places = np.flatnonzero(np.frombuffer("\0".join(units).encode("utf-8") + b"\0", np.uint8) == 0)
+    if len(places) != len(units):  # a unit holds the separator
+        return np.array([len(u.encode("utf-8")) for u in units], np.int64)
+    return np.diff(np.concatenate([[-1], places])) - 1
+
+
 def encoder(data: bytes) -> Texts:
     cache = common.worker_cache()
     key = ("texts", hash(data))
