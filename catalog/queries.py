@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.functions.columns import count_business_days
+from pairloom.functions.columns import count_business_days, float_text, general_text
 from pairloom.operators import analytics as A
 from pairloom.operators import backtest as B
 from pairloom.operators import features as X
@@ -22,14 +23,15 @@ from pairloom.operators import signals as G
 from pairloom.operators import spreads as S
 from pairloom.operators import universe as U
 from pairloom.params import UniverseParams
-from pairloom.session import stage_root
+from pairloom.plans.research import Settings
 from pairloom.sources import driver, tables
 
 from .setup import DATA, FORMATION, SETTINGS
 from .shape import Query
-from .sql import FEATURES, TARGETS, audit_steps, between, candidate_sql, step
+from .sql import FEATURES, TARGETS, audit_steps, between, candidate_sql, step, tau_p
 
 ALL: list[Query] = []
+SPLITS = ("train", "validation", "test", "holdout_2025")
 
 
 def add(name: str, run, columns: str, sql: str | None = None) -> None:
@@ -86,7 +88,7 @@ add("d05_missing_columns_report",
 
 def _gated(r, s, sf):
     daily = driver.bars(s, sf)
-    return D.valid_bars(daily, replace(QP, max_missing_fraction=0.52))
+    return D.valid_bars(daily, replace(QP, max_missing_fraction=0.52), unique=True)
 
 
 add("d15_valid_ticker_gate", _gated, f"ticker date:d {BAR}",
@@ -152,9 +154,10 @@ add("s06_prediction_scan", lambda r, s, sf: tables.normalize_predictions(messy(r
 add("s07_comparison_scan", lambda r, s, sf: tables.normalize_comparison(messy(r.comparison)),
     "model validation_rmse:6 test_mae:6 selected_by_validation selection_rank:i", "SELECT * FROM comparison")
 add("s08_feature_split_scan",
-    lambda r, s, sf: tables.normalize_features(messy(r.features.filter("split = 'test'")).withColumn(
-        " Split ", F.lit(None).cast("string")), "test", "target_next_day_spread"),
-    "date:d target_date:d pair_id split spread:6 target_next_day_spread:6", "SELECT * FROM features WHERE split = 'test'")
+    lambda r, s, sf: reduce(DataFrame.unionByName, [tables.normalize_features(
+        messy(r.features.filter(F.col("split") == name)).withColumn(" Split ", F.lit(None).cast("string")),
+        name, "target_next_day_spread") for name in SPLITS]),
+    "date:d target_date:d pair_id split spread:6 target_next_day_spread:6", "SELECT * FROM features")
 add("s09_signal_scan", lambda r, s, sf: tables.normalize_signals(messy(r.signals)),
     "pair_id ticker_1 ticker_2 model split signal_action feature_date:d target_date:d", "SELECT * FROM base_signals")
 add("s09_diagnostics_scan", lambda r, s, sf: tables.normalize_diagnostics(messy(r.spread_diagnostics)),
@@ -176,6 +179,10 @@ add("s13_price_panel",
     "ticker date:d adjusted_close:6 volume:4",
     f"""SELECT ticker, date, CASE WHEN adjusted_close > 0 THEN adjusted_close END AS adjusted_close, volume
         FROM vendor_clean WHERE {between('date', FORMATION)}""")
+EXPLICIT = ("nation_3", " NATION_11 ", "", "Nation_3", "no such place")
+add("s14_explicit_tickers",
+    lambda r, s, sf: r.prices.join(N.listed_tickers(r.constituents, EXPLICIT), "ticker", "left_semi"),
+    "ticker date:d adjusted_close:6 volume:4", "SELECT * FROM prices WHERE ticker IN ('NATION_3', 'NATION_11')")
 add("s14_listed_tickers", lambda r, s, sf: N.listed_tickers(supplier_listing(s, sf)),
     "ticker", "SELECT DISTINCT ticker FROM listing WHERE ticker <> ''")
 add("s16_land_new_rows",
@@ -184,25 +191,50 @@ add("s16_land_new_rows",
 
 
 def _sinks(r, s, sf):
-    root = f"{stage_root(s)}/{r.name}/sinks"
+    """Every table of every sink, read back whole."""
+    root = f"{r.folder}/{r.name}/sinks"
     tables.write_bars(r.prices, f"{root}/bars")
     tables.write_features(r.features, f"{root}/features")
     tables.write_table(r.metrics, f"{root}/metrics_csv", "csv")
     tables.write_table(r.comparison, f"{root}/comparison_json", "json")
-    counts = [
-        s.read.parquet(f"{root}/bars").filter(F.col("year") == 1999).select(F.lit("bars_1999").alias("sink")),
-        tables.read_features(s, f"{root}/features", "train").select(F.lit("train_features").alias("sink")),
-        tables.read_table(s, f"{root}/metrics_csv", "csv").select(F.lit("metrics_csv").alias("sink")),
-        tables.read_table(s, f"{root}/comparison_json", "json").select(F.lit("comparison_json").alias("sink")),
-    ]
-    out = counts[0].union(counts[1]).union(counts[2]).union(counts[3])
-    return out.groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
 
-
-add("s17_sinks", _sinks, "sink n:i",
-    """SELECT 'bars_1999' AS sink, count(*) AS n FROM prices WHERE year(date) = 1999
-       UNION ALL SELECT 'train_features', count(*) FROM train UNION ALL SELECT 'metrics_csv', count(*) FROM metrics
-       UNION ALL SELECT 'comparison_json', count(*) FROM comparison""")
+    def rows(df, sink, keys, a, b):
+        return df.select(F.lit(sink).alias("sink"), F.concat_ws("|", *keys).alias("key"),
+                         F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+
+    features = reduce(DataFrame.unionByName, [tables.read_features(s, f"{root}/features", x) for x in SPLITS])
+    return reduce(DataFrame.unionByName, [
+        rows(s.read.parquet(f"{root}/bars"), "bars_parquet", ["ticker", "date"], "adjusted_close", "volume"),
+        rows(features, "features_parquet", ["split", "pair_id", "date"], "spread", "target_next_day_spread"),
+        rows(tables.read_table(s, f"{root}/metrics_csv", "csv"), "metrics_csv", ["model", "split"], "rmse", "bias"),
+        rows(tables.read_table(s, f"{root}/comparison_json", "json"), "comparison_json", ["model"], "validation_rmse",
+             "selection_rank")])
+
+
+add("s17_sinks", _sinks, "sink key a:6 b:4",
+    # metrics first: the steps of the twin are put in the order of their mention
+    """SELECT 'metrics_csv' AS sink, concat_ws('|', model, split) AS key, rmse AS a, bias AS b FROM metrics
+       UNION ALL SELECT 'bars_parquet', concat_ws('|', ticker, date::DATE), adjusted_close, volume FROM prices
+       UNION ALL SELECT 'features_parquet', concat_ws('|', split, pair_id, date::DATE), spread, target_next_day_spread
+         FROM features
+       UNION ALL SELECT 'comparison_json', model, validation_rmse, selection_rank FROM comparison""")
+
+
+def _price_files(r, s, sf):
+    """Vendor rows written as CSV, one folder per ticker, and read back from the files."""
+    root = f"{r.folder}/{r.name}/price_files"
+    rows = driver.vendor_rows(s, sf).repartition("ticker").sortWithinPartitions("ticker", "ord")
+    tables.write_table(rows.drop("ord"), root, "csv", ("ticker",))
+    return D.clean_bars(tables.read_price_files(s, root), QP)
+
+
+add("s01_price_files", _price_files, f"ticker date:d {BAR}",
+    "SELECT * REPLACE (regexp_replace(ticker, '[^A-Za-z0-9_.-]+', '_', 'g') AS ticker) FROM vendor_clean")
+add("s02_numbered_listing",
+    lambda r, s, sf: tables.normalize_constituents(supplier_listing(s, sf).repartitionByRange(4, "row_no")
+                                                   .sortWithinPartitions("row_no").drop("row_no")),
+    "ticker company_name sector industry row_no:i",
+    "SELECT * REPLACE (row_number() OVER (ORDER BY row_no) - 1 AS row_no) FROM listing")
 
 # --------------------------------------------------------------------------- universe
 
@@ -214,13 +246,14 @@ AUDIT = ("row_number:i ticker company_name sector industry included exclusion_re
          "row_count:i expected_observations:i missing_data_ratio:6 min_adjusted_close:6 "
          "average_daily_dollar_volume:4 zero_volume_days:i")
 add("u03_u04_tradability",
-    lambda r, s, sf: U.universe_audit(r.constituents, D.clean_bars(driver.vendor_rows(s, sf), QP), STRICT),
+    lambda r, s, sf: U.universe_audit(r.constituents, D.clean_bars(driver.vendor_rows(s, sf), QP), STRICT, unique=True),
     AUDIT, "SELECT * FROM strict_audit")
 
 
 def _listed_audit(r, s, sf):
     stocks = r.prices.filter(F.col("ticker") != driver.MARKET)
-    return U.universe_audit(tables.normalize_constituents(supplier_listing(s, sf)), stocks, SETTINGS.universe)
+    return U.universe_audit(tables.normalize_constituents(supplier_listing(s, sf)), stocks, SETTINGS.universe,
+                            unique=True)
 
 
 add("u01_u02_listing_audit", _listed_audit, AUDIT, "SELECT * FROM listed_audit")
@@ -283,9 +316,26 @@ add("p04_missing_leg", _with_missing_legs,
        coalesce(e.exclusion_reasons, 'missing_processed_price_data') AS exclusion_reasons, e.pair_liquidity
        FROM indexed_candidates c LEFT JOIN evaluated e USING (pair_id)""")
 add("p06_p10_candidate_diagnostics", lambda r, s, sf: r.evaluated, DIAGNOSTIC, "SELECT * FROM evaluated")
+def _engle_granger(r, max_lag):
+    return P.evaluate_candidates(r.candidates, r.prices, replace(SETTINGS.pairs, variant="aic", max_lag=max_lag), unique=True)
+
+
+# The chosen lag has no twin; its rows, its range and the pairs it tests have one.
 add("p09_engle_granger_aic",
-    lambda r, s, sf: P.evaluate_candidates(r.candidates, r.prices, replace(SETTINGS.pairs, variant="aic"), unique=True),
-    "pair_id overlap_observations:i cointegration_pvalue_raw:9 cointegration_test_statistic:6")
+    lambda r, s, sf: _engle_granger(r, None).withColumn(
+        "in_range", F.coalesce(F.col("cointegration_pvalue_raw").between(0, 1), ~F.col("passes_correlation_filter"))),
+    "pair_id overlap_observations:i passes_correlation_filter in_range",
+    "SELECT pair_id, overlap_observations, passes_correlation_filter, true AS in_range FROM evaluated")
+add("p09_engle_granger_no_lag", lambda r, s, sf: _engle_granger(r, 0),
+    "pair_id cointegration_pvalue_raw:9 cointegration_test_statistic:6",
+    f"""SELECT e.pair_id, CASE WHEN passes_correlation_filter THEN stat END AS cointegration_test_statistic,
+        CASE WHEN passes_correlation_filter THEN {tau_p('stat', 2)} END AS cointegration_pvalue_raw
+        FROM evaluated e LEFT JOIN (
+          SELECT pair_id, g / sqrt((dd - g * ed) / (m - 1) / ee) AS stat FROM (
+            SELECT pair_id, sum(e1 * ds) AS ed, sum(e1 * e1) AS ee, sum(ds * ds) AS dd, count(ds) AS m, ed / ee AS g
+            FROM (SELECT pair_id, ds, s1 - mean AS e1 FROM pair_residuals JOIN (
+                    SELECT f.pair_id, avg(y - beta * x) AS mean FROM formation_returns f JOIN pair_fit USING (pair_id)
+                    GROUP BY f.pair_id) USING (pair_id) WHERE ds IS NOT NULL) GROUP BY pair_id)) USING (pair_id)""")
 
 
 def _line_prices(r, s, sf):
@@ -326,16 +376,22 @@ add("x01_x03_x04_x06_spread_diagnostics", lambda r, s, sf: r.spread_diagnostics,
 add("x02_spread_series", lambda r, s, sf: r.spreads,
     "date:d pair_id ticker_1 ticker_2 adjusted_close_1:6 adjusted_close_2:6 log_price_1:6 log_price_2:6 alpha:6 "
     "beta:6 spread:6", "SELECT * FROM spreads")
+def _adf(r, max_lag):
+    return S.spread_diagnostics(r.selected, r.prices, r.vectors, replace(SETTINGS.spreads, variant="aic", max_lag=max_lag))
+
+
 add("x05_adf_aic",
-    lambda r, s, sf: S.spread_diagnostics(r.selected, r.prices, r.vectors, replace(SETTINGS.spreads, variant="aic")),
-    "pair_id adf_p_value_formation:9 half_life_formation:6")
+    lambda r, s, sf: _adf(r, None).withColumn("in_range", F.col("adf_p_value_formation").between(0, 1)),
+    "pair_id in_range half_life_formation:6", "SELECT *, true AS in_range FROM spread_diagnostics")
+add("x05_adf_no_lag", lambda r, s, sf: _adf(r, 0), "pair_id adf_p_value_formation:9",
+    f"SELECT pair_id, {tau_p('t', 1)} AS adf_p_value_formation FROM spread_df")
 add("x07_lagged_zscores", lambda r, s, sf: S.lagged_zscores(r.spreads, SETTINGS.spreads.windows),
     "date:d pair_id ticker_1 ticker_2 z_score_window:i rolling_mean_lagged:6 rolling_std_lagged:6 z_score:6",
     "SELECT * FROM zscores")
 
 
 def _features(r, **changes):
-    return X.build_features(r.spreads, r.zscores, r.panel(), replace(SETTINGS.features, **changes))
+    return X.build_features(r.spreads, r.zscores, r.panel(), replace(SETTINGS.features, **changes), unique=True)
 
 
 add("f01_f13_features", lambda r, s, sf: _features(r),
@@ -346,9 +402,9 @@ add("f12_split_labels", lambda r, s, sf: _features(r, drop_missing_rows=False).g
     "split n:i first:d last:d",
     "SELECT split, count(*) AS n, min(target_date) AS first, max(target_date) AS last FROM feature_rows "
     "WHERE split IS NOT NULL GROUP BY split")
-add("f14_split_extract", lambda r, s, sf: X.split_extract(r.features, "holdout_2025"),
-    "date:d pair_id split spread:6 " + " ".join(f"{c}:6" for c in FEATURES),
-    "SELECT * FROM features WHERE split = 'holdout_2025'")
+add("f14_split_extract",
+    lambda r, s, sf: reduce(DataFrame.unionByName, [X.split_extract(r.features, x) for x in SPLITS]),
+    "date:d pair_id split spread:6 " + " ".join(f"{c}:6" for c in FEATURES), "SELECT * FROM features")
 
 # --------------------------------------------------------------------------- forecasts
 
@@ -358,15 +414,35 @@ PREDICTION = ("pair_id ticker_1 ticker_2 model feature_date:d target_date:d spli
 for _name, _model in (("m01_naive", "naive"), ("m02_rolling_mean", "rolling_mean"), ("m03_arima", "arima")):
     add(_name, lambda r, s, sf, m=_model: r.forecast(m), PREDICTION,
         f"SELECT * FROM predictions WHERE model = '{_model}'")
+# Forecasts whose numbers SQL cannot follow: their rows, actuals and training counts have a
+# twin, and whether each row has a finite forecast.
+SHAPE = ("pair_id ticker_1 ticker_2 model feature_date:d target_date:d split actual:6 training_split_source "
+         "training_observation_count:i spread:6 forecast")
+
+
+def _finite(df):
+    return df.withColumn("forecast", F.col("prediction").isNotNull() & ~F.isnan("prediction")
+                         & (F.abs("prediction") < 1e9))
+
+
+def _shape_sql(model: str, forecast: str = "true") -> str:
+    return f"SELECT * REPLACE ('{model}' AS model), {forecast} AS forecast FROM predictions WHERE model = 'naive'"
+
+
+# A sequence ends at each row: training rows of the pair come first, then the rows of the split.
+_LONG = (f"(SELECT count(*) FROM train t WHERE t.pair_id = predictions.pair_id) + row_number() OVER "
+         f"(PARTITION BY pair_id, split ORDER BY feature_date) >= {FC.sequence_length}")
 add("m03_arima_other_order",
-    lambda r, s, sf: M.arima_forecast(r.features, replace(FC, arima_order=(2, 1, 1))), PREDICTION)
-add("m04_boosted_trees", lambda r, s, sf: L.boosted_tree_forecast(r.features, replace(FC, trees=20)), PREDICTION)
-add("m05_sequences", lambda r, s, sf: L.sequences(r.features, replace(FC, sequence_length=5)).select(
+    lambda r, s, sf: _finite(M.arima_forecast(r.features, replace(FC, arima_order=(2, 1, 1)))), SHAPE,
+    _shape_sql("arima"))
+add("m04_boosted_trees", lambda r, s, sf: _finite(L.boosted_tree_forecast(r.features, FC)), SHAPE,
+    _shape_sql("boosted_trees"))
+add("m05_sequences", lambda r, s, sf: L.sequences(r.features, FC).select(
     "pair_id", "date", F.col("for_split").alias("split"), "phase",
     F.when(F.col("sequence").isNotNull(), F.size("sequence")).alias("length"),
     F.aggregate("sequence", F.lit(0.0), lambda a, v: a + v).alias("total")),
     "pair_id date:d split phase:i length:i total:4",
-    # Per row the sum of scaled inputs, then the sum of the last five rows.
+    # Per row the sum of scaled inputs, then the sum over the sequence.
     "WITH scale AS MATERIALIZED (SELECT " + ", ".join(
         f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(["spread"] + FEATURES))
     + " FROM train), feed AS (SELECT pair_id, date, split, 1 AS phase, * EXCLUDE (pair_id, date, split) FROM eval_rows "
@@ -374,18 +450,25 @@ add("m05_sequences", lambda r, s, sf: L.sequences(r.features, replace(FC, sequen
       "CROSS JOIN (SELECT unnest(['validation', 'test', 'holdout_2025']) AS split) s), "
       "totals AS (SELECT pair_id, date, split, phase, " + " + ".join(
         f"({c} - m{i}) / d{i}" for i, c in enumerate(["spread"] + FEATURES)) + " AS v FROM feed, scale) "
-    "SELECT pair_id, date, split, phase, CASE WHEN count(*) OVER f = 5 THEN %d END AS length, "
-    "CASE WHEN count(*) OVER f = 5 THEN sum(v) OVER f END AS total FROM totals "
-    "WINDOW f AS (PARTITION BY pair_id, split ORDER BY phase, date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
-    % (5 * (1 + len(FEATURES))))
-add("m05_sequence_regression",
-    lambda r, s, sf: L.sequence_forecast(r.features, replace(FC, sequence_length=3)), PREDICTION)
+    "SELECT pair_id, date, split, phase, CASE WHEN count(*) OVER f = %d THEN %d END AS length, "
+    "CASE WHEN count(*) OVER f = %d THEN sum(v) OVER f END AS total FROM totals "
+    "WINDOW f AS (PARTITION BY pair_id, split ORDER BY phase, date ROWS BETWEEN %d PRECEDING AND CURRENT ROW)"
+    % (FC.sequence_length, FC.sequence_length * (1 + len(FEATURES)), FC.sequence_length, FC.sequence_length - 1))
+add("m05_sequence_regression", lambda r, s, sf: _finite(L.sequence_forecast(r.features, FC)), SHAPE,
+    _shape_sql("sequence_regression", _LONG))
 INPUTS = ["spread"] + FEATURES
 add("m06_m08_fitted_inputs", lambda r, s, sf: L.fitted_inputs(r.features, FC),
     "source column fill:6 mean:6 std:6",
     " UNION ALL ".join(
         f"SELECT 'train' AS source, '{c}' AS \"column\", median({c}) AS fill, avg({c}) AS mean, "
         f"stddev_pop({c}) AS std FROM train" for c in INPUTS))
+add("m06_m08_inputs_with_gaps",
+    lambda r, s, sf: L.fitted_inputs(_features(r, drop_missing_rows=False), FC),
+    "source column fill:6 mean:6 std:6",
+    " UNION ALL ".join(
+        f"SELECT 'train' AS source, '{c}' AS \"column\", fill, avg(coalesce(x, fill)) AS mean, "
+        f"stddev_pop(coalesce(x, fill)) AS std FROM (SELECT {c} AS x, median({c}) OVER () AS fill FROM feature_rows "
+        "WHERE split = 'train' AND target_next_day_spread IS NOT NULL) GROUP BY fill" for c in INPUTS))
 add("m09_train_validation_for_test",
     lambda r, s, sf: M.rolling_mean_forecast(r.features, replace(FC, train_validation_for_test=True)).filter(
         "split = 'test'"),
@@ -396,6 +479,11 @@ add("m09_train_validation_for_test",
           THEN avg(spread) OVER f END AS prediction FROM features WHERE split IN ('train', 'validation', 'test')
         WINDOW f AS (PARTITION BY pair_id ORDER BY split = 'test', date
           ROWS BETWEEN {FC.rolling_window} PRECEDING AND 1 PRECEDING)) WHERE split = 'test'""")
+add("m10_all_models",
+    lambda r, s, sf: _finite(reduce(DataFrame.unionByName, [r.forecast(m) for m in Settings().models])),
+    SHAPE, " UNION ALL ".join(_shape_sql(m, f) for m, f in (
+        ("naive", "prediction IS NOT NULL"), ("arima", "true"), ("boosted_trees", "true"), ("sequence_regression", _LONG)))
+    + " UNION ALL SELECT *, prediction IS NOT NULL FROM predictions WHERE model = 'rolling_mean'")
 add("m10_predictions", lambda r, s, sf: r.predictions, PREDICTION, "SELECT * FROM predictions")
 METRIC = ("model split rmse:6 mae:6 directional_accuracy:6 prediction_correlation:6 bias:6 observation_count:i")
 add("m11_m13_forecast_metrics", lambda r, s, sf: M.forecast_metrics(r.predictions), METRIC, "SELECT * FROM metrics")
@@ -422,10 +510,25 @@ SIGNAL = ("pair_id ticker_1 ticker_2 model feature_date:d target_date:d split cu
 
 def _signal_input(r):
     return G.signal_input(r.predictions, r.spreads, r.zscores, r.selected,
-                          G.single_run(r.traded_models(), SETTINGS.signals), SETTINGS.signals)
+                          G.single_run(r.traded_models(), SETTINGS.signals), SETTINGS.signals, unique=True)
 
 
 add("g01_g05_signal_input", lambda r, s, sf: _signal_input(r), SIGNAL, "SELECT * FROM base_input")
+
+
+def _twice(df, value):
+    """Every row, and before it one of the same key with another value."""
+    early = df.withColumns({value: F.col(value) + 1.0, "ord": F.lit(0)})
+    return early.unionByName(df.withColumn("ord", F.lit(1)))
+
+
+add("g01_g05_last_context_row",
+    lambda r, s, sf: G.signal_input(r.predictions, _twice(r.spreads, "spread"), _twice(r.zscores, "z_score"), r.selected,
+                                    G.single_run(r.traded_models(), SETTINGS.signals), SETTINGS.signals),
+    SIGNAL, "SELECT * FROM base_input")
+add("f01_f13_last_context_row",
+    lambda r, s, sf: X.build_features(_twice(r.spreads, "spread"), _twice(r.zscores, "z_score"), r.panel(), SETTINGS.features),
+    "date:d pair_id split spread:6 " + " ".join(f"{c}:6" for c in FEATURES), "SELECT * FROM features")
 add("g06_signals", lambda r, s, sf: G.generate_signals(_signal_input(r)),
     f"{SIGNAL} signal_action signal_state entry_z:6 exit_z:6 stop_loss_z:6 holding_days:i exit_reason",
     "SELECT * FROM base_signals")
@@ -496,8 +599,20 @@ add("a05_a09_return_metrics", lambda r, s, sf: A.return_metrics(r.drawdowns, SET
     f"model split {RETURNS} observation_count:i", "SELECT * FROM base_returns")
 TRADE = ("model split number_of_trades:i win_rate:6 average_trade_pnl:4 median_trade_pnl:4 profit_factor:6 "
          "average_holding_period:6 gross_profit:4 gross_loss:4 exit_reason_counts")
-add("a10_a11_trade_metrics", lambda r, s, sf: A.trade_metrics(r.split_frames["trade_log"]), TRADE,
-    "SELECT * FROM base_trade_metrics")
+def _trade_metrics(trades):
+    return A.trade_metrics(trades).withColumn(
+        "no_loss", F.coalesce(F.col("profit_factor") == float("inf"), F.lit(False)))
+
+
+add("a10_a11_trade_metrics", lambda r, s, sf: _trade_metrics(r.split_frames["trade_log"]), f"{TRADE} no_loss",
+    "SELECT *, gross_loss = 0 AND gross_profit > 0 AS no_loss FROM base_trade_metrics")
+add("a10_infinite_profit_factor",
+    lambda r, s, sf: _trade_metrics(r.split_frames["trade_log"].filter("net_pnl > 0")),
+    "model split number_of_trades:i gross_profit:4 no_loss",
+    """SELECT model, split, count(*) AS number_of_trades, sum(net_pnl) AS gross_profit, true AS no_loss FROM (
+       SELECT model, 'all' AS split, net_pnl FROM base_split_trades UNION ALL
+       SELECT model, split, net_pnl FROM base_split_trades WHERE split IS NOT NULL AND split <> 'all')
+       WHERE net_pnl > 0 GROUP BY model, split""")
 add("a12_exposure_metrics", lambda r, s, sf: A.exposure_metrics(r.split_frames["exposure"]),
     "model split average_gross_exposure:4 average_net_exposure:4 max_gross_exposure:4 average_active_positions:6 "
     "turnover:4 average_daily_turnover:4 observation_count:i", "SELECT * FROM base_exposure_metrics")
@@ -572,10 +687,28 @@ add("r11_parameter_concentration",
           SELECT *, greatest(1, ceil(total * {RB.concentration_top_fraction}))::BIGINT AS top FROM (
           SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY {RB.selection_metric} DESC, scenario_id, model)
             AS place FROM valid_results WHERE {RB.selection_metric} IS NOT NULL)))""")
-add("r12_robustness_summary", lambda r, s, sf: r.robustness_summary.groupBy("summary_item", "selection_split").agg(
-    F.count(F.lit(1)).alias("n")), "summary_item selection_split n:i",
-    "SELECT unnest([" + ", ".join(f"'{i}'" for i in R.ITEMS) + "]) AS summary_item, 'validation' AS selection_split, "
-    "1 AS n FROM (SELECT 1 FROM robustness LIMIT 1)")
+add("r12_robustness_summary", lambda r, s, sf: r.robustness_summary,
+    "summary_item selection_split selection_metric value:6 notes",
+    " UNION ALL ".join(
+        f"SELECT summary_item, 'validation' AS selection_split, '{RB.selection_metric}' AS selection_metric, value, notes "
+        f"FROM ({q.sql}) i" for q in ALL if q.name in (
+            "r07_r09_headline_scenarios", "r10_cost_sensitivity", "r11_parameter_concentration")))
+
+
+def _number_texts(r, s, sf):
+    """Prices over many powers of ten, as the notes and ids write them."""
+    powers = F.array(*[F.lit(x) for x in POWERS])
+    value = F.sqrt("l_extendedprice") * F.element_at(powers, F.col("l_linenumber").cast("int"))
+    rows = driver.table(s, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_discount") > 0.05, -value).otherwise(value).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", general_text(F.col("v")).alias("six"), float_text(F.col("v")).alias("whole"))
+
+
+POWERS = (1e-9, 1e-6, 1e-4, 1e-2, 1.0, 1e4, 1e15)
+add("r10_e14_number_text", _number_texts, "l_orderkey:i l_linenumber:i six whole",
+    f"""SELECT l_orderkey, l_linenumber, printf('%.6g', v) AS six, v::VARCHAR AS whole FROM (
+        SELECT l_orderkey, l_linenumber, sqrt(l_extendedprice) * list_extract({list(POWERS)}::DOUBLE[], l_linenumber)
+          * CASE WHEN l_discount > 0.05 THEN -1 ELSE 1 END AS v FROM lineitem)""")
 
 # --------------------------------------------------------------------------- regimes
 
@@ -606,12 +739,26 @@ step("eligible", "SELECT * FROM regime_performance WHERE meets_minimum_observati
 _cols = ", ".join(A.RETURN_METRICS) + ", net_pnl, number_of_trading_days, number_of_trades, average_gross_exposure, average_active_positions"
 step("share", f"""SELECT *, abs(net_pnl) / sum(abs(net_pnl)) OVER (PARTITION BY model) AS part FROM eligible
  WHERE regime IN {_vols}""")
+NUMBER = r"=(-?[0-9][0-9.e+-]*|nan)(;|\.$)"
+
+
+def _note_numbers():
+    names = {"hv": f"high_volatility {_m}", "lv": f"low_volatility {_m}", "hp": "high_net_pnl", "lp": "low_net_pnl"}
+    return {k: F.when(F.col("summary_item") == "high_vs_low_volatility", F.regexp_extract(
+        "notes", f"{name}{NUMBER}", 1).try_cast("double")) for k, name in names.items()}
+
+
+def _of_regime(column: str, regime: str) -> str:
+    return f"max({column}) FILTER (WHERE regime = '{regime}_volatility')"
+
+
 add("e12_e14_regime_summary",
-    lambda r, s, sf: r.regime_summary.withColumn("notes", F.when(
-        F.col("summary_item") != "high_vs_low_volatility", F.col("notes"))),
-    f"summary_item model regime metric value:6 notes {RETURNS} net_pnl:4 number_of_trading_days:i number_of_trades:i "
+    # Numbers of the volatility note are compared as numbers, its words as text.
+    lambda r, s, sf: r.regime_summary.withColumns(_note_numbers() | {"notes": F.regexp_replace(
+        "notes", NUMBER, "=#$2")}),
+    f"summary_item model regime metric value:6 notes hv:6 lv:6 hp:4 lp:4 {RETURNS} net_pnl:4 number_of_trading_days:i number_of_trades:i "
     "average_gross_exposure:4 average_active_positions:6",
-    f"""SELECT * FROM (SELECT 'best_regime' AS summary_item, model, regime, '{_m}' AS metric, {_m} AS value,
+    f"""SELECT u.*, hv, lv, hp, lp FROM (SELECT * FROM (SELECT 'best_regime' AS summary_item, model, regime, '{_m}' AS metric, {_m} AS value,
           'Best regime by {_m} among rows meeting minimum observations.' AS notes, {_cols} FROM eligible
           WHERE {_m} IS NOT NULL ORDER BY {_m} DESC, model, regime LIMIT 1)
         UNION ALL SELECT * FROM (SELECT 'worst_drawdown_regime', model, regime, 'max_drawdown', max_drawdown,
@@ -625,11 +772,23 @@ add("e12_e14_regime_summary",
           {_cols} FROM regime_performance WHERE regime = 'holdout_2025'
         UNION ALL SELECT 'high_vs_low_volatility', model, 'high_vs_low_volatility', '{_m}',
           max({_m}) FILTER (WHERE regime = 'high_volatility') - max({_m}) FILTER (WHERE regime = 'low_volatility'),
-          NULL, {", ".join("NULL" for _ in _cols.split(","))} FROM regime_performance GROUP BY model""")
+          'high_volatility {_m}=#; low_volatility {_m}=#; high_net_pnl=#; low_net_pnl=#.',
+          {", ".join("NULL" for _ in _cols.split(","))} FROM regime_performance GROUP BY model) u
+        LEFT JOIN (SELECT model, 'high_vs_low_volatility' AS summary_item,
+            {_of_regime(_m, "high")} AS hv, {_of_regime(_m, "low")} AS lv, {_of_regime("net_pnl", "high")} AS hp,
+            {_of_regime("net_pnl", "low")} AS lp FROM regime_performance GROUP BY model) n
+          ON n.model = u.model AND n.summary_item = u.summary_item""")
 
 # --------------------------------------------------------------------------- report tables
 
 add("t01_selected_model", lambda r, s, sf: T.selected_model(r.comparison, r.metrics, FC), "model", "SELECT * FROM best_model")
+add("t01_ranked_model",
+    lambda r, s, sf: T.selected_model(r.comparison.withColumn("selected_by_validation", F.lit(False)), r.metrics, FC),
+    "model", "SELECT * FROM best_model")
+add("t01_measured_model",
+    lambda r, s, sf: T.selected_model(r.comparison.withColumns({
+        "selected_by_validation": F.lit(False), "selection_rank": F.lit(None).cast("int")}), r.metrics, FC),
+    "model", "SELECT * FROM best_model")
 add("t02_holdout_table",
     lambda r, s, sf: T.holdout_table(r.backtest_metrics, r.regime_performance,
                                      r.regime_performance.filter("regime_type = 'special_period'"), r.comparison),
@@ -640,8 +799,22 @@ add("t02_holdout_table_fallback",
                                      r.regime_performance.filter("regime_type = 'special_period'"), r.comparison),
     "source model split regime total_return:6 sharpe_ratio:6 max_drawdown:6 number_of_trades:i",
     "SELECT *, 'regime_performance' AS source, '' AS split FROM regime_performance WHERE regime = 'holdout_2025'")
-add("t03_metric_row", lambda r, s, sf: T.metric_row(r.backtest_metrics, r.metrics.select(F.lit("naive").alias("model")), "test"),
-    f"model split {CORE}", "SELECT * FROM base_metrics WHERE model = 'naive' AND split = 'test'")
+add("t02_holdout_from_special_periods",
+    lambda r, s, sf: T.holdout_table(r.backtest_metrics.filter("split = 'all'"), r.regime_performance.filter(F.lit(False)),
+                                     r.regime_performance.filter("regime = 'holdout_2025'"), r.comparison),
+    "source model split regime total_return:6 sharpe_ratio:6 max_drawdown:6 number_of_trades:i",
+    "SELECT *, 'special_period_performance' AS source, '' AS split FROM regime_performance WHERE regime = 'holdout_2025'")
+add("t02_holdout_from_comparison",
+    lambda r, s, sf: T.holdout_table(r.backtest_metrics.filter("split = 'all'"), r.regime_performance.filter(F.lit(False)),
+                                     r.regime_performance.filter(F.lit(False)), r.comparison),
+    "source model split regime total_return:6 holdout_2025_rmse:6 holdout_2025_mae:6",
+    """SELECT *, 'model_comparison' AS source, 'holdout_2025' AS split, '' AS regime, NULL AS total_return
+       FROM comparison""")
+add("t03_metric_row",
+    lambda r, s, sf: T.metric_row(r.backtest_metrics, T.selected_model(r.comparison, r.metrics, FC), "test"),
+    f"model split {CORE}", """SELECT * FROM base_metrics WHERE split = 'test'
+       ORDER BY model = (SELECT model FROM best_model) DESC, sharpe_ratio DESC NULLS LAST,
+         total_return DESC NULLS LAST, model LIMIT 1""")
 add("t04_risk_row",
     lambda r, s, sf: T.risk_row(r.backtest_metrics, r.drawdowns, T.selected_model(r.comparison, r.metrics, FC)),
     "model split date:d drawdown:6",

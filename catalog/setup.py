@@ -41,13 +41,15 @@ SETTINGS = Settings(
     robustness=RobustnessParams(
         entry_z_values=(0.5, 1.5), exit_z_values=(0.25,), stop_loss_z_values=(2.5,),
         commission_bps_values=(0.0, 5.0), zscore_window_values=(60,),
-        signal_model_values=("naive", "best_validation", "rolling_mean"), max_scenarios=10),
+        signal_model_values=("naive", "best_validation", "rolling_mean")),
     regimes=RegimeParams(
         market_proxy=driver.MARKET, walk=WALK, volatility_window=20, volatility_min_periods=20,
         trend_window=60, trend_min_periods=60, minimum_observations=10,
         special_periods=(("Spring 1999", Period("1999-03-01", "1999-05-31")),
                          ("year-2000 close", Period("2000-10-01", "2000-12-31")),
                          ("final_holdout", Period("2001-01-01", "2001-12-31")))),
+    # The chain that SQL can follow; m04, m05 and m10_all_models run the learned models.
+    models=("naive", "rolling_mean", "arima"),
     traded=("naive", "rolling_mean"),
 )
 
@@ -58,12 +60,12 @@ def research(spark: SparkSession, sf_dir: str) -> Research:
     """The run of this session and folder; its stage tables are shared by all queries."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RUNS:
-        bars = driver.bars(spark, sf_dir).select("ticker", "date", "adjusted_close", "volume")
+        def prices(run: Research):
+            stocks = run._stage(driver.bars(spark, sf_dir).select("ticker", "date", "adjusted_close", "volume"), "stocks")
+            return stocks.unionByName(driver.market_bars(stocks))
+
         name = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-        run = Research(spark, bars, driver.constituents(spark, sf_dir), SETTINGS, name)
-        stocks = run._stage(bars, "stocks")
-        run._prices = stocks.unionByName(driver.market_bars(stocks))
-        _RUNS[key] = run
+        _RUNS[key] = Research(spark, prices, driver.constituents(spark, sf_dir), SETTINGS, name)
     return _RUNS[key]
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from .setup import DATA, SETTINGS, WALK
+from pairloom.functions.stats import TAU
 from pairloom.params import label_name
 from pairloom.sources.driver import MARKET
 
@@ -62,6 +63,19 @@ def erfc(x: str) -> str:
             f"ELSE 1.0 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {series} END")
 
 
+def tau_p(t: str, series: int) -> str:
+    """Response-surface p-value of a unit-root statistic."""
+    row = TAU[series]
+
+    def surface(powers) -> str:
+        z = "(" + " + ".join(f"({c}) * ({t}) ** {k}" for k, c in enumerate(powers)) + ")"
+        return (f"CASE WHEN {z} < 0 THEN 0.5 * ({erfc(f'(-{z} / sqrt(2.0))')}) "
+                f"ELSE 1 - 0.5 * ({erfc(f'({z} / sqrt(2.0))')}) END")
+
+    return (f"CASE WHEN {t} > {row['max']} THEN 1.0 WHEN {t} < {row['min']} THEN 0.0 "
+            f"WHEN {t} <= {row['star']} THEN {surface(row['small'])} ELSE {surface(row['large'])} END")
+
+
 # --------------------------------------------------------------------------- inputs
 
 step("ship", """
@@ -434,7 +448,7 @@ step("grid", "SELECT *, 'scenario_' || substr(sha1(payload), 1, 12) AS scenario_
          f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE, {f}::DOUBLE, {g}, '{h}')" for a, b, c, e, f, g, h in [
              (a, b, c, e, f, g, h) for a in RP.entry_z_values for b in RP.exit_z_values for c in RP.stop_loss_z_values
              for e in RP.commission_bps_values for f in RP.slippage_bps_values for g in RP.zscore_window_values
-             for h in RP.signal_model_values][:RP.max_scenarios])
+             for h in RP.signal_model_values])
      + ") v(entry_z, exit_z, stop_loss_z, commission_bps, slippage_bps, zscore_window, signal_model))")
 step("resolved", """
  SELECT *, concat_ws('|', entry_z, exit_z, stop_loss_z, zscore_window, model) AS run_id FROM (

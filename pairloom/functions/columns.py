@@ -125,6 +125,74 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return _edge_row(F.min_by, df, keys, order)
 
 
+def latest(df: DataFrame, keys: Sequence[str], unique: bool, label: str) -> DataFrame:
+    """Last source row per key, by the ordinal ``ord``.
+
+    A table that already has one row per key is passed with ``unique`` and does not
+    shuffle. Without an ordinal the last row is not defined, so that is refused.
+    """
+    if unique:
+        return df.drop("ord")
+    if "ord" not in df.columns:
+        raise ValueError(f"{label}: give the source order in 'ord', or say that the rows are unique")
+    return last_row(df, list(keys), ["ord"]).drop("ord")
+
+
+def number_rows(df: DataFrame, out: str) -> DataFrame:
+    """Consecutive row numbers from 0 in source order, without a sort in one task.
+
+    Rows are counted per partition; a partition starts at the sum of those before it,
+    a window over one row per partition.
+    """
+    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    return marked.withColumn("_part", part).join(begins, "_part").withColumn(
+        out, F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_begin", "_at")
+
+
+def _mantissa(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def general_text(value: Column) -> Column:
+    """Six significant digits as C's %.6g writes them.
+
+    A number whose shortest text has its seventh digit as a lone 5 rounds away from zero.
+    """
+    scientific = F.format_string("%.5e", value)
+    power = F.substring_index(scientific, "e", -1).try_cast("int")
+    text = F.concat(_mantissa(F.substring_index(scientific, "e", 1)), F.lit("e"),
+                    F.substring_index(scientific, "e", -1))
+    for e in range(-4, 6):
+        text = F.when(power == e, _mantissa(F.format_string(f"%.{5 - e}f", value))).otherwise(text)
+    return F.when(value.isNull(), F.lit(None)).when(value == 0, F.lit("0")).when(F.isnan(value), F.lit("nan")).when(
+        F.abs(value) == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(text)
+
+
+def float_text(value: Column) -> Column:
+    """The shortest text that reads back as the same number, with powers of ten from 1e16
+    and below 1e-4 only; missing and NaN are 'nan'."""
+    scientific = F.format_string("%.16e", value)
+    for digits in (15, 14):  # fewer digits, where they still read back as the number
+        fewer = F.format_string(f"%.{digits}e", value)
+        scientific = F.when(fewer.try_cast("double") == value, fewer).otherwise(scientific)
+    power = F.substring_index(scientific, "e", -1).try_cast("int")
+    head = _mantissa(F.substring_index(scientific, "e", 1))
+    sign = F.when(head.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(head, r"[-.]", "")
+    whole = F.rpad(digits, power + 1, F.lit("0"))
+    long = F.concat(sign, F.substr(whole, F.lit(1), power + 1), F.lit("."), F.when(
+        F.length(digits) > power + 1, F.substr(digits, power + 2)).otherwise(F.lit("0")))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    plain = F.when(power.between(0, 15), long).when(power.between(-4, -1), small).otherwise(
+        F.concat(head, F.lit("e"), F.substring_index(scientific, "e", -1)))
+    return F.when(value.isNull() | F.isnan(value), F.lit("nan")).when(
+        F.abs(value) == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(plain)
+
+
 def split_of(date: Column, walk) -> Column:
     """Walk-forward split of a date; NULL outside every range."""
     out = F.lit(None).cast("string")

@@ -1,7 +1,7 @@
-"""Statistics built from Spark aggregates, plus three small Arrow functions.
+"""Statistics built from Spark aggregates, plus small Arrow functions.
 
 The aggregates carry all the data volume. Arrow functions only see one row per
-pair (a normal tail, an AR(1) likelihood in one unknown) or one aligned price
+pair (an AR(1) likelihood in one unknown) or one aligned price
 history per surviving pair (the lag-augmented unit-root test).
 """
 
@@ -81,10 +81,27 @@ def spread_test(beta: Column) -> SpreadTest:
     return SpreadTest(gamma, statistic, half_life)
 
 
-@F.pandas_udf(DOUBLE)
-def two_sided_normal(statistic: pd.Series) -> pd.Series:
-    """P(|Z| > |t|); Spark has no complementary error function."""
-    return statistic.map(lambda t: math.erfc(abs(t) / math.sqrt(2)), na_action="ignore")
+def erfc(x: Column) -> Column:
+    """Complementary error function of a value that is not negative.
+
+    Below 2 the all-positive series of the error function, from there the continued
+    fraction; both are long enough for full double precision.
+    """
+    square = x * x
+    series = F.lit(1.0)
+    for k in range(45, 0, -1):
+        series = series * square * F.lit(2.0 / (2 * k + 1)) + 1.0
+    fraction = x
+    for k in range(50, 0, -1):
+        fraction = x + F.lit(k / 2) / fraction
+    edge = F.exp(-square) / F.lit(math.sqrt(math.pi))
+    return F.when(x < 2, F.lit(1.0) - 2.0 * edge * x * series).otherwise(edge / fraction)
+
+
+def two_sided_normal(statistic) -> Column:
+    """P(|Z| > |t|)."""
+    t = F.col(statistic) if isinstance(statistic, str) else statistic
+    return erfc(F.abs(t) / F.lit(math.sqrt(2)))
 
 
 # --------------------------------------------------------------------------- unit-root test
@@ -126,13 +143,14 @@ def lagged_design(x: np.ndarray, lags: int, const: bool):
     return dx[lags:], np.column_stack(columns)
 
 
-def unit_root_statistic(x: np.ndarray, const: bool) -> float:
-    """t statistic with the lag length of least AIC."""
+def unit_root_statistic(x: np.ndarray, const: bool, max_lag: int | None = None) -> float:
+    """t statistic with the lag length of least AIC, up to ``max_lag`` or a bound by length."""
     n = len(x)
     base = 2 if const else 1
     limit = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - base)
     if limit < 0:
         return math.nan
+    limit = limit if max_lag is None else min(limit, max_lag)
     y, design = lagged_design(x, limit, const)
     # One QR serves every nested model: each column takes its projection off.
     q, _ = np.linalg.qr(design)
@@ -150,30 +168,36 @@ def unit_root_statistic(x: np.ndarray, const: bool) -> float:
     return float(coef[base - 1] / spread) if spread > 0 else math.nan
 
 
-@F.pandas_udf(_doubles("statistic", "p_value"))
-def engle_granger(y: pd.Series, x: pd.Series) -> pd.DataFrame:
+def engle_granger(y: str, x: str, max_lag: int | None = None) -> Column:
     """Two-step cointegration test of aligned log-price arrays."""
-    out = []
-    for a, b in zip(y, x):
-        a, b = np.asarray(a, float), np.asarray(b, float)
-        design = np.column_stack([np.ones(len(b)), b])
-        coef, *_ = np.linalg.lstsq(design, a, rcond=None)
-        residual = a - design @ coef
-        total = ((a - a.mean()) ** 2).sum()
-        if total == 0 or residual @ residual / total <= 100 * math.sqrt(np.finfo(float).eps):
-            out.append((-math.inf, 0.0))
-            continue
-        stat = unit_root_statistic(residual, const=False)
-        out.append((stat, tau_p_value(stat, 2)))
-    return pd.DataFrame(out, columns=["statistic", "p_value"])
-
-
-@F.pandas_udf(DOUBLE)
-def adf_p(series: pd.Series) -> pd.Series:
+    @F.pandas_udf(_doubles("statistic", "p_value"))
+    def test(y: pd.Series, x: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(y, x):
+            a, b = np.asarray(a, float), np.asarray(b, float)
+            design = np.column_stack([np.ones(len(b)), b])
+            coef, *_ = np.linalg.lstsq(design, a, rcond=None)
+            residual = a - design @ coef
+            total = ((a - a.mean()) ** 2).sum()
+            if total == 0 or residual @ residual / total <= 100 * math.sqrt(np.finfo(float).eps):
+                out.append((-math.inf, 0.0))
+                continue
+            stat = unit_root_statistic(residual, False, max_lag)
+            out.append((stat, tau_p_value(stat, 2)))
+        return pd.DataFrame(out, columns=["statistic", "p_value"])
+
+    return test(y, x)
+
+
+def adf_p(series: Column, max_lag: int | None = None) -> Column:
     """Unit-root p-value of spread arrays."""
-    return pd.Series([
-        tau_p_value(unit_root_statistic(np.asarray(s, float), const=True), 1) for s in series
-    ], dtype=float)
+    @F.pandas_udf(DOUBLE)
+    def test(series: pd.Series) -> pd.Series:
+        return pd.Series([
+            tau_p_value(unit_root_statistic(np.asarray(s, float), True, max_lag), 1) for s in series
+        ], dtype=float)
+
+    return test(series)
 
 
 # --------------------------------------------------------------------------- AR(1) likelihood

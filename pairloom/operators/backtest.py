@@ -104,7 +104,7 @@ def simulation_calendar(prepared: DataFrame, prices: DataFrame, period: Period,
     dates = prices.filter(F.col("date").between(F.lit(period.start), F.lit(period.end))).join(
         tickers.distinct(), "ticker", "left_semi").select("date").distinct()
     # One row per run against one row per calendar day: a small range join.
-    between = dates.join(F.broadcast(bounds), F.col("date").between(F.col("first"), F.col("last")))
+    between = dates.join(bounds, F.col("date").between(F.col("first"), F.col("last")))
     return traded.union(between.select("run_id", "date")).distinct()
 
 
@@ -272,8 +272,8 @@ def cost_table(spark, p: BacktestParams, scenario_id: str = "base", run_id: str
 
 
 def trade_log(valued: DataFrame, costs: DataFrame) -> DataFrame:
-    """Closed trades with costs, per scenario of the (broadcast, capped) cost table."""
-    rows = valued.filter(F.col("exit_date").isNotNull()).join(F.broadcast(costs), "run_id")
+    """Closed trades with costs, per scenario of the cost table."""
+    rows = valued.filter(F.col("exit_date").isNotNull()).join(costs, "run_id")
     turnover = _gross(F.col("entry_price_1"), F.col("entry_price_2")) + _gross(
         F.col("exit_price_1"), F.col("exit_price_2"))
     rows = rows.withColumns({
@@ -316,7 +316,7 @@ def daily_pnl(prepared: DataFrame, flows: DataFrame, calendar: DataFrame, costs:
               p: BacktestParams) -> DataFrame:
     """PnL, cost and equity for every simulation day, days without trades included."""
     rows = _model_calendar(prepared, calendar).join(flows, ["run_id", "model", "date"], "left").na.fill(
-        0.0, ["gross", "short_value", "turnover"]).join(F.broadcast(costs), "run_id")
+        0.0, ["gross", "short_value", "turnover"]).join(costs, "run_id")
     cost = F.col("turnover") * (F.col("commission_bps") + F.col("slippage_bps")) / 10000.0 \
         + F.col("short_value") * F.col("borrow_bps") / 10000.0 / 252.0
     w = Window.partitionBy("scenario_id", "model").orderBy("date").rowsBetween(
@@ -347,13 +347,13 @@ def exposure(prepared: DataFrame, days: DataFrame, flows: DataFrame, calendar: D
         flows.select(*keys, "turnover"), keys, "left")
     measures = ["gross_exposure", "net_exposure", "long_exposure", "short_exposure"]
     rows = rows.na.fill(0.0, [*measures, "turnover"]).na.fill(0, ["active_positions"])
-    return rows.join(F.broadcast(costs.select("scenario_id", "run_id")), "run_id").select(
+    return rows.join(costs.select("scenario_id", "run_id"), "run_id").select(
         "scenario_id", "date", "model", *measures, "active_positions", "turnover")
 
 
 def open_positions(valued: DataFrame, costs: DataFrame) -> DataFrame:
     """Positions never closed, valued at the last simulation day."""
-    rows = valued.filter(F.col("exit_date").isNull()).join(F.broadcast(costs), "run_id")
+    rows = valued.filter(F.col("exit_date").isNull()).join(costs, "run_id")
     return rows.select(
         "scenario_id", "date", "model", "pair_id", "ticker_1", "ticker_2", "side", "entry_date",
         "entry_price_1", "entry_price_2", "last_price_1", "last_price_2", "hedge_ratio_beta",

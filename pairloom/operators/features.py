@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import by_date, full_window, last_row, ratio, split_of
+from ..functions.columns import by_date, full_window, latest, ratio, split_of
 from ..params import FeatureParams
 
 
@@ -54,13 +54,16 @@ def proxy_returns(panel: DataFrame, calendar: DataFrame, ticker: str) -> DataFra
 
 
 def build_features(spreads: DataFrame, zscores: DataFrame, panel: DataFrame,
-                   p: FeatureParams) -> DataFrame:
+                   p: FeatureParams, unique: bool = False) -> DataFrame:
     """Targets, split and all enabled features of each pair and date.
 
+    Of several spread or z-score rows of one (pair, date[, window]) the last source
+    row (``ord``) counts; ``unique`` says that there is one.
     ``panel`` has one row per (ticker, date). Prices and volumes join by
     (ticker, date); then every feature shares one shuffle and one sort by
     (pair, date).
     """
+    spreads = latest(spreads, ["pair_id", "date"], unique, "spreads")
     base = spreads.select("pair_id", "ticker_1", "ticker_2", "date", "spread")
     px = panel.select("ticker", "date", "adjusted_close", "volume")
 
@@ -71,7 +74,8 @@ def build_features(spreads: DataFrame, zscores: DataFrame, panel: DataFrame,
     rows = base.join(leg(1), ["ticker_1", "date"], "left").join(leg(2), ["ticker_2", "date"], "left")
     windows = [int(w) for w in p.z_score_windows] if "lagged_z_score" in p.enabled else []
     if windows:
-        z = zscores.filter(F.col("z_score_window").isin(windows))
+        z = latest(zscores.filter(F.col("z_score_window").isin(windows)),
+                   ["pair_id", "date", "z_score_window"], unique, "z-scores")
         wide = z.groupBy("pair_id", "date").agg(*[
             F.max(F.when(F.col("z_score_window") == w, F.col("z_score"))).alias(f"z{w}")
             for w in windows
@@ -138,14 +142,3 @@ def build_features(spreads: DataFrame, zscores: DataFrame, panel: DataFrame,
 def split_extract(features: DataFrame, split: str) -> DataFrame:
     """One walk-forward split; a partition filter on the stage table."""
     return features.filter(F.col("split") == split)
-
-
-def feature_metadata(p: FeatureParams, has_proxy: bool) -> list[tuple]:
-    """(column, role, default target?) of the generated columns: names only."""
-    rows = [(f"target_{t}", "target", t == p.default_target) for t in p.targets]
-    return rows + [(c, "feature", False) for c in feature_columns(p, has_proxy)]
-
-
-def deduplicate_zscores(zscores: DataFrame, order: str = "ord") -> DataFrame:
-    """Last source row per (pair, date, window), for z-scores read from files."""
-    return last_row(zscores, ["pair_id", "date", "z_score_window"], [order])

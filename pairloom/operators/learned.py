@@ -106,7 +106,7 @@ def boosted_tree_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
             estimator, train.filter(F.col("source") == source),
             prepared(rows.filter(F.col("split").isin(*served)), features, p, scale=False), size)
         out = part if out is None else out.unionByName(part)
-    return prediction_table(out, "xgboost", features, p)
+    return prediction_table(out, "boosted_trees", features, p)
 
 
 def sequences(features: DataFrame, p: ForecastParams) -> DataFrame:
@@ -144,4 +144,4 @@ def sequence_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     early = rows.filter((F.col("phase") == 1) & F.col("inputs").isNull()).drop("inputs")
     out = out.unionByName(early.withColumn("prediction", F.lit(None).cast("double")))
-    return prediction_table(out.drop("for_split", "phase"), "lstm", features, p)
+    return prediction_table(out.drop("for_split", "phase"), "sequence_regression", features, p)

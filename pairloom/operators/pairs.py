@@ -9,47 +9,52 @@ from ..functions.stats import (
     ar1_moments, correlation, engle_granger, spread_test, two_sided_normal,
 )
 from ..params import PairParams
-from .panel import aligned_prices, price_panel, price_vectors
+from .panel import aligned_steps, price_panel, price_vectors, with_vectors
 
 IDENTITY = ("pair_id", "ticker_1", "ticker_2", "sector_1", "sector_2", "industry_1",
             "industry_2", "company_name_1", "company_name_2", "pair_liquidity")
 
 
 def candidate_pairs(universe: DataFrame, same_sector_only: bool = True,
-                    blocks: int = 8) -> DataFrame:
+                    block_size: int = 64) -> DataFrame:
     """Ticker pairs in alphabetical order, within a sector or over the whole universe.
 
-    An equi-join on (sector, cell). A ticker hashes to one of ``blocks`` blocks and
-    meets block ``j`` in cell (i, j), i <= j, so even one sector holding most tickers
-    is spread over blocks*(blocks+1)/2 cells. The inequality keeps each pair once.
+    An equi-join on (sector, cell). A ticker hashes to one of n blocks, n growing with its
+    sector (about ``block_size`` tickers each), and meets block ``j`` in cell (i, j), i <= j,
+    so even one sector holding most tickers is spread over n*(n+1)/2 cells. The inequality
+    keeps each pair once. Only tickers and liquidity go through that join; names and
+    industries are attached by ticker.
     """
     base = universe.select(
-        "ticker", "company_name", F.trim("sector").alias("key"), "sector", "industry",
-        F.col("average_daily_dollar_volume").cast("double").alias("liquidity"),
-        F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int").alias("block"),
-    )
+        "ticker", F.trim("sector").alias("key"),
+        F.col("average_daily_dollar_volume").cast("double").alias("liquidity"))
     if same_sector_only:
         base = base.filter(F.col("key") != "")
     else:
         base = base.withColumn("key", F.lit("*"))
-    sides = base.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+    sizes = base.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("blocks"))
+    base = base.join(sizes, "key").withColumn(
+        "block", F.pmod(F.xxhash64("ticker"), F.col("blocks")).cast("int"))
+    sides = base.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*",
         F.least("block", "other").alias("row"), F.greatest("block", "other").alias("column"),
     )
 
     def side(n: int) -> DataFrame:
         return sides.select("key", "row", "column", *[
-            F.col(c).alias(f"{c}_{n}")
-            for c in ("ticker", "company_name", "sector", "industry", "liquidity", "block")
+            F.col(c).alias(f"{c}_{n}") for c in ("ticker", "liquidity", "block")
         ])
 
+    def names(n: int) -> DataFrame:
+        return universe.select(*[F.col(c).alias(f"{c}_{n}") for c in ("ticker", "company_name", "sector", "industry")])
+
     # Two tickers of one block share several cells; only the diagonal one counts.
     matched = side(1).join(side(2), ["key", "row", "column"]).filter(
         (F.col("ticker_1") < F.col("ticker_2"))
         & ((F.col("block_1") != F.col("block_2")) | (F.col("row") == F.col("column")))
     )
     both = F.col("liquidity_1").isNotNull() & F.col("liquidity_2").isNotNull()
-    return matched.select(
+    return matched.join(names(1), "ticker_1").join(names(2), "ticker_2").select(
         F.concat_ws("-", "ticker_1", "ticker_2").alias("pair_id"),
         *IDENTITY[1:9],
         F.when(both, F.least("liquidity_1", "liquidity_2")).alias("pair_liquidity"),
@@ -57,19 +62,12 @@ def candidate_pairs(universe: DataFrame, same_sector_only: bool = True,
 
 
 def pair_statistics(pairs: DataFrame, vectors: DataFrame, period) -> DataFrame:
-    """Overlap, return correlation, hedge ratio, Dickey-Fuller t and half-life per pair.
-
-    One pass: lag within the pair (already partitioned by it), then one aggregate.
+    """Overlap, return correlation, hedge ratio, Dickey-Fuller t and half-life per pair,
+    in one aggregate over the unfolded vectors.
     """
-    rows = aligned_prices(pairs, vectors, period)
-    w = Window.partitionBy("pair_id").orderBy("date")
-    rows = rows.select(
-        "pair_id",
-        F.ln("adjusted_close_1").alias("y"), F.ln("adjusted_close_2").alias("x"),
-        F.lag("adjusted_close_1").over(w).alias("b1"), F.lag("adjusted_close_2").over(w).alias("b2"),
-        F.col("adjusted_close_1").alias("p1"), F.col("adjusted_close_2").alias("p2"),
-    ).select(
-        "pair_id", "y", "x", F.ln("b1").alias("y1"), F.ln("b2").alias("x1"),
+    rows = aligned_steps(pairs, vectors).select(
+        "pair_id", F.ln("p1").alias("y"), F.ln("p2").alias("x"),
+        F.ln("b1").alias("y1"), F.ln("b2").alias("x1"),
         (F.col("p1") / F.col("b1") - 1).alias("r1"), (F.col("p2") / F.col("b2") - 1).alias("r2"),
     )
     sums = rows.groupBy("pair_id").agg(
@@ -94,13 +92,16 @@ def pair_statistics(pairs: DataFrame, vectors: DataFrame, period) -> DataFrame:
 
 
 def evaluate_candidates(candidates: DataFrame, prices: DataFrame, p: PairParams,
-                        unique: bool = False) -> DataFrame:
+                        unique: bool = False, stage=None) -> DataFrame:
     """Pre-correction diagnostics of every candidate (statistics, correlation filter).
 
-    ``unique`` says that ``prices`` already has one row per (ticker, date).
+    ``unique`` says that ``prices`` already has one row per (ticker, date). ``stage`` writes
+    the price vectors once: both legs read them, and their size is known to the joins.
     """
     panel = price_panel(prices, p.formation, unique=unique)
     vectors = price_vectors(panel, p.formation)
+    if stage is not None:
+        vectors = stage(vectors)
     listed = prices.select("ticker").distinct()
     stats = pair_statistics(candidates, vectors, p.formation)
     known = (
@@ -136,7 +137,7 @@ def evaluate_candidates(candidates: DataFrame, prices: DataFrame, p: PairParams,
     else:
         # Only survivors of the correlation filter reach the Python test.
         survivors = aligned_arrays(rows.filter("passes"), vectors, p.formation)
-        tested = survivors.select("pair_id", engle_granger("y", "x").alias("t")).select(
+        tested = survivors.select("pair_id", engle_granger("y", "x", p.max_lag).alias("t")).select(
             "pair_id", F.col("t.statistic").alias("stat"), F.col("t.p_value").alias("p_raw"))
         rows = rows.join(tested, "pair_id", "left")
     return rows.select(
@@ -158,12 +159,9 @@ def evaluate_candidates(candidates: DataFrame, prices: DataFrame, p: PairParams,
 
 def aligned_arrays(pairs: DataFrame, vectors: DataFrame, period) -> DataFrame:
     """Aligned log-price arrays, one row per pair, without unfolding the dates."""
-    v1 = vectors.select(F.col("ticker").alias("ticker_1"), F.col("closes").alias("c1"))
-    v2 = vectors.select(F.col("ticker").alias("ticker_2"), F.col("closes").alias("c2"))
-    joined = pairs.select("pair_id", "ticker_1", "ticker_2").join(v1, "ticker_1").join(v2, "ticker_2")
     both = F.filter(F.arrays_zip("c1", "c2"), lambda v: v["c1"].isNotNull() & v["c2"].isNotNull())
     # Spread over all cores: the test is CPU-heavy and its input rows are few.
-    return joined.repartition("pair_id").select(
+    return with_vectors(pairs, vectors, ["pair_id", "ticker_1", "ticker_2"]).select(
         "pair_id", both.alias("v")
     ).select(
         "pair_id",
@@ -209,11 +207,15 @@ def benjamini_hochberg(df: DataFrame, p_col: str, out: str, family: tuple = ())
     adjusted = _same_bucket(ranked, carried, keys).select(
         *keys, "p", F.least(F.min("raw").over(suffix), F.col("beyond")).alias(out))
     kept = df.drop(out) if out in df.columns else df
-    renamed = adjusted.select(*[F.col(k).alias(f"_{k}") for k in keys], "p", out)
-    match = kept[p_col] == renamed["p"]
+    renamed = adjusted.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("p").alias("_p_value"), out)
+    # Rows without a p-value take no part: most rows can be such, and one key would hold them all.
+    tested = kept.filter(F.col(p_col).isNotNull())
+    match = tested[p_col] == renamed["_p_value"]
     for k in keys:
-        match = match & (kept[k] == renamed[f"_{k}"])
-    return kept.join(renamed, match, "left").drop("p", *[f"_{k}" for k in keys])
+        match = match & tested[k].eqNullSafe(renamed[f"_{k}"])
+    found = tested.join(renamed, match).select(*[tested[c] for c in kept.columns], out)
+    rest = kept.filter(F.col(p_col).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return found.unionByName(rest)
 
 
 def _same_bucket(rows: DataFrame, table: DataFrame, keys: list) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import last_row
+from ..functions.columns import latest
 from ..params import Period
 
 
@@ -19,11 +19,8 @@ def price_panel(prices: DataFrame, period: Period, tickers: DataFrame | None = N
     rows = prices.filter(F.col("date").between(F.lit(period.start), F.lit(period.end)))
     if tickers is not None:
         rows = rows.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
-    order = ["ord"] if "ord" in rows.columns else ["adjusted_close", "volume"]
-    rows = rows.select("ticker", "date", "adjusted_close", "volume",
-                       *[c for c in order if c == "ord"])
-    if not unique:
-        rows = last_row(rows, ["ticker", "date"], order)
+    rows = latest(rows.select("ticker", "date", "adjusted_close", "volume",
+                              *[c for c in ("ord",) if c in rows.columns]), ["ticker", "date"], unique, "prices")
     return rows.select(
         "ticker", "date",
         F.when(F.col("adjusted_close") > 0, F.col("adjusted_close")).alias("adjusted_close"),
@@ -75,23 +72,25 @@ def price_vectors(panel: DataFrame, period: Period) -> DataFrame:
     return packed.select("ticker", F.concat(first_gap, F.flatten(runs)).alias("closes"))
 
 
-def aligned_prices(pairs: DataFrame, vectors: DataFrame, period: Period,
-                   keep: tuple = ()) -> DataFrame:
-    """Dates on which both legs of a pair have a price.
+def with_vectors(pairs: DataFrame, vectors: DataFrame, keys: list) -> DataFrame:
+    """Pair keys with both legs' vectors (``c1``, ``c2``).
 
-    Only pair keys are shuffled (on ``pair_id``); the vectors join on the ticker,
-    by broadcast when their measured size allows, and unfold in place. Rows come
-    out partitioned by ``pair_id``, so later windows and aggregates on the pair
-    need no further exchange.
+    The keys are dealt over the tasks first. While the vectors' table is small enough to
+    broadcast by its measured size, no vector is shuffled; beyond that the joins shuffle
+    by ticker.
     """
     v1 = vectors.select(F.col("ticker").alias("ticker_1"), F.col("closes").alias("c1"))
     v2 = vectors.select(F.col("ticker").alias("ticker_2"), F.col("closes").alias("c2"))
+    return pairs.select(*keys).repartition("pair_id").join(v1, "ticker_1").join(v2, "ticker_2")
+
+
+def aligned_prices(pairs: DataFrame, vectors: DataFrame, period: Period,
+                   keep: tuple = ()) -> DataFrame:
+    """Dates on which both legs of a pair have a price."""
     keys = ["pair_id", "ticker_1", "ticker_2", *keep]
-    joined = (
-        pairs.select(*keys).join(v1, "ticker_1").join(v2, "ticker_2").repartition("pair_id")
-    )
     return (
-        joined.select(*keys, F.posexplode(F.arrays_zip("c1", "c2")).alias("i", "c"))
+        with_vectors(pairs, vectors, keys)
+        .select(*keys, F.posexplode(F.arrays_zip("c1", "c2")).alias("i", "c"))
         .filter(F.col("c.c1").isNotNull() & F.col("c.c2").isNotNull())
         .select(
             *keys,
@@ -100,3 +99,19 @@ def aligned_prices(pairs: DataFrame, vectors: DataFrame, period: Period,
             F.col("c.c2").alias("adjusted_close_2"),
         )
     )
+
+
+def aligned_steps(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Rows (pair_id, p1, p2, b1, b2): prices of both legs on their common dates, with the
+    prices of the common date before.
+
+    The date before is the neighbour in the array, so no window and no sort is needed, and
+    all rows of a pair come from one row: a following aggregate combines them where they are.
+    """
+    both = F.filter(F.arrays_zip("c1", "c2"), lambda v: v["c1"].isNotNull() & v["c2"].isNotNull())
+    rows = with_vectors(pairs, vectors, ["pair_id", "ticker_1", "ticker_2"]).select("pair_id", both.alias("v"))
+    before = F.concat(F.array(F.lit(None).cast("struct<c1:double,c2:double>")), F.col("v"))
+    steps = F.arrays_zip(F.col("v").alias("now"), F.slice(before, F.lit(1), F.size("v")).alias("was"))
+    return rows.select("pair_id", F.explode(steps).alias("s")).select(
+        "pair_id", F.col("s.now.c1").alias("p1"), F.col("s.now.c2").alias("p2"),
+        F.col("s.was.c1").alias("b1"), F.col("s.was.c2").alias("b2"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import count_business_days, day, last_row, norm_header, number, reasons
+from ..functions.columns import count_business_days, day, latest, norm_header, number, reasons
 from ..params import QualityParams
 
 # The standard bar columns, and vendor spellings of two of them.
@@ -112,18 +112,17 @@ def validation_report(raw: DataFrame, p: QualityParams) -> DataFrame:
     )
 
 
-def clean_bars(raw: DataFrame, p: QualityParams) -> DataFrame:
-    """Standard columns in the period, last source row per (ticker, date)."""
+def clean_bars(raw: DataFrame, p: QualityParams, unique: bool = False) -> DataFrame:
+    """Standard columns in the period, last source row (``ord``) per (ticker, date)."""
     bars = in_period(normalize_bars(raw), p)
     columns = ["ticker", *[c for c in STANDARD if c in bars.columns]]
     if "date" not in columns:
         return bars
-    order = ["ord"] if "ord" in bars.columns else [c for c in columns if c not in ("ticker", "date")]
-    bars = bars.select(*columns, *[c for c in order if c == "ord"])
-    return last_row(bars, ["ticker", "date"], order).select(*columns)
+    bars = bars.select(*columns, *[c for c in ("ord",) if c in bars.columns])
+    return latest(bars, ["ticker", "date"], unique, "bars").select(*columns)
 
 
-def valid_bars(raw: DataFrame, p: QualityParams) -> DataFrame:
+def valid_bars(raw: DataFrame, p: QualityParams, unique: bool = False) -> DataFrame:
     """Cleaned bars of the tickers without findings."""
     valid = validation_report(raw, p).filter("valid").select("ticker")
-    return clean_bars(raw, p).join(valid, "ticker", "left_semi")
+    return clean_bars(raw, p, unique).join(valid, "ticker", "left_semi")

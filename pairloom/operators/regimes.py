@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import full_window
+from ..functions.columns import float_text, full_window
 from ..params import AnalyticsParams, RegimeParams, label_name
 from .analytics import (
     ALL, RETURN_METRICS, drawdown_series, equity_frame, exposure_metrics, return_metrics,
@@ -295,7 +295,7 @@ def _high_low(performance: DataFrame, metric: str) -> DataFrame:
         F.count_if(F.col("regime").isin(*VOLATILITY[:2])).alias("n"))
 
     def shown(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+        return float_text(F.col(c))
 
     both = F.col("n") == 2
     notes = F.when(both, F.concat(

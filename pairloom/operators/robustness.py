@@ -6,10 +6,12 @@ share its signals, trades and marks.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.columns import general_text
 from ..params import BacktestParams, RobustnessParams, SignalParams
 from .analytics import CORE_METRICS
 
@@ -28,30 +30,29 @@ ITEMS = ("best_validation_scenario", "median_validation_performance",
 
 
 def scenario_grid(spark: SparkSession, p: RobustnessParams) -> DataFrame:
-    """Ordered product of the parameter lists, cut at the scenario cap, with stable ids."""
+    """Ordered product of the parameter lists with stable ids.
+
+    All of it, unless the caller chose a number of scenarios. An id is the hash of the
+    parameters as canonical JSON, whose number texts are fixed by the listed values.
+    """
     values = (p.entry_z_values, p.exit_z_values, p.stop_loss_z_values, p.commission_bps_values,
               p.slippage_bps_values, p.zscore_window_values, p.signal_model_values)
     casts = (float, float, float, float, float, int, lambda v: str(v).strip().lower())
     grid = spark.range(1).select()
     for name, listed, cast in zip(PARAMETERS, values, casts):
-        options = F.array(*[F.lit(cast(v)) for v in listed])
-        grid = grid.select("*", F.posexplode(options).alias(f"o_{name}", name))
-    grid = grid.orderBy(*[f"o_{n}" for n in PARAMETERS]).limit(p.max_scenarios)
-    quoted = {"signal_model"}
-    fields = [
-        F.concat(F.lit(f'"{n}":' + ('"' if n in quoted else "")), _plain(n),
-                 F.lit('"' if n in quoted else ""))
-        for n in sorted(PARAMETERS)
-    ]
+        options = F.array(*[F.struct(F.lit(cast(v)).alias("v"), F.lit(_json(cast(v))).alias("t")) for v in listed])
+        grid = grid.select("*", F.posexplode(options).alias(f"o_{name}", f"x_{name}")).withColumn(
+            name, F.col(f"x_{name}.v"))
+    if p.max_scenarios is not None:
+        grid = grid.orderBy(*[f"o_{n}" for n in PARAMETERS]).limit(p.max_scenarios)
+    fields = [F.concat(F.lit(f'"{n}":'), F.col(f"x_{n}.t")) for n in sorted(PARAMETERS)]
     payload = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
     return grid.withColumn("scenario_id", F.concat(
         F.lit("scenario_"), F.substring(F.sha1(payload.cast("binary")), 1, 12))).select(*GRID)
 
 
-def _plain(name: str) -> Column:
-    if name in ("zscore_window", "signal_model"):
-        return F.col(name).cast("string")
-    return F.round(name, 10).cast("string")
+def _json(value) -> str:
+    return json.dumps(round(value, 10) if isinstance(value, float) else value)
 
 
 def scenario_runs(grid: DataFrame, best: DataFrame, s: SignalParams) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +89,7 @@ def attach_splits(frames: dict, signals: DataFrame, costs: DataFrame, execution:
     """Daily, exposure and trade tables with the split their signals came from."""
     tagged = signals.select("run_id", "model", "pair_id", "split", execution.alias("on"))
     tagged = tagged.filter(F.col("on").isNotNull())
-    scenario = F.broadcast(costs.select("scenario_id", "run_id"))
+    scenario = costs.select("scenario_id", "run_id")
     by_date = dominant_split(tagged, ["run_id", "model", "on"]).join(scenario, "run_id").select(
         "scenario_id", "model", F.col("on").alias("date"), "split")
     by_trade = dominant_split(tagged, ["run_id", "model", "pair_id", "on"]).join(
@@ -103,15 +104,7 @@ def attach_splits(frames: dict, signals: DataFrame, costs: DataFrame, execution:
 
 
 def attach_parameters(metrics: DataFrame, grid: DataFrame) -> DataFrame:
-    return metrics.join(F.broadcast(grid), "scenario_id").select(*RESULTS)
-
-
-def _shortest(value: Column) -> Column:
-    """Six significant digits without trailing zeros."""
-    digits = F.lit(5) - F.floor(F.log10(F.abs(value)))
-    scale = F.pow(F.lit(10.0), digits)
-    cut = F.when(value == 0, F.lit(0.0)).otherwise(F.rint(value * scale) / scale)
-    return F.regexp_replace(cut.cast("string"), r"\.0$", "")
+    return metrics.join(grid, "scenario_id").select(*RESULTS)
 
 
 def _row(df: DataFrame, item: str, p: RobustnessParams, value: Column, notes: Column,
@@ -184,15 +177,15 @@ def _cost_row(ranked: DataFrame, p: RobustnessParams) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("bps").alias("low"), F.max("bps").alias("high"),
         F.min_by("m", "bps").alias("at_low"), F.max_by("m", "bps").alias("at_high")).filter("n >= 2")
     notes = F.concat(
-        F.lit(f"Validation {metric} median changed from "), _shortest(F.col("at_low")), F.lit(" at "),
-        _shortest(F.col("low")), F.lit(" bps to "), _shortest(F.col("at_high")), F.lit(" at "),
-        _shortest(F.col("high")), F.lit(" bps."))
+        F.lit(f"Validation {metric} median changed from "), general_text(F.col("at_low")), F.lit(" at "),
+        general_text(F.col("low")), F.lit(" bps to "), general_text(F.col("at_high")), F.lit(" at "),
+        general_text(F.col("high")), F.lit(" bps."))
     return _row(ends.withColumn("split", F.lit(p.selection_split)), ITEMS[3], p,
                 F.col("at_high") - F.col("at_low"), notes, ("split",))
 
 
 def _concentration_row(ranked: DataFrame, p: RobustnessParams, order: tuple) -> DataFrame:
-    # Scenario rows of one split: bounded by the scenario cap times the models.
+    # Scenario rows of one split: bounded by the listed parameters and models.
     w = Window.partitionBy("split").orderBy(*order)
     numbered = ranked.withColumns({
         "place": F.row_number().over(w), "total": F.count(F.lit(1)).over(Window.partitionBy("split"))})

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.columns import ratio
+from ..functions.columns import latest, ratio
 from ..params import EVALUATION_SPLITS, SignalParams
 
 # The signal actions.
@@ -47,12 +47,14 @@ def only_selected(df: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def signal_input(predictions: DataFrame, spreads: DataFrame, zscores: DataFrame,
-                 selected: DataFrame, runs: DataFrame, p: SignalParams) -> DataFrame:
+                 selected: DataFrame, runs: DataFrame, p: SignalParams, unique: bool = False) -> DataFrame:
     """Forecast rows of each run with current spread and z-score context.
 
-    ``spreads`` and ``zscores`` have one row per (pair, date[, window]). The run
-    table is bounded by the scenario cap, so it is the broadcast side.
+    Of several context rows of one (pair, date[, window]) the last source row (``ord``)
+    counts; ``unique`` says that there is one.
     """
+    spreads = latest(spreads, ["pair_id", "date"], unique, "spreads")
+    zscores = latest(zscores, ["pair_id", "date", "z_score_window"], unique, "z-scores")
     splits = EVALUATION_SPLITS + (("train",) if p.generate_train_signals else ())
     rows = only_selected(predictions.filter(F.col("split").isin(*splits)), selected)
     have = set(rows.columns)
@@ -64,7 +66,7 @@ def signal_input(predictions: DataFrame, spreads: DataFrame, zscores: DataFrame,
     rows = rows.select(
         "pair_id", "ticker_1", "ticker_2", "model", "feature_date", "target_date", "split",
         predicted.alias("predicted_spread"), direct.alias("direct"), own.alias("own"))
-    rows = rows.join(F.broadcast(runs), "model")
+    rows = rows.join(runs, "model")
     context = spreads.select("pair_id", F.col("date").alias("feature_date"), F.col("spread").alias("cs"))
     z = zscores.select("pair_id", F.col("date").alias("feature_date"), "z_score_window", "z_score",
                        "rolling_mean_lagged", "rolling_std_lagged")

@@ -60,7 +60,7 @@ def spread_diagnostics(selected: DataFrame, prices: DataFrame, vectors: DataFram
         ).alias("closes"))
         arrays = aligned_arrays(selected, inside_vectors, p.formation).filter(F.size("y") >= 4)
         tested = arrays.join(fitted.select("pair_id", "beta"), "pair_id").select(
-            "pair_id", adf_p(F.zip_with("y", "x", lambda y, x: y - F.col("beta") * x)).alias("adf"))
+            "pair_id", adf_p(F.zip_with("y", "x", lambda y, x: y - F.col("beta") * x), p.max_lag).alias("adf"))
         fitted = fitted.join(tested, "pair_id", "left")
     missing = F.when(F.col("expected") > 0, F.greatest(
         F.col("expected") - F.col("n_all"), F.lit(0)) / F.col("expected").cast("double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import count_business_days, last_row, reasons, upper_text
+from ..functions.columns import count_business_days, latest, reasons, upper_text
 from ..params import UniverseParams
 
 METRICS = ("has_price_data", "row_count", "expected_observations",
@@ -32,12 +32,9 @@ def tradability(prices: DataFrame, p: UniverseParams, unique: bool = False) -> D
     # Rows outside the period share a NULL day, so a ticker without any row inside
     # keeps its line and the prices are scanned once.
     inside = F.col("date").between(F.lit(p.period.start), F.lit(p.period.end))
-    order = ["ord"] if "ord" in have else ["adjusted_close", "volume"]
-    rows = prices.select(
+    rows = latest(prices.select(
         "ticker", F.when(inside, F.col("date")).alias("date"), "adjusted_close", "volume",
-        *[c for c in order if c == "ord"])
-    if not unique:
-        rows = last_row(rows, ["ticker", "date"], order)
+        *[c for c in ("ord",) if c in have]), ["ticker", "date"], unique, "prices")
     dated = F.col("date").isNotNull()
     expected = count_business_days(p.period.start, p.period.end)
     metrics = rows.groupBy("ticker").agg(

@@ -99,15 +99,17 @@ class PairParams:
     # "aic": lag-augmented test with response-surface p-values;
     # "df": plain Dickey-Fuller regression with a normal p-value.
     variant: str = "aic"
-    # Cells per sector side in the candidate self-join; spreads a hot sector.
-    blocks: int = 8
+    # Longest lag that "aic" may choose; None: by the length of the history.
+    max_lag: int | None = None
+    # Tickers of a block in the candidate self-join; spreads a hot sector.
+    block_size: int = 64
 
     def __post_init__(self):
         _require(self.cointegration_test == "engle_granger", "only engle_granger is supported")
         _require(self.correction == "benjamini_hochberg_fdr",
                  "only benjamini_hochberg_fdr is supported")
         _require(self.variant in ("aic", "df"), "variant must be aic or df")
-        _require(self.blocks >= 1, "blocks must be at least 1")
+        _require(self.block_size >= 1, "block_size must be at least 1")
 
 
 @dataclass(frozen=True)
@@ -118,6 +120,7 @@ class SpreadParams:
     hedge_ratio_method: str = "static_ols"
     windows: tuple = (20, 60, 120)
     variant: str = "aic"
+    max_lag: int | None = None
 
     def __post_init__(self):
         _require(self.definition == "log_price_hedge_ratio_adjusted",
@@ -243,13 +246,14 @@ class RobustnessParams:
     slippage_bps_values: tuple = (2.0,)
     zscore_window_values: tuple = (60,)
     signal_model_values: tuple = ("best_validation",)
-    max_scenarios: int = 10
+    # None runs the whole product; a number is an explicit choice of the caller.
+    max_scenarios: int | None = None
     selection_metric: str = "sharpe_ratio"
     selection_split: str = "validation"
     concentration_top_fraction: float = 0.2
 
     def __post_init__(self):
-        _require(self.max_scenarios >= 1, "max_scenarios must be at least 1")
+        _require(self.max_scenarios is None or self.max_scenarios >= 1, "max_scenarios must be at least 1")
         _require(self.selection_split == "validation",
                  "scenario ranking must use validation metrics only")
         _require(self.selection_metric in ("sharpe_ratio", "calmar_ratio"),
@@ -267,11 +271,10 @@ class RobustnessParams:
 
 
 def label_name(name: str) -> str:
-    """Column-safe form of a period name."""
-    cleaned = re.sub(r"_+", "_", re.sub(r"[^a-z0-9_]+", "_", str(name).strip().lower()))
-    cleaned = cleaned.strip("_")
-    _require(bool(cleaned), "period names must not be blank")
-    return cleaned
+    """Column-safe form of a period name: its runs of letters and digits, tied by '_'."""
+    runs = re.findall(r"[a-z0-9]+", str(name).lower())
+    _require(bool(runs), "period names must not be blank")
+    return "_".join(runs)
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,8 @@ ancestors.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import hashlib
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from ..operators import analytics as A
 from ..operators import backtest as B
 from ..operators import features as X
 from ..operators import forecast as M
+from ..operators import learned as L
 from ..operators import pairs as P
 from ..operators import regimes as E
 from ..operators import robustness as R
@@ -27,7 +29,7 @@ from ..params import (
     AnalyticsParams, BacktestParams, FeatureParams, ForecastParams, PairParams, QualityParams,
     RegimeParams, RobustnessParams, SignalParams, SpreadParams, UniverseParams,
 )
-from ..session import stage_table
+from ..session import remove_folder, stage_root, stage_table
 
 
 @dataclass(frozen=True)
@@ -43,8 +45,8 @@ class Settings:
     analytics: AnalyticsParams = AnalyticsParams()
     robustness: RobustnessParams = RobustnessParams()
     regimes: RegimeParams = field(default_factory=RegimeParams)
-    # Models of the baseline table; traded ones are a subset.
-    models: tuple = ("naive", "rolling_mean", "arima")
+    # Models of the prediction table; traded ones are a subset.
+    models: tuple = ("naive", "rolling_mean", "arima", "boosted_trees", "sequence_regression")
     traded: tuple = ()
 
 
@@ -79,20 +81,33 @@ class Backtest:
 
 
 class Research:
-    """One research run over a price table and a constituents table."""
-
-    def __init__(self, spark: SparkSession, prices: DataFrame, constituents: DataFrame,
-                 settings: Settings, name: str):
-        self.spark, self.settings, self.name = spark, settings, name
+    """One research run over a price table and a constituents table.
+
+    ``prices`` is a table, or a function that makes it when a stage first needs it. Stage
+    tables lie under ``folder`` (the session's shared folder by default), the run's name and
+    a digest of its settings, so runs with other settings never share files. ``close``
+    removes them.
+    """
+
+    def __init__(self, spark: SparkSession, prices, constituents: DataFrame,
+                 settings: Settings, name: str, folder: str | None = None):
+        digest = hashlib.sha1(repr(settings).encode()).hexdigest()[:10]
+        self.spark, self.settings, self.name = spark, settings, f"{name}-{digest}"
         self._prices, self.constituents = prices, constituents
+        self.folder = folder or stage_root(spark)
 
     def _stage(self, df: DataFrame, stage: str, partition_by: tuple = ()) -> DataFrame:
-        return stage_table(df, f"{self.name}/{stage}", partition_by)
+        return stage_table(df, f"{self.name}/{stage}", partition_by, self.folder)
+
+    def close(self) -> None:
+        """Remove this run's stage tables."""
+        remove_folder(self.spark, f"{self.folder}/{self.name}")
 
     @cached_property
     def prices(self) -> DataFrame:
         """Daily closes and volumes, one row per (ticker, date)."""
-        return self._stage(self._prices.select("ticker", "date", "adjusted_close", "volume"), "prices")
+        table = self._prices(self) if callable(self._prices) else self._prices
+        return self._stage(table.select("ticker", "date", "adjusted_close", "volume"), "prices")
 
     @cached_property
     def audit(self) -> DataFrame:
@@ -106,12 +121,13 @@ class Research:
     @cached_property
     def candidates(self) -> DataFrame:
         p = self.settings.pairs
-        return self._stage(P.candidate_pairs(self.universe, p.same_sector_only, p.blocks), "candidates")
+        return self._stage(P.candidate_pairs(self.universe, p.same_sector_only, p.block_size), "candidates")
 
     @cached_property
     def evaluated(self) -> DataFrame:
         return self._stage(
-            P.evaluate_candidates(self.candidates, self.prices, self.settings.pairs, unique=True), "evaluated")
+            P.evaluate_candidates(self.candidates, self.prices, self.settings.pairs, unique=True,
+                                  stage=lambda v: self._stage(v, "formation_vectors")), "evaluated")
 
     @cached_property
     def finalized(self) -> DataFrame:
@@ -152,10 +168,11 @@ class Research:
     @cached_property
     def features(self) -> DataFrame:
         return self._stage(X.build_features(
-            self.spreads, self.zscores, self.panel(), self.settings.features), "features", ("split",))
+            self.spreads, self.zscores, self.panel(), self.settings.features, unique=True), "features", ("split",))
 
     def forecast(self, model: str) -> DataFrame:
-        makers = {"naive": M.naive_forecast, "rolling_mean": M.rolling_mean_forecast, "arima": M.arima_forecast}
+        makers = {"naive": M.naive_forecast, "rolling_mean": M.rolling_mean_forecast, "arima": M.arima_forecast,
+                  "boosted_trees": L.boosted_tree_forecast, "sequence_regression": L.sequence_forecast}
         return makers[model](self.features, self.settings.forecasts)
 
     @cached_property
@@ -182,7 +199,7 @@ class Research:
 
     def signals_of(self, runs: DataFrame, stage: str) -> DataFrame:
         inputs = G.signal_input(self.predictions, self.spreads, self.zscores, self.selected, runs,
-                                self.settings.signals)
+                                self.settings.signals, unique=True)
         return self._stage(G.generate_signals(inputs), stage)
 
     @cached_property
@@ -199,12 +216,12 @@ class Research:
         p, period = self.settings.backtest, self.settings.spreads.data
         prepared = self._stage(B.prepare_signals(signals, self.selected, p), f"{stage}/prepared")
         px = self.leg_prices
-        calendar = self._stage(B.simulation_calendar(prepared, self.prices, period, self.selected), f"{stage}/calendar")
+        calendar = B.simulation_calendar(prepared, self.prices, period, self.selected)
         ratios = B.hedge_ratios(self.spread_diagnostics, self.spreads, self.selected)
-        events = self._stage(B.priced_events(prepared, px), f"{stage}/events")
+        events = B.priced_events(prepared, px)
         positions = self._stage(B.size_positions(B.admit(events, p), ratios, p), f"{stage}/positions")
         days = self._stage(B.position_days(positions, px, calendar), f"{stage}/days")
-        valued = self._stage(B.valued_trades(positions, days), f"{stage}/valued")
+        valued = B.valued_trades(positions, days)
         flows = self._stage(B.daily_flows(valued, days), f"{stage}/flows")
         return Backtest(prepared, calendar, positions, days, valued, flows, costs, p)
 
@@ -257,7 +274,7 @@ class Research:
         best = M.best_validation_model(self.metrics, s.forecasts)
         runs, resolved = R.scenario_runs(self.grid, best, s.signals)
         signals = self.signals_of(runs, "sweep/signals")
-        costs = self._stage(R.scenario_costs(resolved, s.backtest), "sweep/costs")
+        costs = R.scenario_costs(resolved, s.backtest)
         bt = self.run_backtest(signals, costs, "sweep")
         frames = {"daily_pnl": bt.daily_pnl, "trade_log": bt.trade_log, "exposure": bt.exposure}
         tagged = R.attach_splits(frames, signals, costs, B.execution_date(signals.columns))
@@ -297,7 +314,3 @@ class Research:
     @property
     def regime_summary(self) -> DataFrame:
         return E.regime_summary(self.regime_performance, self.labels, self.proxy, self.settings.regimes)
-
-    def with_settings(self, name: str, **changes) -> "Research":
-        """A run over the same inputs with other settings."""
-        return Research(self.spark, self._prices, self.constituents, replace(self.settings, **changes), name)

@@ -30,14 +30,22 @@ def stage_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return f"{root.rstrip('/')}/pairloom-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="spark-pairloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/pairloom-{spark.sparkContext.applicationId}"
 
 
-def stage_table(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame:
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of stage tables in whatever file system holds it."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage_table(df: DataFrame, name: str, partition_by: tuple = (), root: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet stage table and read it back.
 
     This is the lineage cut between research stages: a lost executor re-reads
@@ -45,7 +53,7 @@ def stage_table(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame
     lists reach the Parquet scan, and the optimizer sees real sizes.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}"
+    path = f"{root or stage_root(spark)}/{name}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

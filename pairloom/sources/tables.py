@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import day, first_row, lower_text, norm_header, number, text, upper_text
+from ..functions.columns import day, first_row, lower_text, norm_header, number, number_rows, text, upper_text
 from ..operators.quality import ALIASES
 
 PREDICTED_Z = ("predicted_zscore", "predicted_z_score", "prediction_zscore", "prediction_z_score")
@@ -48,8 +48,10 @@ def _rules(upper=(), lower=(), dates=(), numbers=()) -> dict:
 # --------------------------------------------------------------------------- prices
 
 def file_ticker(path: Column) -> Column:
-    """Ticker key from a per-ticker file name; characters unfit for names become '_'."""
-    name = F.regexp_extract(path, r"([^/]+)\.csv(?:\.gz)?$", 1)
+    """Ticker key from a ``ticker=`` folder or a per-ticker file name; characters unfit for
+    names become '_'."""
+    folder = F.regexp_extract(path, r"/ticker=([^/]+)/[^/]*$", 1)
+    name = F.when(folder != "", folder).otherwise(F.regexp_extract(path, r"([^/]+)\.csv(?:\.gz)?$", 1))
     return clean_ticker(F.url_decode(name))
 
 
@@ -62,7 +64,8 @@ def read_price_files(spark: SparkSession, folder: str) -> DataFrame:
 
     ``ord`` follows file order, so "the last row of a day" stays well defined.
     """
-    raw = read_table(spark, folder, "csv")
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option(
+        "recursiveFileLookup", True).csv(folder)
     raw = raw.select("*", file_ticker(F.input_file_name()).alias("ticker"),
                      F.monotonically_increasing_id().alias("ord"))
     bars = norm_header(raw, ALIASES)
@@ -84,7 +87,7 @@ def normalize_constituents(raw: DataFrame) -> DataFrame:
     """Trimmed text, upper-case ticker, missing as ''. Keeps ``row_no`` when present."""
     df = require(norm_header(raw), UNIVERSE, "constituents")
     if "row_no" not in df.columns:
-        df = df.withColumn("row_no", F.monotonically_increasing_id())
+        df = number_rows(df, "row_no")
     return df.select(upper_text(F.col("ticker")).alias("ticker"),
                      *[text(F.col(c)).alias(c) for c in UNIVERSE[1:]],
                      F.col("row_no").cast("long").alias("row_no"))
@@ -94,7 +97,7 @@ def normalize_clean_universe(raw: DataFrame) -> DataFrame:
     """Constituents without blank tickers, first row per ticker."""
     df = require(norm_header(raw), UNIVERSE, "clean universe")
     if "row_no" not in df.columns:
-        df = df.withColumn("row_no", F.monotonically_increasing_id())
+        df = number_rows(df, "row_no")
     rules = {"ticker": upper_text, **{c: text for c in UNIVERSE[1:]}}
     rows = _coerce(df, rules).filter(F.col("ticker") != "")
     return first_row(rows, ["ticker"], ["row_no"])

@@ -8,56 +8,68 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows, weekdays
+from pairloom.functions.columns import float_text, general_text
 from pairloom.operators import analytics as A
 from pairloom.operators import regimes as E
 from pairloom.operators import report as T
 from pairloom.operators import robustness as R
 from pairloom.params import AnalyticsParams, ForecastParams, Period, RegimeParams, RobustnessParams, WalkForward
 
-DAYS = weekdays("2021-01-04", 12)
-AP = AnalyticsParams(trading_days_per_year=4)
+DAYS = weekdays("2021-03-01", 12)
+AP = AnalyticsParams(trading_days_per_year=50)
+START = 2000.0
+RETURNS = np.array([0.02, -0.01, 0.0, 0.015, -0.03, 0.01, -0.005])
+TRADES = [(31.5, 2, "exit_z"), (-12.25, 7, "stop_loss_z"), (4.0, 1, "exit_z"), (-3.5, 4, "max_holding_days"), (18.0, 6, "exit_z")]
+BOOK = [(250.0, 40.0, 2, 75.0), (310.0, -20.0, 3, 0.0), (180.0, 5.0, 1, 130.0), (0.0, 0.0, 0, 180.0), (90.0, 90.0, 1, 90.0)]
 
 
 def daily(spark, split=None):
-    df = spark.createDataFrame(
-        [(d, "naive", p, e) for d, p, e in zip(DAYS, (10.0, -5.5, 5.225, -2.1945), (110.0, 104.5, 109.725, 107.5305))],
-        "date date, model string, net_pnl double, equity double")
+    equity = START * np.cumprod(1 + RETURNS)
+    pnl = np.diff(np.concatenate([[START], equity]))
+    df = spark.createDataFrame([(d, "naive", float(p), float(e)) for d, p, e in zip(DAYS, pnl, equity)],
+                               "date date, model string, net_pnl double, equity double")
     return df.withColumn("split", F.lit(split)) if split else df
 
 
 def trades(spark):
-    return spark.createDataFrame(
-        [("naive", DAYS[2], 100.0, 3, "exit"), ("naive", DAYS[3], -40.0, 5, "stop_loss"), ("naive", DAYS[3], 60.0, 4, "exit")],
-        "model string, exit_date date, net_pnl double, holding_days int, exit_reason string")
+    return spark.createDataFrame([("naive", DAYS[i % 3 + 1], *t) for i, t in enumerate(TRADES)],
+                                 "model string, exit_date date, net_pnl double, holding_days int, exit_reason string")
 
 
 def exposures(spark):
-    return spark.createDataFrame(
-        [(d, "naive", g, n, a, t) for d, g, n, a, t in zip(DAYS, (100.0, 120.0, 80.0, 90.0), (0.0, 10.0, -5.0, 2.0), (1, 2, 1, 0), (10.0, 20.0, 0.0, 30.0))],
-        "date date, model string, gross_exposure double, net_exposure double, active_positions int, turnover double")
+    return spark.createDataFrame([(d, "naive", *b) for d, b in zip(DAYS, BOOK)],
+                                 "date date, model string, gross_exposure double, net_exposure double, active_positions int, turnover double")
 
 
 @pytest.mark.parametrize("split", [None, "validation"])
 def test_return_metrics(spark, split):
     out = {r["split"]: r for r in rows(A.return_metrics(A.drawdown_series(A.equity_frame(daily(spark, split))), AP))}
     assert set(out) == ({"all", split} if split else {"all"})
-    r = np.array([0.10, -0.05, 0.05, -0.02])
-    total = np.prod(1 + r) - 1
+    year, curve = AP.trading_days_per_year, np.cumprod(1 + RETURNS)
+    total = curve[-1] - 1
+    annual = curve[-1] ** (year / len(RETURNS)) - 1
+    deepest = min(curve / np.maximum.accumulate(curve) - 1)
+    want = {"total_return": total, "annualized_return": annual, "max_drawdown": deepest, "calmar_ratio": annual / -deepest,
+            "annualized_volatility": RETURNS.std(ddof=1) * year ** 0.5,
+            "sharpe_ratio": RETURNS.mean() / RETURNS.std(ddof=1) * year ** 0.5,
+            "sortino_ratio": RETURNS.mean() / RETURNS[RETURNS < 0].std(ddof=1) * year ** 0.5}
     for m in out.values():
-        assert (m["total_return"], m["annualized_return"], m["annualized_volatility"], m["sharpe_ratio"],
-                m["sortino_ratio"], m["max_drawdown"], m["calmar_ratio"]) == pytest.approx((
-                    total, total, r.std(ddof=1) * 2, r.mean() / r.std(ddof=1) * 2,
-                    r.mean() / r[r < 0].std(ddof=1) * 2, -0.05, total / 0.05))
+        assert {k: m[k] for k in want} == pytest.approx(want)
 
 
 def test_trade_and_exposure_metrics(spark):
+    pnl, held, why = (np.array(x) for x in zip(*TRADES))
     t = rows(A.trade_metrics(trades(spark)))[0]
-    assert (t["number_of_trades"], t["win_rate"], t["average_trade_pnl"], t["median_trade_pnl"], t["profit_factor"],
-            t["average_holding_period"]) == pytest.approx((3, 2 / 3, 40.0, 60.0, 4.0, 4.0))
-    assert t["exit_reason_counts"] == "exit:2;stop_loss:1"
+    want = {"number_of_trades": len(pnl), "win_rate": (pnl > 0).mean(), "average_trade_pnl": pnl.mean(),
+            "median_trade_pnl": np.median(pnl), "profit_factor": pnl[pnl > 0].sum() / -pnl[pnl < 0].sum(),
+            "average_holding_period": held.mean()}
+    assert {k: t[k] for k in want} == pytest.approx(want)
+    assert t["exit_reason_counts"] == ";".join(f"{x}:{(why == x).sum()}" for x in sorted(set(why)))
+    gross, net, active, turnover = (np.array(x, float) for x in zip(*BOOK))
     e = rows(A.exposure_metrics(exposures(spark)))[0]
-    assert (e["average_gross_exposure"], e["average_net_exposure"], e["max_gross_exposure"], e["average_active_positions"],
-            e["turnover"], e["average_daily_turnover"]) == (97.5, 1.75, 120.0, 1.0, 60.0, 15.0)
+    want = {"average_gross_exposure": gross.mean(), "average_net_exposure": net.mean(), "max_gross_exposure": gross.max(),
+            "average_active_positions": active.mean(), "turnover": turnover.sum(), "average_daily_turnover": turnover.mean()}
+    assert {k: e[k] for k in want} == pytest.approx(want)
     wins = A.trade_metrics(trades(spark).filter("net_pnl > 0"))
     assert rows(wins)[0]["profit_factor"] == float("inf")
 
@@ -73,10 +85,11 @@ def test_combined_metrics_and_equity_fallback(spark):
     curves = daily(spark).drop("net_pnl")
     empty = daily(spark).limit(0)
     dd = A.drawdown_series(A.equity_frame(empty, curves))
-    assert dd.count() == 4 and [round(r["daily_return"], 6) for r in rows(dd, "date")] == [0.0, -0.05, 0.05, -0.02]
+    assert [r["daily_return"] for r in rows(dd, "date")] == pytest.approx([0.0, *RETURNS[1:]])
     m = rows(A.backtest_metrics(A.drawdown_series(A.equity_frame(daily(spark), curves)), trades(spark).limit(0),
                                 exposures(spark), AP))[0]
-    assert (m["number_of_trades"], m["observation_count"], m["win_rate"], m["turnover"]) == (0, 4, None, 60.0)
+    assert (m["number_of_trades"], m["observation_count"], m["win_rate"], m["turnover"]) == (
+        0, len(RETURNS), None, sum(b[3] for b in BOOK))
     summary = rows(A.performance_summary(A.backtest_metrics(dd, trades(spark), exposures(spark), AP)))
     assert summary[0]["performance_rank"] == 1
 
@@ -110,17 +123,39 @@ def results(spark, data):
 
 
 def test_summary_uses_validation_rows(spark):
-    df = results(spark, [("s1", "validation", 2.0, -0.10, 1.5, 0.0), ("s2", "validation", 1.0, -0.20, 2.0, 5.0),
-                         ("s1", "test", -9.0, -0.9, 1.5, 0.0), ("s2", "test", 9.0, -0.01, 2.0, 5.0)])
-    out = {r["summary_item"]: r for r in rows(R.robustness_summary(df, RobustnessParams()))}
-    assert (out[R.ITEMS[0]]["scenario_id"], out[R.ITEMS[0]]["value"]) == ("s1", 2.0)
-    assert out[R.ITEMS[1]]["sharpe_ratio"] == 1.5
-    assert (out[R.ITEMS[2]]["scenario_id"], out[R.ITEMS[2]]["value"]) == ("s2", -0.20)
-    assert out[R.ITEMS[3]]["value"] == -1.0
-    assert out[R.ITEMS[3]]["notes"] == "Validation sharpe_ratio median changed from 2 at 2 bps to 1 at 7 bps."
+    grid = [("s1", 0.75, -0.04, 1.0, 1.0), ("s2", 1.25, -0.11, 1.0, 3.0), ("s3", -0.5, -0.3, 2.5, 3.0), ("s4", 0.25, -0.2, 2.5, 1.0)]
+    data = [(n, "validation", *x) for n, *x in grid] + [(n, "test", -10 * x[0], -0.9, *x[2:]) for n, *x in grid]
+    out = {r["summary_item"]: r for r in rows(R.robustness_summary(results(spark, data), RobustnessParams()))}
+    best, worst = max(grid, key=lambda g: g[1]), min(grid, key=lambda g: g[2])
+    assert (out[R.ITEMS[0]]["scenario_id"], out[R.ITEMS[0]]["value"]) == best[:2]
+    assert out[R.ITEMS[1]]["sharpe_ratio"] == np.median([g[1] for g in grid])
+    assert (out[R.ITEMS[2]]["scenario_id"], out[R.ITEMS[2]]["value"]) == (worst[0], worst[2])
+    low, high = (np.median([g[1] for g in grid if g[4] == c]) for c in (1.0, 3.0))
+    assert out[R.ITEMS[3]]["value"] == high - low
+    assert out[R.ITEMS[3]]["notes"] == (
+        f"Validation sharpe_ratio median changed from {low:.6g} at 3 bps to {high:.6g} at 5 bps.")
     assert out[R.ITEMS[4]]["notes"] == "concentrated=true; top_rows=1; narrow_parameters=entry_z,commission_bps"
 
 
+def test_no_scenario_is_dropped_without_a_choice(spark):
+    p = RobustnessParams(entry_z_values=tuple(1 + k / 8 for k in range(6)), commission_bps_values=(0.0, 1e-5, 2e7))
+    got = rows(R.scenario_grid(spark, p))
+    assert len(got) == 18 and len({r["scenario_id"] for r in got}) == 18
+    for r in got:
+        body = {c: r[c] for c in R.PARAMETERS}
+        text = json.dumps(body, sort_keys=True, separators=(",", ":"))
+        assert r["scenario_id"] == "scenario_" + sha1(text.encode()).hexdigest()[:12]
+
+
+def test_number_texts(spark):
+    values = [0.000123, 1234567.0, -1e-5, 0.1, 1e16, 123456789012345.0, 1.5e-7, 0.0, -2.0, 1e300, 99999.25, 12345678.5]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = rows(df.select("v", general_text(F.col("v")).alias("six"), float_text(F.col("v")).alias("whole")))
+    for r in got:
+        assert r["whole"] == ("nan" if r["v"] is None else str(r["v"])), r
+        assert r["v"] is None or r["six"] == f"{r['v']:.6g}", r
+
+
 def test_summary_without_validation_explains_itself(spark):
     out = {r["summary_item"]: r["notes"] for r in rows(R.robustness_summary(
         results(spark, [("s1", "test", 2.0, -0.1, 1.5, 0.0)]), RobustnessParams()))}
@@ -143,14 +178,14 @@ def market(spark, n=40, shock=0):
     rng = np.random.default_rng(9)
     r = rng.normal(0, 0.01, n)
     r[n - shock:] *= 30
-    days = weekdays("2020-11-30", n)
+    days = weekdays("2021-01-25", n)
     return spark.createDataFrame([(d, float(p)) for d, p in zip(days, 100 * np.cumprod(1 + r))], "date date, adjusted_close double")
 
 
 def test_labels_and_future_shock(spark):
     dates = spark.createDataFrame([(d,) for d in DAYS], "date date")
     calm = rows(E.regime_labels(dates, E.market_features(market(spark), RP), RP), "date")
-    later = market(spark).union(spark.createDataFrame([(dt.date(2021, 3, 1), 900.0), (dt.date(2021, 3, 2), 10.0)], "date date, adjusted_close double"))
+    later = market(spark).union(spark.createDataFrame([(dt.date(2021, 5, 3), 900.0), (dt.date(2021, 5, 4), 10.0)], "date date, adjusted_close double"))
     assert calm == rows(E.regime_labels(dates, E.market_features(later, RP), RP), "date")
     assert [r["split"] for r in calm] == ["validation"] * 4 + ["test"] * 4 + ["holdout_2025"] * 4
     assert [r["stress_one"] for r in calm] == [False, True, True] + [False] * 9
@@ -176,8 +211,8 @@ def test_regime_performance_and_summary(spark):
     assert len(out) == 9
     v = out["validation"]
     assert (v["label_days"], v["number_of_trading_days"], v["net_pnl"], v["number_of_trades"], v["turnover"],
-            v["trade_attribution_method"]) == (4, 4, 10.0, 3.0, 8.0, "exit_date")
-    assert (out["test"]["number_of_trades"], out["stress_one"]["net_pnl"]) == (0.0, -1.0)
+            v["trade_attribution_method"]) == (4, 4, sum(pnl[:4]), float(len(TRADES)), 8.0, "exit_date")
+    assert (out["test"]["number_of_trades"], out["stress_one"]["net_pnl"]) == (0.0, pnl[1] + pnl[2])
     spare = {r["regime"]: r for r in rows(E.regime_performance(day.limit(0), *args[1:]))}
     assert spare["validation"]["net_pnl"] == pytest.approx(equity[3] - equity[0])
     summary = rows(E.regime_summary(perf, labels, market(spark), RP))

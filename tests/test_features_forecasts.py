@@ -37,7 +37,7 @@ def inputs(spark, n=N, shock=0.0):
 
 def test_features_match_pandas(spark):
     spreads, z, panel, s, px = inputs(spark)
-    out = pd.DataFrame(rows(X.build_features(spreads, z, panel, P), "date")).set_index("date")
+    out = pd.DataFrame(rows(X.build_features(spreads, z, panel, P, unique=True), "date")).set_index("date")
     s = pd.Series(s, index=DAYS)
     r = {t: pd.Series(px[t], index=DAYS).pct_change() for t in "ABM"}
     want = pd.DataFrame({
@@ -58,8 +58,8 @@ def test_a_later_shock_changes_no_earlier_feature(spark):
     spreads, z, panel, *_ = inputs(spark)
     shocked, zs, *_ = inputs(spark, shock=50.0)
     cut = F.col("date") < F.lit(DAYS[-1])
-    a = rows(X.build_features(spreads, z, panel, P).filter(cut).select("date", *made), "date")
-    b = rows(X.build_features(shocked, zs, panel, P).filter(cut).select("date", *made), "date")
+    a = rows(X.build_features(spreads, z, panel, P, unique=True).filter(cut).select("date", *made), "date")
+    b = rows(X.build_features(shocked, zs, panel, P, unique=True).filter(cut).select("date", *made), "date")
     assert a == b and len(a) > 50
 
 

@@ -51,7 +51,7 @@ def test_statistics_match_numpy(spark):
     period = Period(days[0], days[-1])
     prices = price_table(spark, {"A": a, "B": b}, days)
     pairs = spark.createDataFrame([("A-B", "A", "B")], ["pair_id", "ticker_1", "ticker_2"])
-    vectors = price_vectors(price_panel(prices, period), period)
+    vectors = price_vectors(price_panel(prices, period, unique=True), period)
     row = rows(P.pair_statistics(pairs, vectors, period))[0]
     keep = [i for i in range(120) if a[i] is not None and b[i] is not None]
     pa, pb = np.array([a[i] for i in keep]), np.array([b[i] for i in keep])
@@ -76,7 +76,7 @@ def test_exact_fit_and_decay(spark):
     period = Period(days[0], days[-1])
     prices = price_table(spark, {"A": np.exp(0.7 + 1.4 * x), "B": np.exp(x), "D": np.exp(decay), "U": [1.0] * 99 + [1.01]}, days)
     pairs = spark.createDataFrame([("A-B", "A", "B"), ("D-U", "D", "U")], ["pair_id", "ticker_1", "ticker_2"])
-    out = {r["pair_id"]: r for r in rows(P.pair_statistics(pairs, price_vectors(price_panel(prices, period), period), period))}
+    out = {r["pair_id"]: r for r in rows(P.pair_statistics(pairs, price_vectors(price_panel(prices, period, unique=True), period), period))}
     assert (out["A-B"]["alpha"], out["A-B"]["hedge_ratio_beta"]) == pytest.approx((0.7, 1.4))
     assert out["A-B"]["df_statistic"] == 0.0 and out["A-B"]["half_life_days"] is None
     assert 3 < out["D-U"]["half_life_days"] < 4
@@ -149,7 +149,7 @@ def test_selection_finds_the_linked_pair_and_ignores_the_future(spark, variant):
     for future in (False, True):
         prices, p = synthetic(spark, future)
         p = replace(p, variant=variant)
-        evaluated = P.evaluate_candidates(P.candidate_pairs(u), prices, p).cache()
+        evaluated = P.evaluate_candidates(P.candidate_pairs(u), prices, p, unique=True).cache()
         final = P.adjust_and_finalize(evaluated, p).cache()
         chosen = P.select_pairs(final, p)
         table = {r["pair_id"]: r for r in rows(P.final_diagnostics(final, chosen))}
@@ -184,7 +184,7 @@ def test_spread_diagnostics(spark, variant):
     p = SpreadParams(formation=pp.formation, data=Period(days[0], days[-1]), windows=(3,), variant=variant)
     pairs = spark.createDataFrame([("AAA-BBB", "AAA", "BBB"), ("AAA-NIL", "AAA", "NIL")],
                                   ["pair_id", "ticker_1", "ticker_2"])
-    vectors = price_vectors(price_panel(prices, p.data), p.data)
+    vectors = price_vectors(price_panel(prices, p.data, unique=True), p.data)
     out = {r["pair_id"]: r for r in rows(S.spread_diagnostics(pairs, prices, vectors, p))}
     assert out["AAA-NIL"]["exclusion_reasons"] == "missing_processed_price_data"
     good = out["AAA-BBB"]

@@ -97,12 +97,12 @@ def test_signal_context_and_summary(spark):
                               "rolling_mean_lagged double, rolling_std_lagged double")
     chosen = spark.createDataFrame([("A_B",)], "pair_id string")
     models = spark.createDataFrame([("naive",)], "model string")
-    inputs = G.signal_input(pred, spreads, z, chosen, G.single_run(models, SP), SP)
+    inputs = G.signal_input(pred, spreads, z, chosen, G.single_run(models, SP), SP, unique=True)
     got = rows(inputs, "feature_date")
     assert [(r["current_spread"], r["current_zscore"], r["predicted_zscore"]) for r in got] == [(1.5, 1.5, -2.5), (7.0, 0.2, 0.0)]
     summary = rows(G.signal_summary(G.generate_signals(inputs)))[0]
     assert (summary["enter_long_spread_count"], summary["exit_count"], summary["final_open_positions"]) == (1, 1, 0)
-    everything = G.signal_input(pred, spreads, z, chosen.limit(0), G.single_run(models, SP), SP)
+    everything = G.signal_input(pred, spreads, z, chosen.limit(0), G.single_run(models, SP), SP, unique=True)
     assert everything.count() == 3
 
 
@@ -124,7 +124,7 @@ def run(spark, actions, p1, p2, beta=1.0, pair=("AAA_BBB", "AAA", "BBB"), splits
     name = f"tests/{next(COUNTER)}"
     stage = lambda df, part: stage_table(df, f"{name}/{part}")
     prepared = stage(B.prepare_signals(signals, chosen, p), "prepared")
-    px = stage(B.pair_prices(chosen, prices, spreads, period), "px")
+    px = stage(B.pair_prices(chosen, prices, spreads, period, unique=True), "px")
     calendar = stage(B.simulation_calendar(prepared, prices, period, chosen), "calendar")
     ratios = B.hedge_ratios(diag, spreads, chosen)
     events = stage(B.priced_events(prepared, px), "events")
@@ -211,5 +211,5 @@ def test_spread_prices_fill_in_as_a_pair(spark):
     spreads = spark.createDataFrame([("A_B", d, 7.0, 8.0) for d in DAYS[:2]],
                                     "pair_id string, date date, adjusted_close_1 double, adjusted_close_2 double")
     pairs = spark.createDataFrame([("A_B", "A", "B")], "pair_id string, ticker_1 string, ticker_2 string")
-    out = rows(B.pair_prices(pairs, prices, spreads, Period(DAYS[0], DAYS[2])), "date")
+    out = rows(B.pair_prices(pairs, prices, spreads, Period(DAYS[0], DAYS[2]), unique=True), "date")
     assert [(r["p1"], r["p2"]) for r in out] == [(1.0, 2.0), (7.0, 8.0)]
