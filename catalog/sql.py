@@ -26,7 +26,8 @@ def compose(final: str) -> str:
     order: list[str] = []
 
     def visit(sql: str) -> None:
-        for name in re.findall(r"\b[a-z][a-z0-9_]*\b", sql):
+        # A step's name inside a text literal is not a mention of the step.
+        for name in re.findall(r"\b[a-z][a-z0-9_]*\b", re.sub(r"'[^']*'", "''", sql)):
             if name in STEPS and name not in order and name not in stack:
                 stack.append(name)
                 visit(STEPS[name])

@@ -150,7 +150,8 @@ def admit(events: DataFrame, p: BacktestParams) -> DataFrame:
     days = daily.select(*keys, "execution_date", "segment", tight.alias("tight"))
     rows = rows.join(days, [*keys, "execution_date"])
     free = rows.filter(~F.col("tight") & (F.col("change") == 1)).select(*ENTRY, "leave.*")
-    ordered = rows.filter("tight").select(
+    # A leave of a pair that is out without the limit is out with it, too.
+    ordered = rows.filter("tight").filter(F.col("enters") | F.col("was_in")).select(
         *keys, "segment", "execution_date", "pair_id", "ticker_1", "ticker_2", "signal_action",
         "enters", "p1", "p2", "exit_reason",
     ).repartition(*keys, "segment").sortWithinPartitions(
@@ -173,33 +174,41 @@ TRADES = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in
 def _slot_fold(slots: int):
     """Fold sorted events with at most ``slots`` open positions as state.
 
-    Batches stream through in order, so memory holds one batch and the open slots,
-    however long a segment is.
+    Batches stream through in order; the rows of the open positions are carried in front of
+    the next batch, so memory holds one batch and the open slots, however long a segment is.
+    A step moves row numbers only; the trades' columns are taken from the batch at its end.
     """
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = None, {}
-
-        def closed(entry, event):
-            if event is None:
-                return (*entry, None, None, None, None, None)
-            return (*entry, event.execution_date, event.p1, event.p2, event.signal_action,
-                    event.exit_reason)
-
+        carried = None
         for batch in batches:
-            done = []
-            for e in batch.itertuples(index=False):
-                key = (e.run_id, e.model, e.segment)
+            start = 0 if carried is None else len(carried)
+            rows = batch if not start else pd.concat([carried, batch], ignore_index=True)
+            group = rows.groupby(["run_id", "model", "segment"], sort=False, dropna=False).ngroup().to_numpy()
+            held = dict(zip(rows["pair_id"].iloc[:start], range(start)))
+            opened, closed = [], []
+            steps = zip(range(start, len(rows)), group[start:].tolist(), rows["enters"].tolist()[start:],
+                        rows["pair_id"].tolist()[start:])
+            current = group[0] if len(group) else 0
+            for at, key, enters, pair in steps:
                 if key != current:
-                    done += [closed(entry, None) for entry in held.values()]
+                    opened += held.values()
+                    closed += [-1] * len(held)
                     current, held = key, {}
-                if e.enters:
-                    if e.pair_id not in held and len(held) < slots:
-                        held[e.pair_id] = (e.run_id, e.model, e.pair_id, e.ticker_1, e.ticker_2,
-                                           e.signal_action, e.execution_date, e.p1, e.p2)
-                elif e.pair_id in held:
-                    done.append(closed(held.pop(e.pair_id), e))
-            yield pd.DataFrame(done, columns=list(ENTRY + EXIT))
-        yield pd.DataFrame([closed(entry, None) for entry in held.values()], columns=list(ENTRY + EXIT))
+                if enters:
+                    if len(held) < slots:
+                        held.setdefault(pair, at)
+                elif pair in held:
+                    opened.append(held.pop(pair))
+                    closed.append(at)
+            yield trades(rows, opened, closed)
+            carried = rows.iloc[list(held.values())]
+        if carried is not None and len(carried):
+            yield trades(carried, range(len(carried)), [-1] * len(carried))
+
+    def trades(rows: pd.DataFrame, opened, closed) -> pd.DataFrame:
+        entry = rows.iloc[list(opened)][list(ENTRY)].reset_index(drop=True)
+        leave = rows[["execution_date", "p1", "p2", "signal_action", "exit_reason"]].set_axis(list(EXIT), axis=1)
+        return pd.concat([entry, leave.reset_index(drop=True).reindex(list(closed)).reset_index(drop=True)], axis=1)
 
     return fold
 
