@@ -435,7 +435,7 @@ _LONG = (f"(SELECT count(*) FROM train t WHERE t.pair_id = predictions.pair_id)
 add("m03_arima_other_order",
     lambda r, s, sf: _finite(M.arima_forecast(r.features, replace(FC, arima_order=(2, 1, 1)))), SHAPE,
     _shape_sql("arima"))
-add("m04_boosted_trees", lambda r, s, sf: _finite(L.boosted_tree_forecast(r.features, FC)), SHAPE,
+add("m04_boosted_trees", lambda r, s, sf: _finite(r.forecast("boosted_trees")), SHAPE,
     _shape_sql("boosted_trees"))
 add("m05_sequences", lambda r, s, sf: L.sequences(r.features, FC).select(
     "pair_id", "date", F.col("for_split").alias("split"), "phase",
@@ -454,7 +454,7 @@ add("m05_sequences", lambda r, s, sf: L.sequences(r.features, FC).select(
     "CASE WHEN count(*) OVER f = %d THEN sum(v) OVER f END AS total FROM totals "
     "WINDOW f AS (PARTITION BY pair_id, split ORDER BY phase, date ROWS BETWEEN %d PRECEDING AND CURRENT ROW)"
     % (FC.sequence_length, FC.sequence_length * (1 + len(FEATURES)), FC.sequence_length, FC.sequence_length - 1))
-add("m05_sequence_regression", lambda r, s, sf: _finite(L.sequence_forecast(r.features, FC)), SHAPE,
+add("m05_sequence_regression", lambda r, s, sf: _finite(r.forecast("sequence_regression")), SHAPE,
     _shape_sql("sequence_regression", _LONG))
 INPUTS = ["spread"] + FEATURES
 add("m06_m08_fitted_inputs", lambda r, s, sf: L.fitted_inputs(r.features, FC),

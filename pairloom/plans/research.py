@@ -94,6 +94,7 @@ class Research:
         digest = hashlib.sha1(repr(settings).encode()).hexdigest()[:10]
         self.spark, self.settings, self.name = spark, settings, f"{name}-{digest}"
         self._prices, self.constituents = prices, constituents
+        self._fitted: dict = {}
         self.folder = folder or stage_root(spark)
 
     def _stage(self, df: DataFrame, stage: str, partition_by: tuple = ()) -> DataFrame:
@@ -173,7 +174,12 @@ class Research:
     def forecast(self, model: str) -> DataFrame:
         makers = {"naive": M.naive_forecast, "rolling_mean": M.rolling_mean_forecast, "arima": M.arima_forecast,
                   "boosted_trees": L.boosted_tree_forecast, "sequence_regression": L.sequence_forecast}
-        return makers[model](self.features, self.settings.forecasts)
+        if model not in self._fitted:
+            made = makers[model](self.features, self.settings.forecasts)
+            # A learned model is fitted when its table is made: once for all that read it.
+            learned = model in ("boosted_trees", "sequence_regression")
+            self._fitted[model] = self._stage(made, f"forecast_{model}") if learned else made
+        return self._fitted[model]
 
     @cached_property
     def predictions(self) -> DataFrame:
