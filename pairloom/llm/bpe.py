@@ -85,8 +85,8 @@ class Codec:
 
 
 def _codec(ranks: bytes, pattern: str) -> Codec:
-    cache = common.worker_cache()
-    key = ("bpe", hash(ranks), pattern)
+    cache = common.worker_cache("bpe")
+    key = (hash(ranks), pattern)
     if key not in cache:
         cache[key] = Codec(ranks, pattern)
     return cache[key]
@@ -95,6 +95,7 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
 def encode(docs: DataFrame, ranks_path: str | None = None, text: str = "text",
            into: str = "ids") -> DataFrame:
     """``docs`` with ``text`` replaced by the list of its ids in ``into``; a column of that name goes."""
+    common.small_batches(docs.sparkSession)
     ranks = common.file_bytes(ranks_path or public_tokenizers.path(RANKS))
     pattern = public_tokenizers.PATTERN
     rest = [c for c in docs.columns if c not in (text, into)]

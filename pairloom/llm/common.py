@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -21,6 +22,9 @@ SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 #: Characters that libraries disagree about; a text holding one is not cut.
 UNSURE = "[\\x1c-\\x1f\\u180e\\u200b\\u2060\\ufeff]"
 
+#: Rows of a batch on its way to Python.
+BATCH_ROWS = 1000
+
 #: Bytes of text that a Python worker holds decoded at a time.
 SLICE_BYTES = 2 << 20
 
@@ -39,6 +43,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of ``BATCH_ROWS`` rows, unless the session says otherwise.
+
+    The default of 10,000 rows makes batches of tens of MB, held on both sides of every task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -48,10 +62,17 @@ def file_bytes(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, across tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives across the tasks of a Python worker, until another owner asks.
+
+    Workers are reused by later stages, so what one operator remembers goes when the next
+    one starts.
+    """
     module = sys.modules.setdefault("_pairloom_worker", types.ModuleType("_pairloom_worker"))
-    return module.__dict__.setdefault("cache", {})
+    if module.__dict__.get("owner") != owner:
+        module.owner, module.cache = owner, {}
+        gc.collect()
+    return module.cache
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str,

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -39,8 +40,8 @@ PER_LANGUAGE = 400
 ROUNDS = 3
 #: Added to each expected count: a piece unseen in a language keeps some probability.
 SMOOTH = 0.05
-#: Distinct words that a worker remembers before it starts afresh.
-WORDS = 400_000
+#: Distinct words that a worker remembers before it drops those seen once.
+WORDS = 200_000
 UNKNOWN = "und"
 MARK = "▁"
 #: Letters of a word; a longer run is cut there, which keeps products above the smallest double.
@@ -140,7 +141,7 @@ class Model:
         self.name = hash((tuple(languages), probs.tobytes(), priors.tobytes()))
 
     def scorer(self) -> Scorer:
-        cache = common.worker_cache()
+        cache = common.worker_cache("langid")
         if cache.get("langid", (None,))[0] != self.name:
             cache["langid"] = (self.name, Scorer(self))
         return cache["langid"][1]
@@ -152,9 +153,17 @@ class Scorer:
         self.index = {p: i for i, p in enumerate(model.pieces)}
         self.forget()
 
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.model.languages)))
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Drop the words, but for those at the places ``keep``."""
+        if keep is None:
+            self.at: dict[str, int] = {}
+            self.rows = np.zeros((0, len(self.model.languages)))
+        else:
+            new = np.full(len(self.rows), -1)
+            new[keep] = np.arange(len(keep))
+            self.at = {w: n for w, n in zip(self.at, new.tolist()) if n >= 0}
+            self.rows = self.rows[keep]
+        self.used = np.zeros(len(self.rows), np.int64)
 
     def learn(self, words: list[str]) -> None:
         rows = np.zeros((len(words), len(self.model.languages)))
@@ -162,23 +171,28 @@ class Scorer:
             rows[places] = Lattice(self.index, group).log_words(self.model.probs)
         self.at.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
         self.rows = np.concatenate([self.rows, rows])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and posterior of each text."""
-        if len(self.at) > WORDS:
-            self.forget()
+        if len(self.at) > WORDS:  # most words never return
+            keep = np.flatnonzero(self.used > 1)
+            self.forget(keep if len(keep) <= WORDS // 2 else None)
         cut = [marked_words(t) for t in texts]
         flat = [w for words in cut for w in words]
-        codes = list(map(self.at.get, flat))
-        if None in codes:
-            self.learn(list(dict.fromkeys(w for w, c in zip(flat, codes) if c is None)))
-            codes = list(map(self.at.__getitem__, flat))
+        codes = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            new = [flat[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            codes[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        self.used += np.bincount(codes, minlength=len(self.used))
         sizes = np.array([len(words) for words in cut])
         total = np.tile(self.model.priors, (len(texts), 1))
         full = np.flatnonzero(sizes)
         if len(full):
             begins = (np.cumsum(sizes) - sizes)[full]
-            total[full] += np.add.reduceat(self.rows[np.array(codes)], begins, axis=0)
+            total[full] += np.add.reduceat(self.rows[codes], begins, axis=0)
         best = total.argmax(axis=1)
         top = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         names = [self.model.languages[b] if n else UNKNOWN for b, n in zip(best, sizes)]
@@ -188,15 +202,20 @@ class Scorer:
 def train(labelled: DataFrame, vocabulary: str | None = None, per_language: int = PER_LANGUAGE,
           rounds: int = ROUNDS) -> Model | None:
     """Fit on ``labelled`` (doc_id, text, lang); None without labelled rows."""
+    common.small_batches(labelled.sparkSession)
     pieces = read_pieces(common.file_bytes(vocabulary or public_tokenizers.path(VOCABULARY)))
     rows = labelled.filter(F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").alias("_lang"))
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return None
-    # The few smallest hashes of each language; Spark keeps them per task before it shuffles.
+    # The smallest hashes of each language: hashes under a bound that leaves about twice as many
+    # rows as wanted, so that few rows meet in a language's window whatever the corpus.
     smallest = Window.partitionBy("_lang").orderBy("_hash", "doc_id")
-    ids = (rows.select("doc_id", "_lang", F.xxhash64("doc_id").alias("_hash"))
+    bound = F.create_map(*[x for lang, n in counts.items() for x in (
+        F.lit(lang), F.lit(min(1 << 31, (2 * per_language + 100) * (1 << 31) // n)))])
+    ids = (rows.select("doc_id", "_lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("_hash"))
+           .filter(F.col("_hash") <= bound[F.col("_lang")])
            .withColumn("_k", F.row_number().over(smallest)).filter(F.col("_k") <= per_language)
            .select("doc_id", "_lang").distinct())
     sample = rows.join(F.broadcast(ids), ["doc_id", "_lang"]).select("_lang", "text")
@@ -244,6 +263,7 @@ def train(labelled: DataFrame, vocabulary: str | None = None, per_language: int
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", drop: tuple = ()) -> DataFrame:
     """``docs`` without the columns ``drop``, with lang_pred and score; the text is the only input."""
+    common.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", *drop)]
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if model is None:

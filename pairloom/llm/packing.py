@@ -40,6 +40,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
 
     ``rank`` counts the pieces of a length within the task ``part`` that made them.
     """
+    common.small_batches(docs.sparkSession)
     data = common.file_bytes(vocabulary or public_tokenizers.path(VOCABULARY))
 
     def run(batches):

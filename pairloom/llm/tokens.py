@@ -17,7 +17,7 @@ import numpy as np
 from pairloom.llm import common
 
 #: Units and their characters that a worker remembers before it drops those seen once.
-UNITS, UNIT_CHARS = 600_000, 48 << 20
+UNITS, UNIT_CHARS = 250_000, 32 << 20
 
 #: New units that go to the library as one text.
 GROUP = 2000
@@ -117,8 +117,8 @@ def byte_lengths(units: list[str]) -> np.ndarray:
 
 
 def encoder(data: bytes) -> Texts:
-    cache = common.worker_cache()
-    key = ("texts", hash(data))
+    cache = common.worker_cache("tokens")
+    key = hash(data)
     if key not in cache:
         cache[key] = Texts(data)
     return cache[key]

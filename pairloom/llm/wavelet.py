@@ -199,6 +199,7 @@ def _make_folder(root: str) -> None:
 def write_shards(docs: DataFrame, root: str, vocabulary: str | None = None, end_id: int = END_ID,
                  shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) in doc_id order; one manifest row per file."""
+    common.small_batches(docs.sparkSession)
     data = common.file_bytes(vocabulary or public_tokenizers.path(VOCABULARY))
     _make_folder(root)
 
