@@ -35,7 +35,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary, part int,
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
-           size: int = SIZE) -> DataFrame:
+           size: int = SIZE, units: int = tokens.UNITS) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text) with their ids (binary, little-endian uint32).
 
     ``rank`` counts the pieces of a length within the task ``part`` that made them.
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
     data = common.file_bytes(vocabulary or public_tokenizers.path(VOCABULARY))
 
     def run(batches):
-        encoder, part = tokens.encoder(data), TaskContext.get().partitionId()
+        encoder, part = tokens.encoder(data, units), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in common.slices(batches, "text"):
             flat, each = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
@@ -169,9 +169,12 @@ def sequences(placed: DataFrame) -> DataFrame:
         F.transform("_p", lambda x: x["doc_id"]).alias("doc_ids"))
 
 
-def pack(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Where each piece of each document goes, with a checksum of its ids."""
-    made = pieces(docs, size=size).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+def pack(docs: DataFrame, size: int = SIZE, units: int = tokens.UNITS) -> DataFrame:
+    """Where each piece of each document goes, with a checksum of its ids.
+
+    ``units``: what a worker remembers of the encoder's work (speed against memory).
+    """
+    made = pieces(docs, size=size, units=units).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return assign(common.stage(made, "pieces"), size)
 
 

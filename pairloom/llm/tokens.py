@@ -17,7 +17,7 @@ import numpy as np
 from pairloom.llm import common
 
 #: Units and their characters that a worker remembers before it drops those seen once.
-UNITS, UNIT_CHARS = 250_000, 32 << 20
+UNITS, UNIT_CHARS = 600_000, 48 << 20
 
 #: New units that go to the library as one text.
 GROUP = 2000
@@ -26,7 +26,8 @@ GROUP = 2000
 class Texts:
     """Encoder of one tokenizer file."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, most: int = UNITS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,9 +58,9 @@ class Texts:
 
     def make_room(self) -> None:
         """Past the bound, keep units that returned: most units of a language never do."""
-        if len(self.at) > UNITS or self.chars > UNIT_CHARS:
+        if len(self.at) > self.most or self.chars > UNIT_CHARS:
             keep = np.flatnonzero(self.used > 1)
-            self.forget(keep if len(keep) <= UNITS // 2 and self.chars <= UNIT_CHARS else None)
+            self.forget(keep if len(keep) <= self.most // 2 and self.chars <= UNIT_CHARS else None)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
@@ -116,9 +117,9 @@ def byte_lengths(units: list[str]) -> np.ndarray:
     return np.diff(np.concatenate([[-1], places])) - 1
 
 
-def encoder(data: bytes) -> Texts:
+def encoder(data: bytes, most: int = UNITS) -> Texts:
     cache = common.worker_cache("tokens")
-    key = hash(data)
+    key = (hash(data), most)
     if key not in cache:
-        cache[key] = Texts(data)
+        cache[key] = Texts(data, most)
     return cache[key]
