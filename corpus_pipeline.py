@@ -13,6 +13,9 @@ from pairloom.llm import common, exact, langid, ngram_join, packing, quality
 #: A document stays if its language has at least this posterior.
 LANGUAGE_SCORE = 0.5
 
+#: Units that a worker remembers while encoding: its memory also holds what earlier stages left.
+UNITS = 250_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all quality rules."""
@@ -36,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of the remaining documents in the packed sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, units=UNITS)
 
 
 STAGES = [
