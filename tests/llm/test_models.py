@@ -129,6 +129,34 @@ def test_join_equals_all_pairs(spark, near_texts, block):
     assert {r["doc_id"] for r in kept.collect()} == heads
 
 
+def test_no_link_at_the_threshold_is_lost(spark):
+    draw = random.Random(3)
+    texts = []
+    for pair in range(3000):  # 45 shingles each, 40 of them common: similarity 0.8
+        words = [f"p{pair}w{draw.randrange(10**9)}" for _ in range(49)]
+        texts += [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (512, 1):
+        rows = ngram_join.classify(docs, block=block).collect()
+        assert len(rows) == 6000 and all(r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in rows)
+
+
+def test_similar_sets_share_a_shingle_of_their_prefixes():
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 63, 60).astype(np.uint64)
+    order = ngram_join.Order(base[:40], draw.integers(2, 9, 40))
+    sets = [np.unique(np.concatenate([draw.choice(base, n, replace=False), draw.integers(0, 1 << 63, k).astype(np.uint64)]))
+            for n, k in zip(draw.integers(1, 60, 300), draw.integers(0, 6, 300))]
+    prefixes = order.prefixes(sets, 0.6)
+    similar = 0
+    for (a, p), (b, q) in itertools.combinations(zip(sets, prefixes), 2):
+        both = len(np.intersect1d(a, b))
+        if both >= 0.6 * (len(a) + len(b) - both):
+            similar += 1
+            assert set(p.tolist()) & set(q.tolist())
+    assert similar > 50 and sum(map(len, prefixes)) < sum(map(len, sets))
+
+
 def test_matched_depth_shortens_to_the_recall():
     assert ngram_join.matched_depth() == 5
     assert ngram_join.matched_depth(recall=0.5) > 5 and ngram_join.matched_depth(recall=0.9999) < 5
