@@ -225,6 +225,71 @@ def test_nearest_does_not_depend_on_ranges(spark, parts):
     assert all(got[10 * a + b] // 10 == a for a in range(6) for b in range(4))
 
 
+def brute_pages(rows):
+    """Texts of pages (page_id, url, html) by comparing each open page with all pages of its host."""
+    cut = [re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", u or "") for _, u, _ in rows]
+    pages = [(m[1] if m else "", m[2] if m else "", i, page_text.blocks(h or "")) for i, (m, (_, _, h)) in enumerate(zip(cut, rows))]
+    out = {}
+    for host, path, i, (main, inside, mine) in pages:
+        def start(other):
+            return 1 << 40 if other[1] == path else len(os.path.commonprefix([other[1], path]))
+
+        def lines(page):
+            return [] if page[3][0] and not page[3][2] else page[3][2]
+
+        others = [p for p in pages if p[0] == host and lines(p) != mine]
+        before = max((p for p in others if p[1:3] < (path, i)), key=lambda p: p[1:3], default=None)
+        after = min((p for p in others if p[1:3] > (path, i)), key=lambda p: p[1:3], default=None)
+        near = max((p for p in (before, after) if p), key=start, default=None)
+        other = lines(near) if near else []
+        best = {(x, y): 0 for x in range(len(mine) + 1) for y in range(len(other) + 1)}
+        for x, y in itertools.product(range(len(mine)), range(len(other))):
+            best[x + 1, y + 1] = best[x, y] + 1 if mine[x] == other[y] else max(best[x, y + 1], best[x + 1, y])
+        x, y, gone = len(mine), len(other), set()
+        while x and y:
+            if mine[x - 1] == other[y - 1]:
+                gone.add(x - 1)
+                x, y = x - 1, y - 1
+            elif best[x - 1, y] >= best[x, y - 1]:
+                x -= 1
+            else:
+                y -= 1
+        out[rows[i][0]] = "\n".join(inside if main else [t for k, t in enumerate(mine) if k not in gone])
+    return out
+
+
+def test_copies_without_markup_keep_their_text(spark):
+    page = "<p>Home</p><p>The story</p><p>About us</p>"
+    rows = [(i, f"http://copies.example/{i}", page) for i in range(6)] + [(10 + i, "http://one.example/x", page) for i in range(2)]
+    rows += [(20 + i, f"http://mixed.example/a/{i}", page) for i in range(5)] + [(30, "http://mixed.example/b", page.replace("The", "Other"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.extract(pages.repartition(3)).collect()}
+    assert all(got[i] == "Home\nThe story\nAbout us" for i in (*range(6), 10, 11))
+    assert all(got[20 + i] == "The story" for i in range(5)) and got[30] == "Other story"
+
+
+@pytest.mark.parametrize("parts", ["1", "9"])
+def test_pages_equal_brute_force(spark, parts):
+    draw = random.Random(8)
+    rows = []
+    for i in range(90):
+        body = f"<p>Menu</p><p>Story {draw.randrange(4)}</p><p>More {draw.randrange(2)}</p><p>End</p>"
+        body = f"<article>{body}</article>" if draw.random() < 0.1 else body
+        rows.append((i, f"http://{draw.choice('aaab')}.example/{draw.choice('xyz')}{i:02d}", body))
+    rows += [(100 + i, f"http://c.example/{i:02d}", rows[3 if i < 20 else 4][2]) for i in range(30)]
+    rows += [(200, None, None), (201, "http://d.example/", "<p>Alone</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["page_id"]: r["text"] for r in page_text.extract(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == brute_pages(rows)
+
+
 @needs_tables
 def test_pipeline_stages_on_their_own_inputs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
