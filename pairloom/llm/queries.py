@@ -21,6 +21,5 @@ ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_chat_format": chat.SQL,
     "op5_exact_dedup": exact.SQL,
-    "op9_html_text": page_text.query,
     "op10_quality_cascade": quality.SQL,
 }

@@ -21,3 +21,9 @@ def test_all_ten_and_the_pipeline_are_registered():
     names = set(queries())
     assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
     assert set(oracle_sql()) <= names
+
+
+def test_every_twin_is_sql_and_is_run():
+    assert all(isinstance(sql, str) for sql in oracle_sql().values())
+    run = next(m.args[1] for m in test_query_equals_its_twin.pytestmark if m.name == "parametrize")
+    assert {name for name in oracle_sql() if name.startswith("op") or name == "pipeline"} == set(run)

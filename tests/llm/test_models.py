@@ -290,6 +290,15 @@ def test_pages_equal_brute_force(spark, parts):
     assert got == brute_pages(rows)
 
 
+def test_registered_page_query_equals_brute_force(spark, tmp_path):
+    page = "<p>Menu</p><p>Story {}</p><p>End</p>"
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i:02d}", page.format(i // 6)) for i in range(40)]
+    rows += [(50, "http://a.example/05", "<main><p>Whole</p></main><p>Rest</p>"), (51, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in page_text.query(spark, str(tmp_path)).collect()}
+    assert got == {i: (text, len(text)) for i, text in brute_pages(rows).items()}
+
+
 @needs_tables
 def test_pipeline_stages_on_their_own_inputs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
