@@ -157,6 +157,18 @@ def test_similar_sets_share_a_shingle_of_their_prefixes():
     assert similar > 50 and sum(map(len, prefixes)) < sum(map(len, sets))
 
 
+def test_one_document_stays_of_each_class_with_null_and_repeated_ids(spark):
+    def text(name, change=""):
+        return " ".join(f"{name}{i}" for i in range(100)) + change
+
+    rows = [(1, text("a")), (2, text("a", " x")), (1, text("b")), (3, text("b", " x")), (None, text("c")),
+            (None, text("c", " x")), (None, text("d")), (7, text("d", " x")), (None, None), (4, text("e"))]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(kept) == 6 and {rows[i] for i in (0, 2, 6, 8, 9)} <= {tuple(r) for r in kept}
+    assert sum((r["text"] or "").startswith("c0") for r in kept) == 1
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 1, 4]
+
+
 def test_matched_depth_shortens_to_the_recall():
     assert ngram_join.matched_depth() == 5
     assert ngram_join.matched_depth(recall=0.5) > 5 and ngram_join.matched_depth(recall=0.9999) < 5
