@@ -1,6 +1,6 @@
 """Language ID by unigrams of pieces, summed over all segmentations.
 
-The pieces are those of a fixed public vocabulary (at most ``LONGEST`` characters each). A
+The pieces are those of a fixed public vocabulary that a word can hold, of any length. A
 language gives each piece a probability; a word's probability is the sum, over every way to cut
 it into pieces, of the product of their probabilities, found by a forward pass over its
 characters. A text's score in a language is the log prior plus the sum over all its words, and
@@ -35,7 +35,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pairloom.llm import common
 
 VOCABULARY = "piece_bpe_32k.model"
-LONGEST = 8
 PER_LANGUAGE = 400
 ROUNDS = 3
 #: Added to each expected count: a piece unseen in a language keeps some probability.
@@ -55,7 +54,7 @@ def read_pieces(data: bytes) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_proto=data)
     names = (model.id_to_piece(i) for i in range(model.vocab_size())
              if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-    return sorted({p for p in names if len(p) <= LONGEST and LETTERS.fullmatch(p.removeprefix(MARK) or "a")
+    return sorted({p for p in names if LETTERS.fullmatch(p.removeprefix(MARK) or "a")
                    and p == p.lower()})
 
 
@@ -63,16 +62,17 @@ class Lattice:
     """Words of one length as piece numbers: ids[w, i, k] is the piece of k + 1 characters that
     ends at character i of word w, or -1."""
 
-    def __init__(self, index: dict[str, int], words: list[str]):
+    def __init__(self, index: dict[str, int], words: list[str], longest: int | None = None):
         n = len(words[0])
+        most = min(longest or max(map(len, index), default=1), n)
         self.n, self.unknown = n, len(index)
         get, unknown = index.get, len(index)
         flat = []
         for w in words:
             for i in range(n):
-                for k in range(min(LONGEST, n)):
+                for k in range(most):
                     flat.append(get(w[i - k:i + 1], unknown if k == 0 else -1) if k <= i else -1)
-        self.ids = np.array(flat, np.int32).reshape(len(words), n, min(LONGEST, n))
+        self.ids = np.array(flat, np.int32).reshape(len(words), n, most)
 
     def forward(self, probs: np.ndarray) -> np.ndarray:
         """Sum over all cuts of the first i characters, for each i, word and language.
@@ -151,6 +151,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.index = {p: i for i, p in enumerate(model.pieces)}
+        self.longest = max(map(len, model.pieces), default=1)
         self.forget()
 
     def forget(self, keep: np.ndarray | None = None) -> None:
@@ -168,7 +169,7 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         rows = np.zeros((len(words), len(self.model.languages)))
         for places, group in by_length([MARK + w for w in words]):
-            rows[places] = Lattice(self.index, group).log_words(self.model.probs)
+            rows[places] = Lattice(self.index, group, self.longest).log_words(self.model.probs)
         self.at.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
         self.rows = np.concatenate([self.rows, rows])
         self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
@@ -238,6 +239,7 @@ def train(labelled: DataFrame, vocabulary: str | None = None, per_language: int
 
         def expect(batches):
             index = {p: i for i, p in enumerate(pieces)}
+            longest = max(map(len, pieces), default=1)
             total = np.zeros((len(pieces) + 1, len(languages)))
             for batch in batches:
                 lang = np.array([languages.index(x) for x in batch.column("_lang").to_pylist()])
@@ -246,7 +248,7 @@ def train(labelled: DataFrame, vocabulary: str | None = None, per_language: int
                 for of in range(len(languages)):
                     mine = np.flatnonzero(lang == of)
                     for places, group in by_length([MARK + text[i] for i in mine]):
-                        found = Lattice(index, group).expected(tasks[:, of:of + 1], n[mine[places]].astype(float))
+                        found = Lattice(index, group, longest).expected(tasks[:, of:of + 1], n[mine[places]].astype(float))
                         total[:, of] += found[:-1]
             piece, of = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(of), pa.array(total[piece, of])],

@@ -44,6 +44,15 @@ def test_forward_sums_all_segmentations():
     assert expected == pytest.approx(counts)
 
 
+def test_long_pieces_are_used():
+    pieces = langid.read_pieces(langid.common.file_bytes(langid.public_tokenizers.path(langid.VOCABULARY)))
+    assert {"▁function", "▁different", "▁information"} <= set(pieces)
+    index = {"▁different": 0, "▁": 1, "d": 2, "ifferent": 3}
+    probs = np.array([[0.5], [0.2], [0.1], [0.3], [0.0], [0.0]])
+    got = langid.Lattice(index, ["▁different"]).log_words(probs)
+    assert math.exp(got[0, 0]) == pytest.approx(0.5 + 0.2 * 0.1 * 0.3)
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, f"der und die das nicht {i}", "de", 0.5) for i in range(12)]
     rows += [(20 + i, f"the and of that is {i}", "en", 0.5) for i in range(12)]
