@@ -11,15 +11,16 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
-@pytest.mark.parametrize("name", ["op3_line_dedup", "op4_chat_format", "op5_exact_dedup", "op10_quality_cascade"])
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op4_chat_format", "op5_exact_dedup", "op10_quality_cascade",
+                                  "op11_fm_decontamination", "op12_lexical_search"])
 def test_query_equals_its_twin(spark, name):
     ok, n, message = compare(spark, connect(SF), name, SF)
     assert ok and n, message
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     names = set(queries())
-    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14))
     assert set(oracle_sql()) <= names
 
 
