@@ -28,7 +28,7 @@ from pairloom.sources import driver, tables
 
 from .setup import DATA, FORMATION, SETTINGS
 from .shape import Query
-from .sql import FEATURES, TARGETS, audit_steps, between, candidate_sql, step, tau_p
+from .sql import FEATURES, TARGETS, audit_steps, between, candidate_sql, lag_test, step, tau_p
 
 ALL: list[Query] = []
 SPLITS = ("train", "validation", "test", "holdout_2025")
@@ -289,12 +289,8 @@ add("p01_all_pairs", lambda r, s, sf: P.candidate_pairs(r.universe, same_sector_
     candidate_sql("universe", False))
 
 
-def _statistics(r, s, sf):
-    vectors = N.price_vectors(N.price_panel(r.prices, FORMATION, unique=True), FORMATION)
-    return P.pair_statistics(r.candidates, vectors, FORMATION)
-
-
-add("p03_p05_p07_p08_p11_pair_statistics", _statistics,
+add("p03_p05_p07_p08_p11_pair_statistics",
+    lambda r, s, sf: P.pair_statistics(r.candidates, r.formation_vectors, FORMATION),
     "pair_id overlap_observations:i return_correlation:6 hedge_ratio_beta:6 alpha:6 df_statistic:6 half_life_days:6",
     """SELECT pair_id, n AS overlap_observations, rho AS return_correlation, beta AS hedge_ratio_beta, alpha,
        t AS df_statistic, CASE WHEN gamma < 0 THEN -ln(2) / gamma END AS half_life_days
@@ -317,25 +313,25 @@ add("p04_missing_leg", _with_missing_legs,
        FROM indexed_candidates c LEFT JOIN evaluated e USING (pair_id)""")
 add("p06_p10_candidate_diagnostics", lambda r, s, sf: r.evaluated, DIAGNOSTIC, "SELECT * FROM evaluated")
 def _engle_granger(r, max_lag):
-    return P.evaluate_candidates(r.candidates, r.prices, replace(SETTINGS.pairs, variant="aic", max_lag=max_lag), unique=True)
-
-
-# The chosen lag has no twin; its rows, its range and the pairs it tests have one.
-add("p09_engle_granger_aic",
-    lambda r, s, sf: _engle_granger(r, None).withColumn(
-        "in_range", F.coalesce(F.col("cointegration_pvalue_raw").between(0, 1), ~F.col("passes_correlation_filter"))),
-    "pair_id overlap_observations:i passes_correlation_filter in_range",
-    "SELECT pair_id, overlap_observations, passes_correlation_filter, true AS in_range FROM evaluated")
-add("p09_engle_granger_no_lag", lambda r, s, sf: _engle_granger(r, 0),
-    "pair_id cointegration_pvalue_raw:9 cointegration_test_statistic:6",
-    f"""SELECT e.pair_id, CASE WHEN passes_correlation_filter THEN stat END AS cointegration_test_statistic,
-        CASE WHEN passes_correlation_filter THEN {tau_p('stat', 2)} END AS cointegration_pvalue_raw
-        FROM evaluated e LEFT JOIN (
-          SELECT pair_id, g / sqrt((dd - g * ed) / (m - 1) / ee) AS stat FROM (
-            SELECT pair_id, sum(e1 * ds) AS ed, sum(e1 * e1) AS ee, sum(ds * ds) AS dd, count(ds) AS m, ed / ee AS g
-            FROM (SELECT pair_id, ds, s1 - mean AS e1 FROM pair_residuals JOIN (
-                    SELECT f.pair_id, avg(y - beta * x) AS mean FROM formation_returns f JOIN pair_fit USING (pair_id)
-                    GROUP BY f.pair_id) USING (pair_id) WHERE ds IS NOT NULL) GROUP BY pair_id)) USING (pair_id)""")
+    """Tests of every candidate: those that pass the correlation filter have a statistic."""
+    p = replace(SETTINGS.pairs, variant="aic", max_lag=max_lag)
+    return P.evaluate_candidates(r.candidates, r.prices, p, unique=True, keep=("lags",),
+                                 stage=lambda _: r.formation_vectors)
+
+
+ENGLE_GRANGER = ("pair_id overlap_observations:i passes_correlation_filter cointegration_pvalue_raw:9 "
+                 "cointegration_test_statistic:6 lags:i")
+# The lag of least AIC among all that the length allows: its numbers are tested against plain
+# regressions; with few lags the same operator has a twin.
+add("p09_engle_granger_aic", lambda r, s, sf: _engle_granger(r, None), ENGLE_GRANGER)
+for _lag in (0, 1, 2):
+    add(f"p09_engle_granger_lag_{_lag}", lambda r, s, sf, m=_lag: _engle_granger(r, m), ENGLE_GRANGER,
+        f"""SELECT pair_id, overlap_observations, passes_correlation_filter, lags, stat AS cointegration_test_statistic,
+            CASE WHEN stat IS NOT NULL THEN {tau_p('stat', 2)} END AS cointegration_pvalue_raw
+            FROM (SELECT e.*, CASE WHEN passes_correlation_filter THEN lags END AS lags,
+                CASE WHEN passes_correlation_filter THEN stat END AS stat
+              FROM (SELECT pair_id, overlap_observations, passes_correlation_filter FROM evaluated) e
+              LEFT JOIN ({lag_test('pair_residual_series', _lag, False)}) USING (pair_id))""")
 
 
 def _line_prices(r, s, sf):
@@ -377,14 +373,20 @@ add("x02_spread_series", lambda r, s, sf: r.spreads,
     "date:d pair_id ticker_1 ticker_2 adjusted_close_1:6 adjusted_close_2:6 log_price_1:6 log_price_2:6 alpha:6 "
     "beta:6 spread:6", "SELECT * FROM spreads")
 def _adf(r, max_lag):
-    return S.spread_diagnostics(r.selected, r.prices, r.vectors, replace(SETTINGS.spreads, variant="aic", max_lag=max_lag))
-
-
-add("x05_adf_aic",
-    lambda r, s, sf: _adf(r, None).withColumn("in_range", F.col("adf_p_value_formation").between(0, 1)),
-    "pair_id in_range half_life_formation:6", "SELECT *, true AS in_range FROM spread_diagnostics")
-add("x05_adf_no_lag", lambda r, s, sf: _adf(r, 0), "pair_id adf_p_value_formation:9",
-    f"SELECT pair_id, {tau_p('t', 1)} AS adf_p_value_formation FROM spread_df")
+    """Unit-root tests of the formation spreads beside their diagnostics."""
+    p = replace(SETTINGS.spreads, variant="aic", max_lag=max_lag)
+    rows = S.spread_diagnostics(r.selected, r.prices, r.vectors, p)
+    tests = S.unit_root_tests(rows.select("pair_id", "ticker_1", "ticker_2", "alpha", "beta"), r.vectors, p)
+    return rows.join(tests.select("pair_id", "stat", "lags"), "pair_id", "left")
+
+
+ADF = "pair_id adf_p_value_formation:9 half_life_formation:6 stat:6 lags:i"
+add("x05_adf_aic", lambda r, s, sf: _adf(r, None), ADF)
+for _lag in (0, 1, 2):
+    add(f"x05_adf_lag_{_lag}", lambda r, s, sf, m=_lag: _adf(r, m), ADF,
+        f"""SELECT pair_id, half_life_formation, stat, lags, {tau_p('stat', 1)} AS adf_p_value_formation
+            FROM (SELECT pair_id, half_life_formation FROM spread_diagnostics)
+            JOIN ({lag_test('formation_spreads', _lag, True)}) USING (pair_id)""")
 add("x07_lagged_zscores", lambda r, s, sf: S.lagged_zscores(r.spreads, SETTINGS.spreads.windows),
     "date:d pair_id ticker_1 ticker_2 z_score_window:i rolling_mean_lagged:6 rolling_std_lagged:6 z_score:6",
     "SELECT * FROM zscores")

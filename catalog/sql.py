@@ -220,6 +220,42 @@ def dickey_fuller(rows: str) -> str:
 
 
 step("pair_df", dickey_fuller("pair_residuals"))
+
+
+def orthogonal(rows: str, names: list[str], free: list[str], const: bool) -> str:
+    """``names`` in turn freed of all named before them, row by row; ``free`` of all of ``names``."""
+    every = [*names, *free]
+    shown = ", ".join(f"{c} - avg({c}) OVER p AS {c}" if const else c for c in every)
+    sql = f"SELECT pair_id, {shown} FROM ({rows}) WINDOW p AS (PARTITION BY pair_id)"
+    for k, name in enumerate(names):
+        freed = ", ".join(f"{c} - {name} * (sum({c} * {name}) OVER p / sum({name} * {name}) OVER p) AS {c}" for c in every[k + 1:])
+        sql = f"SELECT pair_id, {', '.join(names[:k + 1])}, {freed} FROM ({sql}) WINDOW p AS (PARTITION BY pair_id)"
+    return sql
+
+
+def lag_test(series: str, most: int, const: bool) -> str:
+    """pair_id, lags and stat of the unit-root test of (pair_id, date, s) with up to ``most`` lags."""
+    base = 2 if const else 1
+    steps = (f"SELECT pair_id, date, s - lag(s) OVER w AS d0, lag(s) OVER w AS lev FROM {series} "
+             "WINDOW w AS (PARTITION BY pair_id ORDER BY date)")
+    lagged = "".join(f", lag(d0, {k}) OVER w AS d{k}" for k in range(1, most + 1))
+    rows = f"SELECT *{lagged} FROM ({steps}) WINDOW w AS (PARTITION BY pair_id ORDER BY date)"
+    scored, tested = [], []
+    for k in range(most + 1):
+        ds = [f"d{j}" for j in range(1, k + 1)]
+        common = orthogonal(f"SELECT * FROM ({rows}) WHERE d{most} IS NOT NULL", ["lev", *ds], ["d0"], const)
+        scored.append(f"SELECT pair_id, {k} AS lags, count(*) * ln(sum(d0 * d0) / count(*)) + {2 * (k + base)} AS aic "
+                      f"FROM ({common}) GROUP BY pair_id")
+        own = orthogonal(f"SELECT * FROM ({rows}) WHERE d{k} IS NOT NULL", ds, ["lev", "d0"], const)
+        tested.append(f"SELECT pair_id, {k} AS lags, sum(lev * d0) / sqrt((sum(d0 * d0) - sum(lev * d0) ** 2 / sum(lev * lev)) "
+                      f"/ (count(*) - {k + base}) * sum(lev * lev)) AS stat FROM ({own}) GROUP BY pair_id")
+    chosen = f"SELECT pair_id, arg_min(lags, (aic, lags)) AS lags FROM ({' UNION ALL '.join(scored)}) GROUP BY pair_id"
+    return f"SELECT * FROM ({chosen}) JOIN ({' UNION ALL '.join(tested)}) USING (pair_id, lags)"
+
+
+step("pair_residual_series", """
+ SELECT pair_id, date, e - avg(e) OVER (PARTITION BY pair_id) AS s FROM (
+   SELECT r.pair_id, date, y - beta * x AS e FROM formation_returns r JOIN pair_fit USING (pair_id))""")
 step("evaluated", f"""
  SELECT c.*, {d(PP.formation.start)} AS formation_start, {d(PP.formation.end)} AS formation_end,
    sector_1 = sector_2 AS same_sector_pair, coalesce(n, 0) AS overlap_observations,
@@ -292,6 +328,7 @@ step("spread_changes", """
  SELECT pair_id, spread - lag(spread) OVER w AS ds, lag(spread) OVER w AS s1
  FROM spreads WHERE inside WINDOW w AS (PARTITION BY pair_id ORDER BY date)""")
 step("spread_df", dickey_fuller("spread_changes"))
+step("formation_spreads", "SELECT pair_id, date, spread AS s FROM spreads WHERE inside")
 step("spread_diagnostics", f"""
  SELECT s.pair_id, any_value(ticker_1) AS ticker_1, any_value(ticker_2) AS ticker_2,
    any_value(beta) AS beta, any_value(alpha) AS alpha,

@@ -1,8 +1,7 @@
 """Statistics built from Spark aggregates, plus small Arrow functions.
 
 The aggregates carry all the data volume. Arrow functions only see one row per
-pair (an AR(1) likelihood in one unknown) or one aligned price
-history per surviving pair (the lag-augmented unit-root test).
+pair (an AR(1) likelihood in one unknown).
 """
 
 from __future__ import annotations
@@ -24,11 +23,6 @@ def _doubles(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, DOUBLE) for n in names])
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation that is NULL, not an error, for constant input."""
-    return ratio(F.covar_samp(a, b), F.sqrt(F.var_samp(a) * F.var_samp(b)))
-
-
 # --------------------------------------------------------------------------- AR(1) moments
 
 def ar1_moments(y: str, x: str, y1: str, x1: str) -> list[Column]:
@@ -119,87 +113,6 @@ TAU = {
 }
 
 
-def tau_p_value(statistic: float, series: int) -> float:
-    """Approximate p-value of a unit-root t statistic."""
-    row = TAU[series]
-    if math.isnan(statistic):
-        return math.nan
-    if statistic > row["max"]:
-        return 1.0
-    if statistic < row["min"]:
-        return 0.0
-    powers = row["small"] if statistic <= row["star"] else row["large"]
-    z = sum(c * statistic ** k for k, c in enumerate(powers))
-    return 0.5 * math.erfc(-z / math.sqrt(2))
-
-
-def lagged_design(x: np.ndarray, lags: int, const: bool):
-    """Response and regressors [1?, level, change lags] of the unit-root regression."""
-    dx = np.diff(x)
-    n = len(dx) - lags
-    columns = [np.ones(n)] if const else []
-    columns.append(x[lags:-1])
-    columns += [dx[lags - k:len(dx) - k] for k in range(1, lags + 1)]
-    return dx[lags:], np.column_stack(columns)
-
-
-def unit_root_statistic(x: np.ndarray, const: bool, max_lag: int | None = None) -> float:
-    """t statistic with the lag length of least AIC, up to ``max_lag`` or a bound by length."""
-    n = len(x)
-    base = 2 if const else 1
-    limit = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - base)
-    if limit < 0:
-        return math.nan
-    limit = limit if max_lag is None else min(limit, max_lag)
-    y, design = lagged_design(x, limit, const)
-    # One QR serves every nested model: each column takes its projection off.
-    q, _ = np.linalg.qr(design)
-    left = y @ y - np.cumsum((q.T @ y) ** 2)
-    rss = np.maximum(left[base - 1:], 1e-300)
-    rows = len(y)
-    aic = rows * np.log(rss / rows) + 2 * np.arange(base, base + len(rss))
-    y, design = lagged_design(x, int(np.argmin(aic)), const)
-    coef, _, rank, _ = np.linalg.lstsq(design, y, rcond=None)
-    if rank < design.shape[1] or len(y) <= design.shape[1]:
-        return math.nan
-    errors = y - design @ coef
-    variance = errors @ errors / (len(y) - design.shape[1])
-    spread = math.sqrt(variance * np.linalg.inv(design.T @ design)[base - 1, base - 1])
-    return float(coef[base - 1] / spread) if spread > 0 else math.nan
-
-
-def engle_granger(y: str, x: str, max_lag: int | None = None) -> Column:
-    """Two-step cointegration test of aligned log-price arrays."""
-    @F.pandas_udf(_doubles("statistic", "p_value"))
-    def test(y: pd.Series, x: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(y, x):
-            a, b = np.asarray(a, float), np.asarray(b, float)
-            design = np.column_stack([np.ones(len(b)), b])
-            coef, *_ = np.linalg.lstsq(design, a, rcond=None)
-            residual = a - design @ coef
-            total = ((a - a.mean()) ** 2).sum()
-            if total == 0 or residual @ residual / total <= 100 * math.sqrt(np.finfo(float).eps):
-                out.append((-math.inf, 0.0))
-                continue
-            stat = unit_root_statistic(residual, False, max_lag)
-            out.append((stat, tau_p_value(stat, 2)))
-        return pd.DataFrame(out, columns=["statistic", "p_value"])
-
-    return test(y, x)
-
-
-def adf_p(series: Column, max_lag: int | None = None) -> Column:
-    """Unit-root p-value of spread arrays."""
-    @F.pandas_udf(DOUBLE)
-    def test(series: pd.Series) -> pd.Series:
-        return pd.Series([
-            tau_p_value(unit_root_statistic(np.asarray(s, float), True, max_lag), 1) for s in series
-        ], dtype=float)
-
-    return test(series)
-
-
 # --------------------------------------------------------------------------- AR(1) likelihood
 
 @F.pandas_udf(_doubles("phi", "mu"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import clip01, ratio, reasons
-from ..functions.stats import (
-    ar1_moments, correlation, engle_granger, spread_test, two_sided_normal,
-)
+from ..functions.lagtest import unit_root, with_tau_p
+from ..functions.stats import spread_test, two_sided_normal
 from ..params import PairParams
-from .panel import aligned_steps, price_panel, price_vectors, with_vectors
+from .panel import price_panel, price_vectors, with_vectors
+from .tiles import pair_moments
 
 IDENTITY = ("pair_id", "ticker_1", "ticker_2", "sector_1", "sector_2", "industry_1",
             "industry_2", "company_name_1", "company_name_2", "pair_liquidity")
@@ -62,39 +64,33 @@ def candidate_pairs(universe: DataFrame, same_sector_only: bool = True,
 
 
 def pair_statistics(pairs: DataFrame, vectors: DataFrame, period) -> DataFrame:
-    """Overlap, return correlation, hedge ratio, Dickey-Fuller t and half-life per pair,
-    in one aggregate over the unfolded vectors.
+    """Overlap, return correlation, hedge ratio, Dickey-Fuller t and half-life per pair, from the
+    moments that tiles of price vectors give.
     """
-    rows = aligned_steps(pairs, vectors).select(
-        "pair_id", F.ln("p1").alias("y"), F.ln("p2").alias("x"),
-        F.ln("b1").alias("y1"), F.ln("b2").alias("x1"),
-        (F.col("p1") / F.col("b1") - 1).alias("r1"), (F.col("p2") / F.col("b2") - 1).alias("r2"),
-    )
-    sums = rows.groupBy("pair_id").agg(
-        F.count(F.lit(1)).alias("overlap_observations"),
-        correlation(F.col("r1"), F.col("r2")).alias("rho"),
-        F.count("r1").alias("returns"),
-        ratio(F.covar_samp("y", "x"), F.var_samp("x")).alias("beta"),
-        F.avg("y").alias("mean_y"), F.avg("x").alias("mean_x"),
-        *ar1_moments("y", "x", "y1", "x1"),
-    )
+    sums = pair_moments(pairs, vectors).withColumns({
+        "rho": ratio(F.col("r_yx"), F.sqrt(F.col("r_yy") * F.col("r_xx"))),
+        "beta": ratio(F.col("c_yx"), F.col("v_x")),
+    })
     test = spread_test(F.col("beta"))
-    enough = (F.col("overlap_observations") >= 3) & (F.col("returns") >= 2)
+    enough = (F.col("overlap_observations") >= 3) & (F.col("m_n") >= 2)
     return sums.select(
         "pair_id", "overlap_observations",
         F.when(enough, F.col("rho")).alias("return_correlation"),
         F.when(F.col("overlap_observations") >= 3, F.col("beta")).alias("hedge_ratio_beta"),
         F.when(F.col("overlap_observations") >= 3,
                F.col("mean_y") - F.col("beta") * F.col("mean_x")).alias("alpha"),
+        F.col("mean_y").alias("mean_1"),
         test.statistic.alias("df_statistic"),
         F.when(F.col("overlap_observations") >= 3, test.half_life).alias("half_life_days"),
     )
 
 
 def evaluate_candidates(candidates: DataFrame, prices: DataFrame, p: PairParams,
-                        unique: bool = False, stage=None) -> DataFrame:
+                        unique: bool = False, stage=None, keep: tuple = ()) -> DataFrame:
     """Pre-correction diagnostics of every candidate (statistics, correlation filter).
 
+    ``keep`` names further columns of the test (``lags``) to show.
+
     ``unique`` says that ``prices`` already has one row per (ticker, date). ``stage`` writes
     the price vectors once: both legs read them, and their size is known to the joins.
     """
@@ -135,11 +131,7 @@ def evaluate_candidates(candidates: DataFrame, prices: DataFrame, p: PairParams,
         rows = rows.withColumn("stat", F.when(F.col("passes"), F.col("df_statistic")))
         rows = rows.withColumn("p_raw", two_sided_normal("stat"))
     else:
-        # Only survivors of the correlation filter reach the Python test.
-        survivors = aligned_arrays(rows.filter("passes"), vectors, p.formation)
-        tested = survivors.select("pair_id", engle_granger("y", "x", p.max_lag).alias("t")).select(
-            "pair_id", F.col("t.statistic").alias("stat"), F.col("t.p_value").alias("p_raw"))
-        rows = rows.join(tested, "pair_id", "left")
+        rows = rows.join(cointegration_tests(rows.filter("passes"), vectors, p), "pair_id", "left")
     return rows.select(
         *IDENTITY[:9],
         F.when(F.col("priced"), F.col("pair_liquidity")).alias("pair_liquidity"),
@@ -153,18 +145,41 @@ def evaluate_candidates(candidates: DataFrame, prices: DataFrame, p: PairParams,
         F.col("stat").alias("cointegration_test_statistic"),
         F.col("beta").alias("hedge_ratio_beta"), F.col("hl").alias("half_life_days"),
         F.lit(False).alias("selected"),
-        F.array_join("why", ";").alias("exclusion_reasons"),
+        F.array_join("why", ";").alias("exclusion_reasons"), *keep,
     )
 
 
-def aligned_arrays(pairs: DataFrame, vectors: DataFrame, period) -> DataFrame:
+def cointegration_tests(pairs: DataFrame, vectors: DataFrame, p: PairParams) -> DataFrame:
+    """Engle-Granger statistic (``stat``), p-value (``p_raw``) and chosen lags of pairs with their
+    statistics (``pair_statistics``). A pair whose legs fit each other exactly has p-value 0 and no statistic of
+    its own (minus infinity).
+    """
+    fit = pairs.select("pair_id", "ticker_1", "ticker_2", F.coalesce("hedge_ratio_beta", F.lit(0.0)).alias("beta"),
+                       F.coalesce("alpha", "mean_1").alias("alpha"))
+    arrays = aligned_arrays(fit, vectors, p.formation, keep=("alpha", "beta"))
+    series = arrays.select("pair_id", "y", F.zip_with(
+        "y", "x", lambda a, b: (a - F.col("alpha")) - F.col("beta") * b).alias("s"))
+
+    def total(name, of):
+        return F.aggregate(name, F.lit(0.0), lambda s, v: s + of(v))
+
+    varied = total("y", lambda v: v * v) - F.pow(total("y", lambda v: v), F.lit(2)) / F.size("y")
+    exact = series.select("pair_id", (total("s", lambda v: v * v) <= varied * (100 * math.sqrt(2.0 ** -52))).alias("exact"))
+    tests = unit_root(series.select("pair_id", "s"), False, p.formation.days, p.max_lag)
+    found = with_tau_p(exact.join(tests, "pair_id", "left"), "statistic", "p", 2)
+    return found.select(
+        "pair_id", F.when(F.col("exact"), F.lit(float("-inf"))).otherwise(F.col("statistic")).alias("stat"),
+        F.when(F.col("exact"), F.lit(0.0)).otherwise(F.col("p")).alias("p_raw"),
+        F.when(~F.col("exact"), F.col("lags")).alias("lags"))
+
+
+def aligned_arrays(pairs: DataFrame, vectors: DataFrame, period, keep: tuple = ()) -> DataFrame:
     """Aligned log-price arrays, one row per pair, without unfolding the dates."""
     both = F.filter(F.arrays_zip("c1", "c2"), lambda v: v["c1"].isNotNull() & v["c2"].isNotNull())
-    # Spread over all cores: the test is CPU-heavy and its input rows are few.
-    return with_vectors(pairs, vectors, ["pair_id", "ticker_1", "ticker_2"]).select(
-        "pair_id", both.alias("v")
+    return with_vectors(pairs, vectors, ["pair_id", "ticker_1", "ticker_2", *keep]).select(
+        "pair_id", *keep, both.alias("v")
     ).select(
-        "pair_id",
+        "pair_id", *keep,
         F.transform("v", lambda v: F.ln(v["c1"])).alias("y"),
         F.transform("v", lambda v: F.ln(v["c2"])).alias("x"),
     )

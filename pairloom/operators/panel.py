@@ -99,19 +99,3 @@ def aligned_prices(pairs: DataFrame, vectors: DataFrame, period: Period,
             F.col("c.c2").alias("adjusted_close_2"),
         )
     )
-
-
-def aligned_steps(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Rows (pair_id, p1, p2, b1, b2): prices of both legs on their common dates, with the
-    prices of the common date before.
-
-    The date before is the neighbour in the array, so no window and no sort is needed, and
-    all rows of a pair come from one row: a following aggregate combines them where they are.
-    """
-    both = F.filter(F.arrays_zip("c1", "c2"), lambda v: v["c1"].isNotNull() & v["c2"].isNotNull())
-    rows = with_vectors(pairs, vectors, ["pair_id", "ticker_1", "ticker_2"]).select("pair_id", both.alias("v"))
-    before = F.concat(F.array(F.lit(None).cast("struct<c1:double,c2:double>")), F.col("v"))
-    steps = F.arrays_zip(F.col("v").alias("now"), F.slice(before, F.lit(1), F.size("v")).alias("was"))
-    return rows.select("pair_id", F.explode(steps).alias("s")).select(
-        "pair_id", F.col("s.now.c1").alias("p1"), F.col("s.now.c2").alias("p2"),
-        F.col("s.was.c1").alias("b1"), F.col("s.was.c2").alias("b2"))

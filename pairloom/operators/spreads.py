@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import business_days, by_date, full_window, ratio
-from ..functions.stats import adf_p, ar1_moments, spread_test, two_sided_normal
+from ..functions.lagtest import unit_root, with_tau_p
+from ..functions.stats import ar1_moments, spread_test, two_sided_normal
 from ..params import SpreadParams
 from .pairs import aligned_arrays
 from .panel import aligned_prices
@@ -55,13 +56,8 @@ def spread_diagnostics(selected: DataFrame, prices: DataFrame, vectors: DataFram
     if p.variant == "df":
         fitted = fitted.withColumn("adf", two_sided_normal("t"))
     else:
-        inside_vectors = vectors.select("ticker", F.slice(
-            "closes", (p.formation.start - p.data.start).days + 1, p.formation.days,
-        ).alias("closes"))
-        arrays = aligned_arrays(selected, inside_vectors, p.formation).filter(F.size("y") >= 4)
-        tested = arrays.join(fitted.select("pair_id", "beta"), "pair_id").select(
-            "pair_id", adf_p(F.zip_with("y", "x", lambda y, x: y - F.col("beta") * x), p.max_lag).alias("adf"))
-        fitted = fitted.join(tested, "pair_id", "left")
+        tested = unit_root_tests(selected.join(fitted.select("pair_id", "alpha", "beta"), "pair_id"), vectors, p)
+        fitted = fitted.join(tested.select("pair_id", F.col("p_raw").alias("adf")), "pair_id", "left")
     missing = F.when(F.col("expected") > 0, F.greatest(
         F.col("expected") - F.col("n_all"), F.lit(0)) / F.col("expected").cast("double")
     ).otherwise(F.lit(0.0))
@@ -95,6 +91,19 @@ def spread_diagnostics(selected: DataFrame, prices: DataFrame, vectors: DataFram
     )
 
 
+def unit_root_tests(pairs: DataFrame, vectors: DataFrame, p: SpreadParams) -> DataFrame:
+    """Statistic (``stat``), p-value (``p_raw``) and chosen lags of the formation spreads of pairs
+    with ``alpha`` and ``beta``; spreads of fewer than four rows have none.
+    """
+    inside = vectors.select("ticker", F.slice(
+        "closes", (p.formation.start - p.data.start).days + 1, p.formation.days).alias("closes"))
+    arrays = aligned_arrays(pairs, inside, p.formation, keep=("alpha", "beta")).filter(F.size("y") >= 4)
+    spread = arrays.select("pair_id", F.zip_with(
+        "y", "x", lambda y, x: (y - F.col("alpha")) - F.col("beta") * x).alias("s"))
+    found = with_tau_p(unit_root(spread, True, p.formation.days, p.max_lag), "statistic", "p_raw", 1)
+    return found.select("pair_id", F.col("statistic").alias("stat"), "p_raw", "lags")
+
+
 def spread_series(diagnostics: DataFrame, vectors: DataFrame, p: SpreadParams) -> DataFrame:
     """Full-history spread with the frozen formation hedge ratio."""
     fitted = diagnostics.filter(F.col("exclusion_reasons") == "")

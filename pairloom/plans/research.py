@@ -128,7 +128,13 @@ class Research:
     def evaluated(self) -> DataFrame:
         return self._stage(
             P.evaluate_candidates(self.candidates, self.prices, self.settings.pairs, unique=True,
-                                  stage=lambda v: self._stage(v, "formation_vectors")), "evaluated")
+                                  stage=lambda _: self.formation_vectors), "evaluated")
+
+    @cached_property
+    def formation_vectors(self) -> DataFrame:
+        """Price vectors of all tickers over the formation period, written once for all tests."""
+        period = self.settings.pairs.formation
+        return self._stage(price_vectors(price_panel(self.prices, period, unique=True), period), "formation_vectors")
 
     @cached_property
     def finalized(self) -> DataFrame:

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows, weekdays
-from pairloom.functions.stats import exact_median, lagged_design, tau_p_value, unit_root_statistic
+from pairloom.functions.lagtest import unit_root, with_tau_p
+from pairloom.functions.stats import exact_median
 from pairloom.operators import pairs as P
 from pairloom.operators import spreads as S
 from pairloom.operators.panel import price_panel, price_vectors
+from pairloom.operators.tiles import pair_moments
 from pairloom.params import PairParams, Period, SpreadParams
 
 
@@ -97,30 +99,117 @@ def test_benjamini_hochberg_small_and_tied(spark):
     assert [r["adj"] for r in out if r["family"] == "z"] == [pytest.approx(0.03), pytest.approx(0.04), pytest.approx(0.04), None]
 
 
-def test_unit_root_kernel_against_plain_regressions():
-    rng = np.random.default_rng(11)
-    for const in (True, False):
-        x = np.cumsum(rng.normal(size=150)) * 0.3 + rng.normal(size=150)
-        limit = math.ceil(12 * 1.5 ** 0.25)
-        y, full = lagged_design(x, limit, const)
-        base = 2 if const else 1
-        scores = []
-        for lags in range(limit + 1):
-            design = full[:, :base + lags]
-            coef, *_ = np.linalg.lstsq(design, y, rcond=None)
-            rss = ((y - design @ coef) ** 2).sum()
-            scores.append(len(y) * math.log(rss / len(y)) + 2 * (base + lags))
-        y, design = lagged_design(x, int(np.argmin(scores)), const)
+def plain_unit_root(x, const, max_lag=None):
+    """Statistic and lags by one regression per lag length."""
+    n, base = len(x), 2 if const else 1
+    limit = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - base)
+    if limit < 0:
+        return None, None
+    limit = limit if max_lag is None else min(limit, max_lag)
+    dx = np.diff(x)
+
+    def fit(first, lags):
+        y = dx[first:]
+        design = np.column_stack([x[first:-1], *[dx[first - k:len(dx) - k] for k in range(1, lags + 1)],
+                                  *([np.ones(len(y))] if const else [])])
         coef, *_ = np.linalg.lstsq(design, y, rcond=None)
         err = y - design @ coef
-        cov = err @ err / (len(y) - design.shape[1]) * np.linalg.inv(design.T @ design)
-        assert unit_root_statistic(x, const) == pytest.approx(coef[base - 1] / math.sqrt(cov[base - 1, base - 1]))
+        return y, design, coef, err @ err
+
+    def aic(lags):
+        y, design, _, rss = fit(limit, lags)
+        return len(y) * math.log(rss / len(y)) + 2 * (base + lags)
 
+    lags = min(range(limit + 1), key=aic)
+    y, design, coef, rss = fit(lags, lags)
+    if len(y) <= design.shape[1]:
+        return None, lags
+    return coef[0] / math.sqrt(rss / (len(y) - design.shape[1]) * np.linalg.inv(design.T @ design)[0, 0]), lags
 
-def test_response_surface_hits_known_critical_values():
-    assert tau_p_value(-2.86, 1) == pytest.approx(0.05, abs=0.002)
-    assert tau_p_value(-3.34, 2) == pytest.approx(0.05, abs=0.003)
-    assert tau_p_value(5.0, 1) == 1.0 and tau_p_value(-30.0, 2) == 0.0
+
+@pytest.mark.parametrize("const", [True, False])
+@pytest.mark.parametrize("max_lag", [None, 0, 2])
+def test_unit_root_equals_plain_regressions(spark, const, max_lag):
+    rng = np.random.default_rng(11)
+    series = {}
+    for i, n in enumerate((4, 7, 12, 20, 35, 80, 150, 400, 900)):
+        x = np.cumsum(rng.normal(size=n)) * 0.3 + rng.normal(size=n)
+        x = np.convolve(x, [1, 0.5, 0.3])[:n] if i % 2 else x
+        series[f"p{n}"] = x - x.mean()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in series.items()], "pair_id string, s array<double>")
+    got = {r["pair_id"]: r for r in rows(unit_root(df, const, 1000, max_lag))}
+    for k, x in series.items():
+        statistic, lags = plain_unit_root(x, const, max_lag)
+        if statistic is None:
+            assert k not in got or got[k]["statistic"] is None
+        else:
+            assert got[k]["lags"] == lags and got[k]["statistic"] == pytest.approx(statistic, rel=1e-8)
+
+
+def test_unit_root_without_error_has_no_statistic(spark):
+    df = spark.createDataFrame([("flat", [0.0] * 40), ("line", [float(i) for i in range(40)])], "pair_id string, s array<double>")
+    assert all(r["statistic"] is None for r in rows(unit_root(df, True, 100)))
+
+
+def test_lags_of_a_pair_and_an_exact_fit(spark):
+    rng = np.random.default_rng(2)
+    n = 120
+    days = weekdays("2020-01-01", n)
+    x = np.cumsum(rng.normal(0, 0.02, n)) + 4
+    noise = np.zeros(n)
+    for i in range(2, n):
+        noise[i] = 0.9 * noise[i - 1] - 0.5 * noise[i - 2] + rng.normal(0, 0.05)
+    a = np.exp(0.3 + 1.1 * x + noise)
+    a[[5, 50]] = np.nan
+    prices = price_table(spark, {"A": [None if math.isnan(v) else v for v in a], "B": np.exp(x), "C": np.exp(0.2 + 2 * x)}, days)
+    listed = universe(spark, [("A", "s", 1.0), ("B", "s", 1.0), ("C", "s", 1.0)])
+    p = PairParams(formation=Period(days[0], days[-1]), min_overlap_days=20, min_return_correlation=-1.0, variant="aic")
+    out = {r["pair_id"]: r for r in rows(P.evaluate_candidates(P.candidate_pairs(listed), prices, p, unique=True, keep=("lags",)))}
+    keep = ~np.isnan(a)
+    beta, alpha = np.polyfit(x[keep], np.log(a[keep]), 1)
+    statistic, lags = plain_unit_root(np.log(a[keep]) - alpha - beta * x[keep], False)
+    got = out["A-B"]
+    assert lags > 0 and (got["lags"], got["cointegration_test_statistic"]) == (lags, pytest.approx(statistic, rel=1e-8))
+    exact = out["B-C"]
+    assert exact["cointegration_test_statistic"] == -math.inf and exact["cointegration_pvalue_raw"] == 0.0
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_tiles_equal_one_pair_at_a_time(spark, block):
+    rng = np.random.default_rng(7)
+    n = 40
+    days = weekdays("2020-01-01", n)
+    prices, names = {}, [f"T{i}" for i in range(9)]
+    for k, name in enumerate(names):
+        values = np.exp(np.cumsum(rng.normal(0, 0.05, n)))
+        gaps = rng.choice(n, k // 3 * 6, replace=False)
+        prices[name] = [None if i in gaps else float(v) for i, v in enumerate(values)]
+    prices["NIL"] = [None] * n
+    period = Period(days[0], days[-1])
+    vectors = price_vectors(price_panel(price_table(spark, prices, days), period, unique=True), period)
+    listed = [(f"{a}-{b}", a, b, "s", "s") for a, b in itertools.combinations([*names, "NIL"], 2)]
+    pairs = spark.createDataFrame(listed, "pair_id string, ticker_1 string, ticker_2 string, sector_1 string, sector_2 string")
+    out = {r["pair_id"]: r for r in rows(pair_moments(pairs, vectors, block))}
+    assert len(out) == 36
+    for a, b in itertools.combinations(names, 2):
+        both = [(u, v) for u, v in zip(prices[a], prices[b]) if u is not None and v is not None]
+        y, x = np.log(np.array(both)).T
+        dy, dx = np.diff(y), np.diff(x)
+        r = out[f"{a}-{b}"]
+        assert (r["overlap_observations"], r["m_n"]) == (len(y), len(y) - 1)
+        cov = lambda u, v: np.cov(u, v)[0, 1]
+        want = {"mean_y": y.mean(), "mean_x": x.mean(), "v_x": cov(x, x), "c_yx": cov(y, x), "m_yy": cov(y[:-1], y[:-1]),
+                "m_xx": cov(x[:-1], x[:-1]), "m_yx": cov(y[:-1], x[:-1]), "m_dyy": cov(dy, y[:-1]), "m_dyx": cov(dy, x[:-1]),
+                "m_dxy": cov(dx, y[:-1]), "m_dxx": cov(dx, x[:-1]), "m_vdy": cov(dy, dy), "m_vdx": cov(dx, dx), "m_vdyx": cov(dy, dx),
+                "r_yy": cov(np.expm1(dy), np.expm1(dy)), "r_xx": cov(np.expm1(dx), np.expm1(dx)), "r_yx": cov(np.expm1(dy), np.expm1(dx))}
+        assert {k: r[k] for k in want} == {k: pytest.approx(v, rel=1e-9, abs=1e-13) for k, v in want.items()}
+
+
+def test_response_surface_hits_known_critical_values(spark):
+    df = spark.createDataFrame([(t,) for t in (-2.86, -3.34, 5.0, -30.0, None)], "t double")
+    one, two = ([r["p"] for r in rows(with_tau_p(df, "t", "p", k))] for k in (1, 2))
+    assert one[0] == pytest.approx(0.05, abs=0.002) and two[1] == pytest.approx(0.05, abs=0.003)
+    assert one[2:] == [1.0, 0.0, None] and two[2:] == [1.0, 0.0, None]
 
 
 def synthetic(spark, future=True):
