@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.functions.columns import count_business_days, float_text, general_text
+from pairloom.functions.columns import by_date, count_business_days, float_text, general_text
 from pairloom.operators import analytics as A
 from pairloom.operators import backtest as B
 from pairloom.operators import features as X
@@ -431,12 +431,21 @@ def _shape_sql(model: str, forecast: str = "true") -> str:
     return f"SELECT * REPLACE ('{model}' AS model), {forecast} AS forecast FROM predictions WHERE model = 'naive'"
 
 
+def _by_state_space(r):
+    rows = M.evaluation_rows(r.features).withColumns({
+        "h": F.row_number().over(by_date("pair_id", "split")), "source": M.source_of(F.col("split"), FC)})
+    paths = M.likelihood_paths(r.features, rows, FC)
+    return M.prediction_table(rows.join(paths, ["pair_id", "source", "h"], "left"), "arima", r.features, FC)
+
+
 # A sequence ends at each row: training rows of the pair come first, then the rows of the split.
 _LONG = (f"(SELECT count(*) FROM train t WHERE t.pair_id = predictions.pair_id) + row_number() OVER "
          f"(PARTITION BY pair_id, split ORDER BY feature_date) >= {FC.sequence_length}")
-add("m03_arima_other_order",
-    lambda r, s, sf: _finite(M.arima_forecast(r.features, replace(FC, arima_order=(2, 1, 1)))), SHAPE,
-    _shape_sql("arima"))
+for _name, _order in (("m03_arima_2_1_1", (2, 1, 1)), ("m03_arima_2_0_2", (2, 0, 2))):
+    add(_name, lambda r, s, sf, o=_order: M.arima_forecast(r.features, replace(FC, arima_order=o)), PREDICTION)
+# The state-space likelihood by its (1,0,0) case, which the closed form of the twin knows.
+add("m03_arima_by_state_space", lambda r, s, sf: _by_state_space(r), PREDICTION,
+    "SELECT * FROM predictions WHERE model = 'arima'")
 add("m04_boosted_trees", lambda r, s, sf: _finite(r.forecast("boosted_trees")), SHAPE,
     _shape_sql("boosted_trees"))
 add("m05_sequences", lambda r, s, sf: L.sequences(r.features, FC).select(

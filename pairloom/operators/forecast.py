@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import by_date, ratio, top1
+from ..functions.statespace import forecast_paths
 from ..functions.stats import ar1_fit
 from ..params import EVALUATION_SPLITS, ForecastParams
 
@@ -136,8 +137,9 @@ def ar1_parameters(features: DataFrame, p: ForecastParams) -> DataFrame:
 def arima_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
     """Forecast h = 1..n steps from the end of training, per pair and split.
 
-    The default order (1,0,0) has a closed-form path. Other orders fit each pair by
-    lagged least squares in a grouped function over its bounded daily history.
+    For the default order (1,0,0) the likelihood needs six sums per pair and its path has a
+    closed form. Any other order goes through the state-space likelihood, all series of a batch
+    at once; it gives the same numbers for (1,0,0).
     """
     rows = evaluation_rows(features)
     steps = by_date("pair_id", "split")
@@ -147,59 +149,33 @@ def arima_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
         path = F.col("mean") + F.pow(F.col("phi"), F.col("h")) * (F.col("last") - F.col("mean"))
         rows = rows.withColumn("prediction", F.coalesce(path, F.col("last")))
         return prediction_table(rows, "arima", features, p)
-    horizon = rows.groupBy("pair_id", "source").agg(F.max("h").alias("horizon"))
-    series = training_rows(features, p).filter(F.col("spread").isNotNull()).select(
-        "pair_id", "source", "date", "spread")
-    paths = series.join(horizon, ["pair_id", "source"]).groupBy("pair_id", "source").applyInPandas(
-        _order_path(tuple(p.arima_order)), T.StructType([
-            T.StructField("pair_id", T.StringType()), T.StructField("source", T.StringType()),
-            T.StructField("h", T.IntegerType()), T.StructField("prediction", T.DoubleType())]))
-    rows = rows.join(paths, ["pair_id", "source", "h"], "left")
+    rows = rows.join(likelihood_paths(features, rows, p), ["pair_id", "source", "h"], "left")
     return prediction_table(rows, "arima", features, p)
 
 
-def _order_path(order: tuple):
-    """Forecast path of one pair: difference, long autoregression for the shocks,
-    least squares on lags and shocks, then recursion and re-integration."""
-    ar, d, ma = order
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        series, horizon = pdf["spread"].to_numpy(float), int(pdf["horizon"].iloc[0])
-        out = np.full(horizon, series[-1])
-        if len(series) >= max(3, ar + d + ma + 2):
-            x = np.diff(series, d)
-            shocks = np.zeros(len(x))
-            k = max(ar, ma)
-            if ma:
-                long = min(max(2 * k, 4), max(len(x) // 4, 1))
-                lags = np.column_stack([x[long - i - 1:len(x) - i - 1] for i in range(long)])
-                lags = np.column_stack([np.ones(len(lags)), lags])
-                coef, *_ = np.linalg.lstsq(lags, x[long:], rcond=None)
-                shocks[long:] = x[long:] - lags @ coef
-            if len(x) > k + ar + ma + 1:
-                columns = [np.ones(len(x) - k)] if d == 0 else []
-                columns += [x[k - i - 1:len(x) - i - 1] for i in range(ar)]
-                columns += [shocks[k - i - 1:len(x) - i - 1] for i in range(ma)]
-                if columns:
-                    coef, *_ = np.linalg.lstsq(np.column_stack(columns), x[k:], rcond=None)
-                else:
-                    coef = np.zeros(0)
-                values, errors = list(x), list(shocks)
-                for _ in range(horizon):
-                    terms = [1.0] if d == 0 else []
-                    terms += [values[-i - 1] for i in range(ar)]
-                    terms += [errors[-i - 1] for i in range(ma)]
-                    values.append(float(np.dot(coef, terms)) if terms else 0.0)
-                    errors.append(0.0)
-                out = np.asarray(values[len(x):])
-                for level in range(d - 1, -1, -1):
-                    out = np.diff(series, level)[-1] + np.cumsum(out)
-        return pd.DataFrame({
-            "pair_id": pdf["pair_id"].iloc[0], "source": pdf["source"].iloc[0],
-            "h": np.arange(1, horizon + 1, dtype=np.int32), "prediction": out})
-
-    return path
+def likelihood_paths(features: DataFrame, rows: DataFrame, p: ForecastParams) -> DataFrame:
+    """(pair_id, source, h, prediction) by the exact likelihood fit of each training series.
+
+    A series is a pair's daily history, bounded by the calendar, and travels as one array.
+    """
+    order = tuple(p.arima_order)
+    horizon = rows.groupBy("pair_id", "source").agg(F.max("h").alias("horizon"))
+    series = training_rows(features, p).filter(F.col("spread").isNotNull()).groupBy("pair_id", "source").agg(
+        F.array_sort(F.collect_list(F.struct("date", "spread"))).alias("days"))
+    series = series.join(horizon, ["pair_id", "source"]).select(
+        "pair_id", "source", "horizon", F.transform("days", lambda v: v["spread"].cast("double")).alias("series"))
+
+    def run(batches):
+        for batch in batches:
+            values = [np.asarray(v.as_py(), float) for v in batch.column("series")]
+            paths = forecast_paths(values, np.array(batch.column("horizon").to_pylist(), int), order)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("pair_id"), batch.column("source"), pa.array(paths, pa.list_(pa.float64()))],
+                ["pair_id", "source", "path"])
+
+    paths = series.mapInArrow(run, "pair_id string, source string, path array<double>")
+    return paths.select("pair_id", "source", F.posexplode("path").alias("at", "prediction")).select(
+        "pair_id", "source", (F.col("at") + 1).alias("h"), "prediction")
 
 
 # --------------------------------------------------------------------------- metrics
