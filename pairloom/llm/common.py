@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairloom.session import stage_root
+from pairloom.session import remove_folder, stage_root
 
 #: Characters of Unicode White_Space (fixed values). Each match of the split pattern ends
 #: between another character and one of these.
@@ -43,6 +43,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(table: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+        remove_folder(table.sparkSession, folder)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send texts to Python in batches of ``BATCH_ROWS`` rows, unless the session says otherwise.
 

@@ -128,10 +128,7 @@ def test_join_equals_all_pairs(spark, near_texts, block):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(near_texts)], "doc_id long, text string, _set string")
     rows = ngram_join.classify(docs.repartition(3), block=block).select("doc_id", "class_id", "n_links", "n_copies").collect()
     want = brute_classes(near_texts)
-    found, links = sum(r["n_links"] for r in rows), sum(w[2] for w in want)
-    assert len(rows) == len(want) and links > 100 and 0.99 * links <= found <= links
-    if found == links:
-        assert sorted(tuple(r) for r in rows) == sorted(want)
+    assert sum(w[2] for w in want) > 100 and sorted(tuple(r) for r in rows) == sorted(want)
     kept = ngram_join.keep_one(docs, block=block)
     assert kept.columns == docs.columns
     heads = {w[1] for w in want}
@@ -178,6 +175,24 @@ def test_one_document_stays_of_each_class_with_null_and_repeated_ids(spark):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 1, 4]
 
 
+def test_parity_bits_rule_out_no_link():
+    draw = np.random.default_rng(6)
+    sets = []
+    for n in (3, 40, 500, 520, 3000, 3300, 20_000):
+        base = draw.integers(0, 1 << 63, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.2, 0.9):
+            gone = draw.random(n) < share
+            sets.append(np.unique(np.concatenate([base[~gone], draw.integers(0, 1 << 63, int(gone.sum())).astype(np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    width = ngram_join.odd_width(sizes)
+    odd = [np.packbits((np.bincount((s & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1).astype(bool)).tobytes()
+           for s, w in zip(sets, width.tolist())]
+    left, right = np.triu_indices(len(sets), 1)
+    may = ngram_join.may_link(odd, sizes, left, right, 0.8)
+    ok = ngram_join._jaccard_pairs(sets, left, right, 0.8)
+    assert ok.sum() > 10 and may[ok].all() and may.sum() < 2 * ok.sum()
+
+
 def test_matched_depth_shortens_to_the_recall():
     assert ngram_join.matched_depth() == 5
     assert ngram_join.matched_depth(recall=0.5) > 5 and ngram_join.matched_depth(recall=0.9999) < 5
