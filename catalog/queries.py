@@ -446,8 +446,11 @@ for _name, _order in (("m03_arima_2_1_1", (2, 1, 1)), ("m03_arima_2_0_2", (2, 0,
 # The state-space likelihood by its (1,0,0) case, which the closed form of the twin knows.
 add("m03_arima_by_state_space", lambda r, s, sf: _by_state_space(r), PREDICTION,
     "SELECT * FROM predictions WHERE model = 'arima'")
-add("m04_boosted_trees", lambda r, s, sf: _finite(r.forecast("boosted_trees")), SHAPE,
-    _shape_sql("boosted_trees"))
+for _name, _model in (("m04_boosted_trees", "boosted_trees"), ("m05_recurrent", "recurrent"),
+                      ("m05_sequence_regression", "sequence_regression")):
+    add(_name, lambda r, s, sf, m=_model: r.forecast(m), PREDICTION)
+    add(f"{_name}_rows", lambda r, s, sf, m=_model: _finite(r.forecast(m)), SHAPE,
+        _shape_sql(_model, "true" if _model == "boosted_trees" else _LONG))
 add("m05_sequences", lambda r, s, sf: L.sequences(r.features, FC).select(
     "pair_id", "date", F.col("for_split").alias("split"), "phase",
     F.when(F.col("sequence").isNotNull(), F.size("sequence")).alias("length"),
@@ -465,8 +468,6 @@ add("m05_sequences", lambda r, s, sf: L.sequences(r.features, FC).select(
     "CASE WHEN count(*) OVER f = %d THEN sum(v) OVER f END AS total FROM totals "
     "WINDOW f AS (PARTITION BY pair_id, split ORDER BY phase, date ROWS BETWEEN %d PRECEDING AND CURRENT ROW)"
     % (FC.sequence_length, FC.sequence_length * (1 + len(FEATURES)), FC.sequence_length, FC.sequence_length - 1))
-add("m05_sequence_regression", lambda r, s, sf: _finite(r.forecast("sequence_regression")), SHAPE,
-    _shape_sql("sequence_regression", _LONG))
 INPUTS = ["spread"] + FEATURES
 add("m06_m08_fitted_inputs", lambda r, s, sf: L.fitted_inputs(r.features, FC),
     "source column fill:6 mean:6 std:6",
@@ -490,10 +491,14 @@ add("m09_train_validation_for_test",
           THEN avg(spread) OVER f END AS prediction FROM features WHERE split IN ('train', 'validation', 'test')
         WINDOW f AS (PARTITION BY pair_id ORDER BY split = 'test', date
           ROWS BETWEEN {FC.rolling_window} PRECEDING AND 1 PRECEDING)) WHERE split = 'test'""")
-add("m10_all_models",
-    lambda r, s, sf: _finite(reduce(DataFrame.unionByName, [r.forecast(m) for m in Settings().models])),
+def _all_models(r):
+    return reduce(DataFrame.unionByName, [r.forecast(m) for m in Settings().models])
+
+
+add("m10_all_models", lambda r, s, sf: _all_models(r), PREDICTION)
+add("m10_all_models_rows", lambda r, s, sf: _finite(_all_models(r)),
     SHAPE, " UNION ALL ".join(_shape_sql(m, f) for m, f in (
-        ("naive", "prediction IS NOT NULL"), ("arima", "true"), ("boosted_trees", "true"), ("sequence_regression", _LONG)))
+        ("naive", "prediction IS NOT NULL"), ("arima", "true"), ("boosted_trees", "true"), ("recurrent", _LONG)))
     + " UNION ALL SELECT *, prediction IS NOT NULL FROM predictions WHERE model = 'rolling_mean'")
 add("m10_predictions", lambda r, s, sf: r.predictions, PREDICTION, "SELECT * FROM predictions")
 METRIC = ("model split rmse:6 mae:6 directional_accuracy:6 prediction_correlation:6 bias:6 observation_count:i")

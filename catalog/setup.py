@@ -34,7 +34,7 @@ SETTINGS = Settings(
                            spread_volatility_windows=(20,), correlation_windows=(20,),
                            momentum_windows=(5,), volatility_regime_window=20,
                            market_proxy=driver.MARKET),
-    forecasts=ForecastParams(rolling_window=10),
+    forecasts=ForecastParams(rolling_window=10, hidden_size=16, rounds=40),
     signals=SignalParams(entry_z=0.5, exit_z=0.25, stop_loss_z=2.5, max_holding_days=5, z_score_window=60),
     backtest=BacktestParams(max_active_pairs=3, borrow_cost_bps=25.0),
     analytics=AnalyticsParams(risk_free_rate=0.01),

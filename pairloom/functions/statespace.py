@@ -15,7 +15,10 @@ import itertools
 import numpy as np
 
 #: Step of the numerical derivatives and greatest number of Newton steps.
-STEP, STEPS = 1e-4, 60
+STEP, STEPS = 1e-4, 100
+
+#: Starts that are followed to their top.
+CLIMBS = 3
 
 
 def coefficients(partial: np.ndarray) -> np.ndarray:
@@ -97,9 +100,17 @@ class Arma:
             return np.zeros((n, k))
         starts = np.array(list(itertools.product((-0.6, 0.0, 0.6), repeat=k)))
         tried = np.broadcast_to(starts[:, None, :], (len(starts), n, k))
-        best = self.filter(rows, tried)[0]
-        free = starts[np.argmin(best, axis=0)].copy()
-        value = best.min(axis=0)
+        order = np.argsort(self.filter(rows, tried)[0], axis=0, kind="stable")
+        # The likelihood may have several tops: climb from the best few starts.
+        found = [self._climb(starts[order[m]].copy()) for m in range(min(CLIMBS, len(starts)))]
+        best = np.argmin([value for _, value in found], axis=0)
+        return np.stack([free for free, _ in found])[best, rows]
+
+    def _climb(self, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Newton steps from these parameters, and the value they end at."""
+        n, k = free.shape
+        rows = np.arange(n)
+        value = self.filter(rows, free[None])[0][0]
         damp, open_ = np.full(n, 1e-3), np.ones(n, bool)
         unit = np.eye(k) * STEP
         pairs = list(itertools.combinations(range(k), 2))
@@ -132,8 +143,9 @@ class Arma:
             free[at[better]] = trial[pick[better], np.flatnonzero(better)]
             value[at[better]] -= gain[better]
             moved = np.abs(halves[pick, np.arange(len(at))]).max(axis=1)
-            open_[at[~better | ((gain < 1e-10) & (moved < 1e-7))]] = False
-        return free
+            damp[at] = np.where(better, np.maximum(damp[at] / 4, 1e-4), damp[at] * 20)
+            open_[at[(damp[at] > 1e7) | (better & (gain < 1e-10) & (moved < 1e-7))]] = False
+        return free, value
 
     def paths(self, free: np.ndarray, horizons: np.ndarray) -> list[np.ndarray]:
         """Forecasts of each series, as many steps as its horizon says."""

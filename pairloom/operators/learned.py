@@ -1,15 +1,22 @@
-"""Learned forecasts: boosted trees and lagged-sequence regression on Spark ML."""
+"""Learned forecasts: boosted trees, a recurrent cell, and lagged-sequence regression."""
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import number
+from ..functions.recurrent import Adam, Cell
 from ..functions.stats import exact_median
 from ..params import ForecastParams
+from ..session import stage_table
+from . import boosting
 from .forecast import (
     evaluation_rows, prediction_table, served_splits, source_of, training_rows, training_sources,
 )
@@ -89,8 +96,7 @@ def _fit_predict(estimator, train: DataFrame, rows: DataFrame, size: int) -> Dat
 def boosted_tree_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
     """Gradient-boosted trees on all numeric features, fitted on training rows only.
 
-    Spark ML grows each tree with distributed histogram passes, so training data
-    never leaves the executors. Splits that share their training rows share a model.
+    Splits that share their training rows share a model.
     """
     size = len(input_columns(features))
     rows = evaluation_rows(features).withColumn("source", source_of(F.col("split"), p))
@@ -98,13 +104,9 @@ def boosted_tree_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
                      features, p, scale=False).withColumn("label", F.col(p.target))
     out = None
     for source, served in training_sources(p).items():
-        estimator = GBTRegressor(
-            featuresCol="vector", labelCol="label", predictionCol="prediction",
-            maxIter=p.trees, maxDepth=p.tree_depth, stepSize=p.learning_rate,
-            subsamplingRate=p.subsample, featureSubsetStrategy=str(p.column_sample), seed=p.seed)
-        part = _fit_predict(
-            estimator, train.filter(F.col("source") == source),
-            prepared(rows.filter(F.col("split").isin(*served)), features, p, scale=False), size)
+        model = boosting.fit(train.filter(F.col("source") == source), size, p)
+        part = boosting.predicted(
+            prepared(rows.filter(F.col("split").isin(*served)), features, p, scale=False), model)
         out = part if out is None else out.unionByName(part)
     return prediction_table(out, "boosted_trees", features, p)
 
@@ -128,7 +130,7 @@ def sequences(features: DataFrame, p: ForecastParams) -> DataFrame:
 
 
 def sequence_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
-    """Regression on the flattened sequence, in the role of a recurrent network."""
+    """Linear regression on the flattened sequence."""
     size = len(input_columns(features)) * p.sequence_length
     rows = sequences(features, p).withColumnRenamed("sequence", "inputs")
     usable = rows.filter(F.col("inputs").isNotNull())
@@ -145,3 +147,86 @@ def sequence_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
     early = rows.filter((F.col("phase") == 1) & F.col("inputs").isNull()).drop("inputs")
     out = out.unionByName(early.withColumn("prediction", F.lit(None).cast("double")))
     return prediction_table(out.drop("for_split", "phase"), "sequence_regression", features, p)
+
+
+#: Sequences whose steps a task holds at once while it sums gradients.
+SEQUENCES = 2000
+
+
+def _arrays(batch: pa.RecordBatch, name: str, steps: int) -> np.ndarray:
+    flat = batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, steps, -1)
+
+
+def _gradient(table: DataFrame, cell: Cell, flat: np.ndarray, steps: int, centre: float, scale: float):
+    """Loss and gradient over a staged table (sequence, label): each task sums its rows', one aggregate all."""
+    def run(batches):
+        total = np.zeros(cell.size + 1)
+        for batch in batches:
+            for a in range(0, batch.num_rows, SEQUENCES):
+                part = batch.slice(a, SEQUENCES)
+                y = (part.column("label").to_numpy() - centre) / scale
+                loss, slope = cell.gradient(flat, _arrays(part, "sequence", steps), y)
+                total += np.concatenate([[loss], slope])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
+
+    sums = table.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(cell.size + 1)
+    out[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
+    return out[0], out[1:]
+
+
+def fit_recurrent(train: DataFrame, cell: Cell, p: ForecastParams) -> tuple[np.ndarray, float, float] | None:
+    """Parameters of the cell and the target's centre and scale, from rows (sequence, label).
+
+    A round is one pass over the rows: gradients are summed where the rows are and only the
+    parameter vector, whose size does not depend on the data, goes out and comes back. Ends after
+    ``rounds``, or when the loss has not improved for ``patience`` rounds; the best round counts.
+    """
+    train = stage_table(train.select("sequence", F.col("label").cast("double").alias("label")), f"recurrent-{uuid.uuid4().hex[:12]}")
+    n, centre, scale = train.agg(F.count("label"), F.avg("label"), F.stddev_pop("label")).first()
+    if not n:
+        return None
+    scale = scale or 1.0
+    flat, adam = cell.initial(p.seed), Adam(cell.size, p.recurrent_rate)
+    best, least, since = flat, np.inf, 0
+    for _ in range(p.rounds + 1):
+        loss, slope = _gradient(train, cell, flat, p.sequence_length, centre, scale)
+        if loss < least * (1 - 1e-4):
+            best, least, since = flat, loss, 0
+        else:
+            since += 1
+            if since > p.patience:
+                break
+        flat = adam.step(flat, slope / n)
+    return best, centre, scale
+
+
+def recurrent_forecast(features: DataFrame, p: ForecastParams) -> DataFrame:
+    """Long short-term memory over the last L input vectors, trained on training rows only."""
+    width = len(input_columns(features))
+    cell = Cell(width, p.hidden_size)
+    rows = sequences(features, p)
+    usable = rows.filter(F.col("sequence").isNotNull())
+    later = rows.filter("phase = 1")
+    out = None
+    for served in training_sources(p).values():
+        fit = fit_recurrent(usable.filter((F.col("phase") == 0) & (F.col("for_split") == served[0]))
+                            .withColumn("label", F.col(p.target)), cell, p)
+        part = later.filter(F.col("for_split").isin(*served))
+        part = part.select(F.struct(*[c for c in part.columns if c != "sequence"]).alias("row"), "sequence")
+        kind = part.schema["row"].dataType.simpleString()
+
+        def run(batches, fit=fit):
+            for batch in batches:
+                known = batch.column("sequence").is_valid().to_numpy(zero_copy_only=False)
+                made = np.full(batch.num_rows, np.nan)
+                if fit is not None and known.any():
+                    flat, centre, scale = fit
+                    made[known] = centre + scale * cell.predict(
+                        flat, _arrays(batch.filter(pa.array(known)), "sequence", p.sequence_length))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, from_pandas=True)], ["row", "prediction"])
+
+        part = part.mapInArrow(run, f"row {kind}, prediction double").select("row.*", "prediction")
+        out = part if out is None else out.unionByName(part)
+    return prediction_table(out.drop("for_split", "phase"), "recurrent", features, p)

@@ -172,10 +172,18 @@ class ForecastParams:
     learning_rate: float = 0.05
     subsample: float = 0.8
     column_sample: float = 0.8
+    l2: float = 1.0
+    l1: float = 0.0
+    split_price: float = 0.0
+    least_weight: float = 1.0
     seed: int = 42
     missing_strategy: str = "median"
     sequence_length: int = 20
     scale_features: bool = True
+    hidden_size: int = 32
+    rounds: int = 60
+    patience: int = 10
+    recurrent_rate: float = 0.02
 
     def __post_init__(self):
         _require(len(self.arima_order) == 3, "arima_order needs three integers")
@@ -186,6 +194,7 @@ class ForecastParams:
         _require(self.missing_strategy in ("median", "zero"),
                  "missing_strategy must be median or zero")
         _require(self.sequence_length >= 1, "sequence_length must be at least 1")
+        _require(self.hidden_size >= 1 and self.rounds >= 1, "hidden_size and rounds must be at least 1")
 
 
 @dataclass(frozen=True)

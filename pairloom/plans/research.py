@@ -46,7 +46,7 @@ class Settings:
     robustness: RobustnessParams = RobustnessParams()
     regimes: RegimeParams = field(default_factory=RegimeParams)
     # Models of the prediction table; traded ones are a subset.
-    models: tuple = ("naive", "rolling_mean", "arima", "boosted_trees", "sequence_regression")
+    models: tuple = ("naive", "rolling_mean", "arima", "boosted_trees", "recurrent")
     traded: tuple = ()
 
 
@@ -179,11 +179,12 @@ class Research:
 
     def forecast(self, model: str) -> DataFrame:
         makers = {"naive": M.naive_forecast, "rolling_mean": M.rolling_mean_forecast, "arima": M.arima_forecast,
-                  "boosted_trees": L.boosted_tree_forecast, "sequence_regression": L.sequence_forecast}
+                  "boosted_trees": L.boosted_tree_forecast, "recurrent": L.recurrent_forecast,
+                  "sequence_regression": L.sequence_forecast}
         if model not in self._fitted:
             made = makers[model](self.features, self.settings.forecasts)
             # A learned model is fitted when its table is made: once for all that read it.
-            learned = model in ("boosted_trees", "sequence_regression")
+            learned = model in ("boosted_trees", "recurrent", "sequence_regression")
             self._fitted[model] = self._stage(made, f"forecast_{model}") if learned else made
         return self._fitted[model]
 

@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows, weekdays
+from pairloom.functions import statespace
+from pairloom.functions.recurrent import Cell
+from pairloom.operators import boosting
 from pairloom.operators import features as X
 from pairloom.operators import forecast as M
 from pairloom.operators import learned as L
@@ -194,3 +197,174 @@ def test_learned_forecasts_beat_the_mean(spark):
         error = np.array([r["forecast_error"] for r in got])
         actual = np.array([r["actual"] for r in got])
         assert (error ** 2).mean() < 0.5 * actual.var()
+
+
+# ------------------------------------------------------------------ likelihood of any order
+
+def plain_likelihood(x, phi, theta, mean):
+    """Minus twice the log likelihood (without constants) from the covariance matrix itself."""
+    n, long = len(x), 2000
+    psi = np.zeros(long)
+    psi[0] = 1
+    for t in range(1, long):
+        psi[t] = (theta[t - 1] if t <= len(theta) else 0) + sum(f * psi[t - i - 1] for i, f in enumerate(phi) if t > i)
+    gamma = np.array([psi[:long - k] @ psi[k:] for k in range(n)])
+    cov = gamma[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+    root = np.linalg.cholesky(cov)
+    y, one = np.linalg.solve(root, x), np.linalg.solve(root, np.ones(n))
+    y = y - (one @ y) / (one @ one) * one if mean else y
+    return n * math.log(y @ y / n) + 2 * np.log(np.diag(root)).sum()
+
+
+@pytest.mark.parametrize("p, q", [(1, 0), (2, 0), (0, 1), (1, 1), (2, 2)])
+def test_state_space_fit_is_the_best_of_a_grid(p, q):
+    rng = np.random.default_rng(p * 3 + q)
+    series = []
+    for n in (60, 110, 85):
+        e, x = rng.normal(size=n + 100), np.zeros(n + 100)
+        for t in range(2, n + 100):
+            x[t] = 0.6 * x[t - 1] - 0.2 * x[t - 2] + e[t] + 0.4 * e[t - 1]
+        series.append(x[100:] * 3 + 7)
+    arma = statespace.Arma(series, p, q, True)
+    free = arma.fit()
+    value = arma.filter(np.arange(3), free[None])[0][0]
+    phi, theta = arma.model(free)
+    for k, x in enumerate(series):
+        z = (x - arma.shift[k]) / arma.scale[k]
+        assert value[k] == pytest.approx(plain_likelihood(z, phi[k], theta[k], True), abs=1e-8)
+    for size in (1e-3, 1e-2, 0.1, 0.5, 1.0):
+        for _ in range(60):
+            near = arma.filter(np.arange(3), (free + rng.normal(size=free.shape) * size)[None])[0][0]
+            assert (near >= value - 1e-4).all()
+
+
+def test_state_space_equals_the_closed_form(spark):
+    rng = np.random.default_rng(4)
+    x = [2.0]
+    for _ in range(79):
+        x.append(2.0 + 0.7 * (x[-1] - 2.0) + rng.normal(0, 0.3))
+    df = frame(spark, [("train", x), ("validation", [0.0] * 5)])
+    closed = [r["prediction"] for r in rows(M.arima_forecast(df, ForecastParams()), "feature_date")]
+    path = statespace.forecast_paths([np.array(x)], np.array([5]), (1, 0, 0))[0]
+    assert path.tolist() == pytest.approx(closed, abs=1e-6)
+
+
+def test_orders_of_a_batch_do_not_touch_each_other():
+    rng = np.random.default_rng(9)
+    series = [rng.normal(size=n).cumsum() for n in (30, 70, 4)] + [np.full(20, 3.0)]
+    together = statespace.forecast_paths(series, np.array([2, 3, 1, 2]), (2, 1, 1))
+    alone = [statespace.forecast_paths([s], np.array([h]), (2, 1, 1))[0] for s, h in zip(series, (2, 3, 1, 2))]
+    assert [len(x) for x in together] == [2, 3, 1, 2] and together[3].tolist() == [3.0, 3.0]
+    for a, b in zip(together, alone):
+        assert a == pytest.approx(b, abs=1e-6)
+    assert together[2].tolist() == [series[2][-1]]
+
+
+# ------------------------------------------------------------------ boosted trees
+
+def test_split_search_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for penalties in ({}, {"l1": 0.7, "l2": 2.0}, {"split_price": 0.5, "least_weight": 8.0}):
+        p = ForecastParams(**penalties)
+        x, slope = rng.integers(0, 6, (80, 3)), rng.normal(size=80)
+        g, h = np.zeros((3, 6)), np.zeros((3, 6))
+        for f in range(3):
+            np.add.at(g[f], x[:, f], slope)
+            np.add.at(h[f], x[:, f], 1.0)
+
+        def score(s):
+            return max(abs(s.sum()) - p.l1, 0.0) ** 2 / (len(s) + p.l2)
+
+        found = [((score(slope[x[:, f] < b]) + score(slope[x[:, f] >= b]) - score(slope)) / 2 - p.split_price, f, b)
+                 for f in range(3) for b in range(1, 6)
+                 if min((x[:, f] < b).sum(), (x[:, f] >= b).sum()) >= p.least_weight]
+        best = max(found, key=lambda s: s[0])
+        got = boosting.best_split(g, h, p)
+        assert got is None if best[0] <= 0 else got[1:] == best[1:] and got[0] == pytest.approx(best[0])
+
+
+def test_trees_equal_trees_grown_row_by_row(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    y = np.where(x[:, 0] > 0.2, 2.0, -1.0) + x[:, 1] * (x[:, 2] > 0) + rng.normal(size=300) * 0.1
+    p = ForecastParams(trees=4, tree_depth=2, subsample=1.0, column_sample=1.0, learning_rate=0.5)
+    train = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], "inputs array<double>, label double")
+    model = boosting.fit(train.repartition(3), 3, p, bins=16)
+    bins = boosting.binned(x, model.cuts)
+    made = np.full(300, y.mean())
+
+    def leaf(some):
+        return -0.5 * (made[some] - y[some]).sum() / (some.sum() + p.l2)
+
+    def split(some):
+        best = (1e-12, None, None)
+        for f in range(3):
+            for b in range(1, 16):
+                left, right = some & (bins[:, f] < b), some & (bins[:, f] >= b)
+                if left.sum() and right.sum():
+                    s = [(made[k] - y[k]).sum() ** 2 / (k.sum() + p.l2) for k in (left, right, some)]
+                    gain = (s[0] + s[1] - s[2]) / 2
+                    if gain > best[0] + 1e-9:
+                        best = (gain, left, right)
+        return best[1:]
+
+    for _ in range(4):
+        parts = [np.ones(300, bool)]
+        for _ in range(2):
+            parts = [half for some in parts for half in (split(some) if split(some)[0] is not None else [some])]
+        step = np.zeros(300)
+        for some in parts:
+            step[some] = leaf(some)
+        made = made + step
+    assert model.predict(x) == pytest.approx(made, abs=1e-9)
+    assert ((made - y) ** 2).mean() < 0.2 * y.var()
+
+
+def test_draws_keep_their_share():
+    p = ForecastParams(subsample=0.8)
+    shares = [boosting._drawn(np.arange(20_000), t, p).mean() for t in range(3)]
+    assert all(abs(s - 0.8) < 0.02 for s in shares)
+    assert (boosting._drawn(np.arange(100), 0, p) != boosting._drawn(np.arange(100), 1, p)).any()
+
+
+# ------------------------------------------------------------------ recurrent cell
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    cell = Cell(2, 3)
+    flat = cell.initial(1) + rng.normal(size=cell.size) * 0.1
+    x, y = rng.normal(size=(5, 4, 2)), rng.normal(size=5)
+    loss, slope = cell.gradient(flat, x, y)
+    assert loss == pytest.approx(((cell.predict(flat, x) - y) ** 2).sum())
+    step = 1e-6
+    for k in range(cell.size):
+        up, down = flat.copy(), flat.copy()
+        up[k] += step
+        down[k] -= step
+        assert slope[k] == pytest.approx((cell.gradient(up, x, y)[0] - cell.gradient(down, x, y)[0]) / (2 * step), abs=1e-5)
+
+
+def test_recurrent_forecast_beats_linear_regression_and_reads_no_targets(spark):
+    rng = np.random.default_rng(5)
+    x = rng.choice([-1.0, 1.0], 700) + rng.normal(size=700) * 0.05
+    spread = np.zeros(700)
+    spread[2:] = x[1:-1] * x[:-2]  # tomorrow's spread is the product of the last two inputs
+    parts = [("train", spread[:600].tolist()), ("validation", spread[600:].tolist())]
+    df = frame(spark, parts, extra=(lambda i: float(x[i]),))
+    p = ForecastParams(sequence_length=3, hidden_size=8, rounds=120, patience=40, recurrent_rate=0.03)
+    errors = {}
+    for name, make in (("recurrent", L.recurrent_forecast), ("linear", L.sequence_forecast)):
+        got = [r for r in rows(make(df, p)) if r["forecast_error"] is not None]
+        errors[name] = np.mean([r["forecast_error"] ** 2 for r in got])
+    assert errors["recurrent"] < 0.4 * errors["linear"]
+    few = replace(p, rounds=3)
+    blind = df.withColumn(p.target, F.when(F.col("split") == "train", F.col(p.target)))
+    seen, unseen = (rows(L.recurrent_forecast(d, few), "feature_date") for d in (df, blind))
+    assert [r["prediction"] for r in seen] == pytest.approx([r["prediction"] for r in unseen], rel=1e-9)
+    assert all(r["actual"] is None for r in unseen)
+
+
+def test_recurrent_forecast_without_long_sequences(spark):
+    df = frame(spark, [("train", [1.0, 2.0]), ("validation", [1.0])])
+    out = rows(L.recurrent_forecast(df, ForecastParams(sequence_length=9, rounds=2)))
+    assert [r["prediction"] for r in out] == [None]
