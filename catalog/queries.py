@@ -24,7 +24,8 @@ from pairloom.operators import spreads as S
 from pairloom.operators import universe as U
 from pairloom.params import UniverseParams
 from pairloom.plans.research import Settings
-from pairloom.sources import driver, tables
+from pairloom.session import remove_folder
+from pairloom.sources import driver, landing, tables
 
 from .setup import DATA, FORMATION, SETTINGS
 from .shape import Query
@@ -190,6 +191,21 @@ add("s16_land_new_rows",
     "ticker date:d adjusted_close:6 volume:4", f"SELECT * FROM prices WHERE date > DATE '{FORMATION.end}'")
 
 
+def _landing(r, s, sf):
+    """Prices landed in three steps, one of them broken off half-way and one repeated."""
+    root = f"{r.folder}/{r.name}/landing"
+    remove_folder(s, root)
+    early = r.prices.filter(F.col("date") <= F.lit(FORMATION.end))
+    landing.land(early, root)
+    # What a landing leaves that broke off before its manifest: data that no reader may see.
+    r.prices.filter(F.col("date") > F.lit(FORMATION.end)).filter(F.col("volume") > 0).write.parquet(f"{root}/data/batch=broken")
+    landing.land(r.prices, root)
+    return landing.land(r.prices, root)
+
+
+add("s16_landing", _landing, "ticker date:d adjusted_close:6 volume:4", "SELECT * FROM prices")
+
+
 def _sinks(r, s, sf):
     """Every table of every sink, read back whole."""
     root = f"{r.folder}/{r.name}/sinks"
@@ -230,6 +246,18 @@ def _price_files(r, s, sf):
 
 add("s01_price_files", _price_files, f"ticker date:d {BAR}",
     "SELECT * REPLACE (regexp_replace(ticker, '[^A-Za-z0-9_.-]+', '_', 'g') AS ticker) FROM vendor_clean")
+LISTED = ("NATION_3", "  nation_14", "NATION_20 ", "NOWHERE")
+
+
+def _listed_files(r, s, sf):
+    root = f"{r.folder}/{r.name}/listed_files"
+    rows = driver.vendor_rows(s, sf).repartition("ticker").sortWithinPartitions("ticker", "ord")
+    tables.write_table(rows.drop("ord"), root, "csv", ("ticker",))
+    return D.clean_bars(tables.read_price_files(s, root, LISTED), QP)
+
+
+add("s01_listed_price_files", _listed_files, f"ticker date:d {BAR}",
+    "SELECT * FROM vendor_clean WHERE ticker IN ('NATION_3', 'NATION_14', 'NATION_20')")
 add("s02_numbered_listing",
     lambda r, s, sf: tables.normalize_constituents(supplier_listing(s, sf).repartitionByRange(4, "row_no")
                                                    .sortWithinPartitions("row_no").drop("row_no")),

@@ -7,6 +7,8 @@ with rules of their own: unreadable values become missing instead of failing a j
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import day, first_row, lower_text, norm_header, number, number_rows, text, upper_text
@@ -59,13 +61,30 @@ def clean_ticker(ticker: Column) -> Column:
     return F.regexp_replace(F.upper(F.trim(ticker)), r"[^A-Za-z0-9_.-]+", "_")
 
 
-def read_price_files(spark: SparkSession, folder: str) -> DataFrame:
+def price_paths(spark: SparkSession, folder: str, tickers) -> list[str]:
+    """Files and folders of the named tickers, ``<TICKER>.csv`` or ``ticker=<TICKER>``; others are not opened."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    names = sorted({re.sub(r"[^A-Za-z0-9_.-]+", "_", str(t).strip().upper()) for t in tickers if str(t).strip()})
+    out = []
+    for name in names:
+        for path in (f"{folder}/{name}.csv", f"{folder}/ticker={name}"):
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            if target.getFileSystem(conf).exists(target):
+                out.append(path)
+    return out
+
+
+def read_price_files(spark: SparkSession, folder: str, tickers=None) -> DataFrame:
     """A folder of one CSV per ticker as one long table with a source ordinal.
 
-    ``ord`` follows file order, so "the last row of a day" stays well defined.
+    ``ord`` follows file order, so "the last row of a day" stays well defined. With ``tickers``
+    only their files are listed and read; tickers without a file have no rows, and without any
+    file at all the folder's header gives an empty table.
     """
+    paths = [folder] if tickers is None else price_paths(spark, folder, tickers)
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option(
-        "recursiveFileLookup", True).csv(folder)
+        "recursiveFileLookup", True).csv(paths or folder)
+    raw = raw if paths else raw.limit(0)
     raw = raw.select("*", file_ticker(F.input_file_name()).alias("ticker"),
                      F.monotonically_increasing_id().alias("ord"))
     bars = norm_header(raw, ALIASES)

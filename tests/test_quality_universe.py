@@ -8,7 +8,7 @@ from pairloom.functions.columns import business_days, count_business_days
 from pairloom.operators import quality as D
 from pairloom.operators import universe as U
 from pairloom.params import Period, QualityParams, UniverseParams
-from pairloom.sources import tables
+from pairloom.sources import landing, tables
 
 DAYS = weekdays("2020-01-01", 5)
 P = QualityParams(period=Period(DAYS[0], DAYS[-1]), min_history_days=5, max_missing_fraction=0.1)
@@ -117,3 +117,41 @@ def test_scan_rules(spark):
         ("b", False, None), ("naive", True, 1.0)]
     with pytest.raises(tables.MissingColumns):
         tables.normalize_signals(pairs)
+
+
+def test_only_listed_price_files_are_read(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    for name in ("AAA", "B_B", "CCC"):
+        (folder / f"{name}.csv").write_text("Date,Adj Close,Volume\n2020-01-02,10.5,7\n")
+    found = tables.read_price_files(spark, str(folder), [" aaa ", "b/b", "ZZZ", ""])
+    assert {r["ticker"] for r in found.collect()} == {"AAA", "B_B"}
+    assert len(found.inputFiles()) == 2
+    none = tables.read_price_files(spark, str(folder), ["ZZZ"])
+    assert none.columns == found.columns and none.count() == 0
+
+
+def test_landing_twice_and_after_a_broken_landing_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "landing")
+    days = weekdays("2020-01-01", 6)
+    table = lambda data: spark.createDataFrame(data, "ticker string, date date, adjusted_close double, volume double")
+    first = [("A", d, 1.0 + i, 5.0) for i, d in enumerate(days[:3])]
+    more = [("A", d, 9.0, 6.0) for d in days[2:]] + [("B", days[0], 2.0, 1.0), ("B", days[0], 2.0, 1.0), (None, days[0], 1.0, 1.0)]
+    want = {(t, d): p for t, d, p, _ in first}
+    assert {(r["ticker"], r["date"]): r["adjusted_close"] for r in landing.land(table(first), root).collect()} == want
+    table(more).write.parquet(f"{root}/data/batch=broken")  # no manifest: no reader sees it
+    want |= {(t, d): p for t, d, p, _ in more if t and (t, d) not in want}
+    for _ in range(2):
+        got = landing.land(table(more), root)
+        assert got.count() == len(want) and {(r["ticker"], r["date"]): r["adjusted_close"] for r in got.collect()} == want
+    assert landing.manifest(spark, root).count() == 2
+    late = table([("Z", days[5] + dt.timedelta(days=400), 1.0, 1.0)])
+    assert landing.touched(late, root) == [] and landing.touched(table(first), root) != []
+    before = landing.land(table([]), root).count()
+    assert before == len(want) and landing.land(late, root).count() == before + 1
+
+
+def test_last_incoming_row_of_a_key_lands(spark, tmp_path):
+    rows_ = spark.createDataFrame([("A", dt.date(2020, 1, 1), 1.0, 0), ("A", dt.date(2020, 1, 1), 2.0, 1)],
+                                  "ticker string, date date, adjusted_close double, ord long")
+    assert [r["adjusted_close"] for r in landing.land(rows_, str(tmp_path / "x")).collect()] == [2.0]
