@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import latest, ratio
@@ -15,6 +15,10 @@ LEAVE = ("exit", "stop_loss", "force_exit_max_holding")
 ACTIONS = (*ENTER, "hold_long_spread", "hold_short_spread", *LEAVE, "no_action")
 DIRECT_Z = ("predicted_zscore", "predicted_z_score", "prediction_zscore", "prediction_z_score")
 
+#: What tells the chunks of all pairs apart, and the calendar days of a chunk.
+CHUNK = ("run_id", "model", "pair_id", "chunk")
+CHUNK_DAYS = 180
+
 STATE = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("pair_id", T.StringType()),
     T.StructField("ticker_1", T.StringType()), T.StructField("ticker_2", T.StringType()),
@@ -87,48 +91,129 @@ def signal_input(predictions: DataFrame, spreads: DataFrame, zscores: DataFrame,
         "entry_z", "exit_z", "stop_loss_z", "max_holding_days")
 
 
-def walk_states(pdf: pd.DataFrame) -> pd.DataFrame:
-    """State machine of one pair, jumping from trade to trade instead of row to row.
+class Walk:
+    """The state machine over the ordered rows of a chunk, from trade to trade.
 
-    A group is one (run, model, pair), one row per day, so its size is bounded by
-    the calendar.
+    A trade is where it was entered: row ``start`` of this chunk, or -1 - k if it was carried into
+    the chunk after k days. It ends at the first row from then on that stops or leaves it, and at
+    the latest one row after it was held as long as allowed.
     """
-    pdf = pdf.sort_values(["feature_date", "target_date"], kind="stable").reset_index(drop=True)
-    n, hold = len(pdf), int(pdf["max_holding_days"].iloc[0])
-    predicted = pdf["predicted_zscore"].to_numpy(float)
-    size = np.abs(pdf["current_zscore"].to_numpy(float))
-    usable = np.isfinite(size)
-    stop = usable & (size > pdf["stop_loss_z"].iloc[0])
-    leave = np.flatnonzero(stop | (usable & (size < pdf["exit_z"].iloc[0])))
-    enter = np.flatnonzero(np.isfinite(predicted) & (np.abs(predicted) > pdf["entry_z"].iloc[0]))
-    action = np.full(n, "no_action", dtype=object)
-    state = np.full(n, "flat", dtype=object)
-    reason = np.full(n, "", dtype=object)
-    held = np.zeros(n, dtype=np.int64)
-    at = 0
-    while (k := np.searchsorted(enter, at)) < len(enter):
-        start = enter[k]
-        side = "short_spread" if predicted[start] > 0 else "long_spread"
-        j = np.searchsorted(leave, start + 1)
-        natural = leave[j] if j < len(leave) else n
-        forced = start + hold + 1
-        end = min(natural, forced)
-        last = min(end, n)
-        action[start], action[start + 1:last] = f"enter_{side}", f"hold_{side}"
-        state[start:last] = side
-        held[start + 1:min(end + 1, n)] = np.arange(1, min(end + 1, n) - start)
-        if end < n:
-            if natural <= forced:
-                action[end], reason[end] = ("stop_loss", "stop_loss_z") if stop[end] else ("exit", "exit_z")
-            else:
-                action[end], reason[end] = "force_exit_max_holding", "max_holding_days"
-        at = end + 1
-    return pdf.assign(signal_action=action, signal_state=state, holding_days=held,
-                      exit_reason=reason)[STATE.fieldNames()]
-
 
-def generate_signals(inputs: DataFrame) -> DataFrame:
-    return inputs.groupBy("run_id", "model", "pair_id").applyInPandas(walk_states, STATE)
+    def __init__(self, predicted, current, entry_z: float, exit_z: float, stop_z: float, hold: int):
+        size = np.abs(current)
+        usable = np.isfinite(size)
+        self.n, self.hold = len(size), hold
+        self.stop = usable & (size > stop_z)
+        self.leave = np.flatnonzero(self.stop | (usable & (size < exit_z)))
+        self.enter = np.flatnonzero(np.isfinite(predicted) & (np.abs(predicted) > entry_z))
+        self.short = predicted > 0
+
+    def end(self, start: int) -> tuple[int, int]:
+        """First row that would leave the trade, and the row that forces it out."""
+        k = np.searchsorted(self.leave, max(start + 1, 0))
+        return int(self.leave[k]) if k < len(self.leave) else self.n, start + self.hold + 1
+
+    def table(self) -> list[int]:
+        """State after the chunk for every state before it (flat, held 0, 1, ... days).
+
+        0 is flat, 1 + 2 * days + side a trade entered here, -1 - days one that came in and still runs.
+        """
+        after = [0] * (len(self.enter) + 1)
+
+        def flat(at: int) -> int:
+            return after[int(np.searchsorted(self.enter, at))]
+
+        for k in range(len(self.enter) - 1, -1, -1):
+            start = int(self.enter[k])
+            end = min(self.end(start))
+            after[k] = flat(end + 1) if end < self.n else 1 + 2 * (self.n - 1 - start) + int(self.short[start])
+        out = [flat(0)]
+        for days in range(self.hold + 1):
+            end = min(self.end(-1 - days))
+            out.append(flat(end + 1) if end < self.n else -1 - (days + self.n))
+        return out
+
+    def labels(self, before: int) -> tuple[np.ndarray, ...]:
+        """Action, state, days held and exit reason of every row, from the state before the chunk."""
+        n = self.n
+        action, state = np.full(n, "no_action", dtype=object), np.full(n, "flat", dtype=object)
+        reason, held = np.full(n, "", dtype=object), np.zeros(n, dtype=np.int64)
+        at, carried = 0, before > 0
+        while True:
+            if carried:
+                start, short = -1 - (before - 1) // 2, (before - 1) % 2 == 1
+                carried = False
+            else:
+                k = np.searchsorted(self.enter, at)
+                if k == len(self.enter):
+                    return action, state, held, reason
+                start = int(self.enter[k])
+                short = bool(self.short[start])
+            side = "short_spread" if short else "long_spread"
+            natural, forced = self.end(start)
+            end = min(natural, forced)
+            first, last = max(start, 0), min(end, n)
+            if start >= 0:
+                action[start] = f"enter_{side}"
+            action[max(start + 1, 0):last] = f"hold_{side}"
+            state[first:last] = side
+            till = min(end + 1, n)
+            held[max(start + 1, 0):till] = np.arange(max(start + 1, 0), till) - start
+            if end < n:
+                if natural <= forced:
+                    action[end], reason[end] = ("stop_loss", "stop_loss_z") if self.stop[end] else ("exit", "exit_z")
+                else:
+                    action[end], reason[end] = "force_exit_max_holding", "max_holding_days"
+            at = end + 1
+
+
+def _walk(rows: pa.Table) -> tuple[pa.Table, Walk]:
+    """A chunk's rows in order, and their machine."""
+    rows = rows.sort_by([("feature_date", "ascending"), ("target_date", "ascending")])
+    numbers = [rows.column(c).to_numpy().astype(float) for c in ("predicted_zscore", "current_zscore")]
+    return rows, Walk(*numbers, *(rows.column(c)[0].as_py() for c in ("entry_z", "exit_z", "stop_loss_z", "max_holding_days")))
+
+
+def _table_of(rows: pa.Table) -> pa.Table:
+    _, walk = _walk(rows)
+    return pa.table({**{c: rows.column(c).slice(0, 1) for c in CHUNK}, "codes": pa.array([walk.table()], pa.list_(pa.int32()))})
+
+
+def _labels_of(rows: pa.Table) -> pa.Table:
+    rows, walk = _walk(rows)
+    action, state, held, reason = walk.labels(rows.column("before")[0].as_py())
+    made = {"signal_action": pa.array(action, pa.string()), "signal_state": pa.array(state, pa.string()),
+            "holding_days": pa.array(held), "exit_reason": pa.array(reason, pa.string())}
+    return pa.table({c: made[c] if c in made else rows.column(c) for c in STATE.fieldNames()})
+
+
+def generate_signals(inputs: DataFrame, days: int = CHUNK_DAYS) -> DataFrame:
+    """States and actions of every row, per (run, model, pair) in date order.
+
+    A pair's rows are cut into chunks of ``days`` calendar days. A chunk is a function from the
+    state before it to the state after it: one small table, made without knowing the past. The
+    tables of a pair are composed in order, which tells every chunk the state it starts from, and
+    each chunk then labels its own rows. So a pair is as many tasks as it has chunks.
+    """
+    span = F.floor(F.datediff("feature_date", F.lit("1970-01-01").cast("date")) / F.lit(days)).cast("int")
+    rows = inputs.withColumn("chunk", F.coalesce(span, F.lit(2 ** 31 - 1)))  # no date comes last
+    needed = [*CHUNK, "feature_date", "target_date", "predicted_zscore", "current_zscore", "entry_z", "exit_z",
+              "stop_loss_z", "max_holding_days"]
+    tables = rows.select(*needed).groupBy(*CHUNK).applyInArrow(
+        _table_of, "run_id string, model string, pair_id string, chunk int, codes array<int>")
+
+    def after(before, codes):
+        code = F.get(codes, F.when(before > 0, 1 + F.floor((before - 1) / 2)).otherwise(0).cast("int"))
+        carried = 1 + 2 * (-1 - code) + F.pmod(before - 1, F.lit(2))
+        return F.when(code < 0, carried).otherwise(code).cast("int")
+
+    listed = tables.groupBy(*CHUNK[:3]).agg(F.array_sort(F.collect_list(F.struct("chunk", "codes"))).alias("chunks"))
+    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<chunk:int,before:int>>").alias("seen"))
+    told = F.aggregate("chunks", start, lambda a, c: F.struct(
+        after(a["state"], c["codes"]).alias("state"),
+        F.concat(a["seen"], F.array(F.struct(c["chunk"].alias("chunk"), a["state"].alias("before")))).alias("seen")))
+    entries = listed.select(*CHUNK[:3], F.inline(told["seen"]))
+    return rows.join(entries, list(CHUNK)).groupBy(*CHUNK).applyInArrow(_labels_of, STATE)
 
 
 def signal_summary(signals: DataFrame) -> DataFrame:

@@ -18,14 +18,13 @@ SP = SignalParams(z_score_window=60)
 COUNTER = itertools.count()
 
 
+def machine(predicted, current, p=SP):
+    return G.Walk(np.array(predicted, float), np.array(current, float), p.entry_z, p.exit_z, p.stop_loss_z, p.max_holding_days)
+
+
 def walk(predicted, current, p=SP):
-    n = len(predicted)
-    return G.walk_states(pd.DataFrame({
-        "run_id": "r", "pair_id": "A_B", "ticker_1": "A", "ticker_2": "B", "model": "m",
-        "feature_date": DAYS[:n], "target_date": DAYS[1:n + 1], "split": "test", "current_spread": 0.0,
-        "predicted_spread": 0.0, "current_zscore": np.array(current, float),
-        "predicted_zscore": np.array(predicted, float), "entry_z": p.entry_z, "exit_z": p.exit_z,
-        "stop_loss_z": p.stop_loss_z, "max_holding_days": p.max_holding_days}))
+    labels = machine(predicted, current, p).labels(0)
+    return pd.DataFrame(dict(zip(("signal_action", "signal_state", "holding_days", "exit_reason"), labels)))
 
 
 def plain_walk(predicted, current, p):
@@ -52,6 +51,52 @@ def plain_walk(predicted, current, p):
     return out
 
 
+def noisy(draw, n):
+    predicted, current = draw.normal(0, 2, n), draw.normal(0, 1.6, n)
+    predicted[draw.random(n) < 0.1] = np.nan
+    current[draw.random(n) < 0.1] = np.nan
+    return predicted, current
+
+
+def test_chunks_compose_to_the_whole_walk():
+    draw = np.random.default_rng(12)
+    for _ in range(60):
+        n = int(draw.integers(1, 120))
+        predicted, current = noisy(draw, n)
+        p = replace(SP, max_holding_days=int(draw.integers(1, 9)), exit_z=0.3)
+        cuts = [0, *sorted(draw.integers(0, n + 1, 6).tolist()), n]
+        state, got = 0, []
+        for a, b in zip(cuts, cuts[1:]):
+            part = machine(predicted[a:b], current[a:b], p)
+            action, name, held, _ = part.labels(state)
+            got += list(zip(action.tolist(), name.tolist(), held.tolist()))
+            code = part.table()[0 if not state else 1 + (state - 1) // 2]
+            state = 1 + 2 * (-1 - code) + (state - 1) % 2 if code < 0 else code
+        assert got == plain_walk(predicted, current, p)
+
+
+@pytest.mark.parametrize("days", [1, 5, 400])
+def test_signals_over_chunks_of_days(spark, days):
+    draw = np.random.default_rng(3)
+    p = replace(SP, max_holding_days=4, exit_z=0.3)
+    dates = weekdays("2021-01-04", 61)
+    data, want = [], {}
+    for pair in ("A-B", "C-D"):
+        predicted, current = noisy(draw, 60)
+        want[pair] = plain_walk(predicted, current, p)
+        data += [("r", pair, "A", "B", "m", d, e, "test", 0.0, 0.0, None if np.isnan(z) else float(z),
+                  None if np.isnan(f) else float(f), p.entry_z, p.exit_z, p.stop_loss_z, p.max_holding_days)
+                 for d, e, z, f in zip(dates, dates[1:], current, predicted)]
+    data = [data[k] for k in draw.permutation(len(data))]
+    df = spark.createDataFrame(data, (
+        "run_id string, pair_id string, ticker_1 string, ticker_2 string, model string, feature_date date, target_date date, "
+        "split string, current_spread double, predicted_spread double, current_zscore double, predicted_zscore double, "
+        "entry_z double, exit_z double, stop_loss_z double, max_holding_days int"))
+    out = rows(G.generate_signals(df, days), "pair_id", "feature_date")
+    for pair in want:
+        assert [(r["signal_action"], r["signal_state"], r["holding_days"]) for r in out if r["pair_id"] == pair] == want[pair]
+
+
 def test_entries_exits_and_stops():
     assert walk([-2.5, -2.5], [1.2, 0.2])["signal_action"].tolist() == ["enter_long_spread", "exit"]
     out = walk([2.5, 0.0], [1.0, -3.5])
