@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .columns import ratio
@@ -172,3 +173,67 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str, margin: f
     return ranked.groupBy(*keys).agg(
         ((F.min(F.when(F.col("upto") >= low, F.col("v"))) + F.min(F.when(F.col("upto") >= high, F.col("v"))))
          / 2).alias(out))
+
+
+# --------------------------------------------------------------------------- expanding quantiles
+
+class Ranks:
+    """Counts of seen values by rank (a binary indexed tree): insert and k-th value in log n."""
+
+    def __init__(self, values: np.ndarray):
+        self.sorted = np.unique(values)
+        self.rank = np.searchsorted(self.sorted, values)
+        self.tree = [0] * (len(self.sorted) + 1)
+        self.top = 1 << max(0, len(self.sorted).bit_length() - 1)
+        self.size = 0
+
+    def insert(self, rank: int) -> None:
+        self.size += 1
+        at = rank + 1
+        while at < len(self.tree):
+            self.tree[at] += 1
+            at += at & -at
+
+    def kth(self, k: int) -> float:
+        """Value with ``k`` seen values before it in order."""
+        at, step = 0, self.top
+        while step:
+            if at + step < len(self.tree) and self.tree[at + step] <= k:
+                at += step
+                k -= self.tree[at]
+            step >>= 1
+        return float(self.sorted[at])
+
+    def quantile(self, q: float) -> float | None:
+        """Linear interpolation between the neighbours of rank q * (n - 1); None of nothing."""
+        if not self.size:
+            return None
+        position = q * (self.size - 1)
+        low, high = math.floor(position), math.ceil(position)
+        a = self.kth(low)
+        return a if low == high else (high - position) * a + (position - low) * self.kth(high)
+
+
+def expanding_quantiles(df: DataFrame, keys: tuple, order: str, value: str, quantiles: dict) -> DataFrame:
+    """``df`` with, per row, quantiles of the known values of all earlier rows of its series.
+
+    A series (``keys``) is bounded by the calendar and one task's; it costs n log n.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(order, "ascending")])
+        known = rows.column(value).is_valid().to_numpy()
+        numbers = rows.column(value).to_numpy(zero_copy_only=False).astype(float)
+        seen = Ranks(numbers[known])
+        ranks = iter(seen.rank.tolist())
+        out = {name: [] for name in quantiles}
+        for there in known.tolist():
+            for name, q in quantiles.items():
+                out[name].append(seen.quantile(q))
+            if there:
+                seen.insert(next(ranks))
+        for name, values in out.items():
+            rows = rows.append_column(name, pa.array(values, pa.float64()))
+        return rows
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, DOUBLE) for n in quantiles]])
+    return df.groupBy(*keys).applyInArrow(run, schema)

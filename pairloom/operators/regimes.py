@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import float_text, full_window
+from ..functions.stats import expanding_quantiles
 from ..params import AnalyticsParams, RegimeParams, label_name
 from .analytics import (
     ALL, RETURN_METRICS, drawdown_series, equity_frame, exposure_metrics, return_metrics,
@@ -57,9 +58,8 @@ def market_features(proxy: DataFrame, p: RegimeParams, trading_days: int = 252)
             F.percentile("realized_volatility", F.lit(q)).alias(n) for n, q in _quantiles(p)])
         rows = rows.join(F.broadcast(bounds))  # one row
     else:
-        history = w.rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumns({
-            n: F.percentile("realized_volatility", F.lit(q)).over(history) for n, q in _quantiles(p)})
+        rows = expanding_quantiles(rows.withColumn("series", F.lit(p.market_proxy)), ("series",), "date",
+                                   "realized_volatility", dict(_quantiles(p))).drop("series")
     if p.enable_bull_bear:
         price = F.lag("adjusted_close").over(w)
         mean = full_window(F.avg("adjusted_close"), F.col("adjusted_close"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows, weekdays
 from pairloom.functions.columns import float_text, general_text
+from pairloom.functions.stats import Ranks, expanding_quantiles
 from pairloom.operators import analytics as A
 from pairloom.operators import regimes as E
 from pairloom.operators import report as T
@@ -236,3 +237,31 @@ def test_report_fallbacks(spark):
     assert rows(T.metric_row(frame, missing, "all"))[0]["model"] == "b"
     assert rows(T.metric_row(frame, metrics.select(F.lit("a").alias("model")), "all"))[0]["sharpe_ratio"] == 1.0
     assert rows(T.metric_row(frame, missing, "holdout_2025"))[0]["split"] == "test"
+
+
+def test_expanding_quantiles_of_many_series_equal_plain_ones(spark):
+    draw = np.random.default_rng(4)
+    day = dt.date(2000, 1, 1)
+    data = {}
+    for k in range(6):
+        values = np.round(draw.normal(size=300), 1 if k % 2 else 6)
+        data[f"s{k}"] = [None if draw.random() < 0.1 else float(v) for v in values]
+    listed = [(k, day + dt.timedelta(days=i), v) for k, vs in data.items() for i, v in enumerate(vs)]
+    listed = [listed[i] for i in draw.permutation(len(listed))]
+    df = spark.createDataFrame(listed, "k string, date date, v double")
+    out = expanding_quantiles(df, ("k",), "date", "v", {"low": 0.25, "high": 0.9}).collect()
+    assert len(out) == 1800
+    for r in out:
+        before = [v for v in data[r["k"]][:(r["date"] - day).days] if v is not None]
+        assert r["v"] == data[r["k"]][(r["date"] - day).days]
+        want = (np.quantile(before, 0.25), np.quantile(before, 0.9)) if before else (None, None)
+        assert (r["low"], r["high"]) == (pytest.approx(want) if before else want)
+
+
+def test_ranks_cost_no_more_than_a_logarithm():
+    n = 20_000
+    values = np.random.default_rng(1).normal(size=n)
+    ranks = Ranks(values)
+    for r in ranks.rank.tolist():
+        ranks.insert(r)
+    assert ranks.quantile(0.37) == pytest.approx(np.quantile(values, 0.37)) and len(ranks.tree) == n + 1
