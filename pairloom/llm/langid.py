@@ -43,8 +43,11 @@ SMOOTH = 0.05
 WORDS = 200_000
 UNKNOWN = "und"
 MARK = "▁"
-#: Letters of a word; a longer run is cut there, which keeps products above the smallest double.
-LETTERS = re.compile(r"[^\W\d_]{1,32}")
+#: A word: a run of letters of any length.
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters up to which products of probabilities stay above the smallest double; longer words
+#: are summed by their logarithms.
+PLAIN = 33
 
 
 def read_pieces(data: bytes) -> list[str]:
@@ -67,12 +70,9 @@ class Lattice:
         most = min(longest or max(map(len, index), default=1), n)
         self.n, self.unknown = n, len(index)
         get, unknown = index.get, len(index)
-        flat = []
-        for w in words:
-            for i in range(n):
-                for k in range(most):
-                    flat.append(get(w[i - k:i + 1], unknown if k == 0 else -1) if k <= i else -1)
-        self.ids = np.array(flat, np.int32).reshape(len(words), n, most)
+        codes = (get(w[i - k:i + 1], unknown if k == 0 else -1) if k <= i else -1
+                 for w in words for i in range(n) for k in range(most))
+        self.ids = np.fromiter(codes, np.int32, len(words) * n * most).reshape(len(words), n, most)
 
     def forward(self, probs: np.ndarray) -> np.ndarray:
         """Sum over all cuts of the first i characters, for each i, word and language.
@@ -87,15 +87,44 @@ class Lattice:
                 alpha[i + 1] += probs[self.ids[:, i, k]] * alpha[i - k]
         return alpha
 
+    def log_forward(self, logs: np.ndarray, backward: bool = False) -> np.ndarray:
+        """Logarithms of the same sums (``backward``: over the cuts of what follows each character)."""
+        m, n, most = self.ids.shape
+        out = np.full((n + 1, m, logs.shape[1]), -np.inf)
+        out[n if backward else 0] = 0.0
+        for i in range(n):
+            if backward:
+                begin = n - 1 - i  # pieces that start here end at begin + k
+                terms = [logs[self.ids[:, begin + k, k]] + out[begin + k + 1] for k in range(min(most, i + 1))]
+            else:
+                terms = [logs[self.ids[:, i, k]] + out[i - k] for k in range(min(most, i + 1))]
+            out[begin if backward else i + 1] = np.logaddexp.reduce(terms)
+        return out
+
     def log_words(self, probs: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
+        if self.n > PLAIN:
+            with np.errstate(divide="ignore"):
+                return self.log_forward(np.log(probs))[self.n]
         return np.log(self.forward(probs)[self.n])
 
     def expected(self, probs: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected number of each piece, words weighted; probs has one language."""
         m, n, most = self.ids.shape
-        alpha = self.forward(probs)[:, :, 0]
         p = probs[:, 0]
+        if n > PLAIN:
+            with np.errstate(divide="ignore"):
+                logs = np.log(probs)
+            ahead, behind = self.log_forward(logs)[:, :, 0], self.log_forward(logs, True)[:, :, 0]
+            out = np.zeros(len(p))
+            for i in range(n):
+                for k in range(min(most, i + 1)):
+                    ids = self.ids[:, i, k]
+                    share = np.exp(ahead[i - k] + logs[ids, 0] + behind[i + 1] - ahead[n])
+                    out += np.bincount(ids % len(p), share * weights, len(p))
+            out[-1] = 0.0
+            return out
+        alpha = self.forward(probs)[:, :, 0]
         beta = np.zeros((n + 1, m))
         beta[n] = 1.0
         for i in range(n - 1, -1, -1):
@@ -205,21 +234,24 @@ def train(labelled: DataFrame, vocabulary: str | None = None, per_language: int
     """Fit on ``labelled`` (doc_id, text, lang); None without labelled rows."""
     common.small_batches(labelled.sparkSession)
     pieces = read_pieces(common.file_bytes(vocabulary or public_tokenizers.path(VOCABULARY)))
-    rows = labelled.filter(F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").alias("_lang"))
+    rows = labelled.filter(F.col("lang").isNotNull()).select(
+        "doc_id", "text", F.col("lang").alias("_lang"), F.xxhash64(common.text_or_empty()).alias("_mark"))
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return None
     # The smallest hashes of each language: hashes under a bound that leaves about twice as many
     # rows as wanted, so that few rows meet in a language's window whatever the corpus.
-    smallest = Window.partitionBy("_lang").orderBy("_hash", "doc_id")
+    smallest = Window.partitionBy("_lang").orderBy("_hash", "doc_id", "_mark")
     bound = F.create_map(*[x for lang, n in counts.items() for x in (
         F.lit(lang), F.lit(min(1 << 31, (2 * per_language + 100) * (1 << 31) // n)))])
-    ids = (rows.select("doc_id", "_lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("_hash"))
+    ids = (rows.select("doc_id", "_lang", "_mark", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("_hash"))
            .filter(F.col("_hash") <= bound[F.col("_lang")])
            .withColumn("_k", F.row_number().over(smallest)).filter(F.col("_k") <= per_language)
-           .select("doc_id", "_lang").distinct())
-    sample = rows.join(F.broadcast(ids), ["doc_id", "_lang"]).select("_lang", "text")
+           .select("doc_id", "_lang", "_mark").distinct())
+    # Of repeated rows one counts, so a language's sample is as small as it says.
+    sample = rows.join(F.broadcast(ids), ["doc_id", "_lang", "_mark"]).dropDuplicates(
+        ["doc_id", "_lang", "_mark"]).select("_lang", "text")
 
     def count_words(batches):
         seen: dict[str, Counter] = {}

@@ -2,8 +2,8 @@
 
 Lines are the text of a page between tags and line feeds, trimmed, without scripts, styles and
 comments. Within a host (of the URL, lower case), a line's pages are divided by the host's
-pages; a line above ``ratio`` on at least ``min_pages`` pages is boilerplate there and is
-dropped wherever the host has it.
+pages; a line above ``ratio`` is boilerplate there and is dropped wherever the host has it. A line
+on one page only repeats nothing and stays: on hosts of up to three pages it too is above 0.3.
 
 A page counts a line once. Counts combine before the shuffle, so a very common line or a host
 with a third of all pages is a row per task. A host has at most (lines per page) / ratio such
@@ -23,7 +23,7 @@ from pairloom.llm.exact import join_salted
 from pairloom.llm.quality import BLANKS
 
 RATIO = 0.3
-MIN_PAGES = 3
+MIN_PAGES = 2
 MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
 
 
@@ -74,7 +74,7 @@ WITH p AS (
 l AS (SELECT host, unnest(list_distinct(lines)) AS line FROM p),
 n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 b AS (SELECT l.host, line FROM l JOIN n ON l.host = n.host GROUP BY l.host, line, pages
-      HAVING count(*) >= 3 AND count(*) > pages * 0.3),
+      HAVING count(*) >= 2 AND count(*) > pages * 0.3),
 e AS (SELECT k, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM p),
 s AS (SELECT e.k, string_agg(e.line, chr(10) ORDER BY place) AS text, count(*) AS n FROM e JOIN p ON e.k = p.k
       WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.host = p.host AND b.line = e.line) GROUP BY e.k)

@@ -1,9 +1,13 @@
 """Main text of web pages, with nearest-URL page differencing for what markup leaves open.
 
-A page is read tag by tag. Scripts, styles, comments and elements that are never the article
-(menus, footers, sidebars, forms, and elements whose class, id or role says advert, notice,
-reader comments and the like) are left out. If the page has an article or main element, its
-blocks are the text. Otherwise every block outside those elements is open: the page is paired
+A page is read tag by tag with a stack of its open block elements; elements whose end tag is left
+out (p, li, td, option, ...) end where the next one or their parent does. Scripts, styles, comments
+and elements that are never the article (menus, footers, sidebars, forms, and block elements with
+a class, id or role that is a word for advert, notice, reader comments and the like, an article of
+that kind too) are left out; such a word inside a longer name (no-sidebar) says nothing, nor does
+it on an element inside a line. An element left out that turns out to hold the page's article is
+taken back. If the page has an article or main element, its blocks are the text: markup decides,
+and differencing is the fallback for pages without one. There every block outside those elements is open: the page is paired
 with the page of its host whose list of blocks differs and whose URL path is nearest in order (of
 the one before and the one after, that with the longer common start), the two lists of blocks are
 aligned by a longest common subsequence, and the shared blocks are deleted.
@@ -43,12 +47,25 @@ INLINE = ("a abbr acronym b bdi bdo big cite code data del dfn em font i img inp
           "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr").split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 
-#: Words of a class, id or role that mark an element as something else than the article.
-OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|sponsor|sponsored|promo|banner|menu|nav|navbar|"
-    r"navigation|breadcrumb|breadcrumbs|sidebar|footer|masthead|cookie|cookies|consent|notice|notices|alert|"
-    r"popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comment|"
-    r"comments|commentlist|respond|reply|replies|disqus|contentinfo|complementary)(?:$|[\s_-])", re.I)
+#: Block elements that end where one of these begins, up to the nearest of the second list (fixed
+#: lists of the markup language). A p also ends where any block begins.
+ENDED_BY = {
+    "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option optgroup", "select datalist"),
+    "optgroup": ("option optgroup", "select"), "td": ("td th", "table"), "th": ("td th", "table"), "tr": ("tr td th", "table"),
+    "thead": ("tr td th tbody tfoot thead caption colgroup", "table"), "tbody": ("tr td th tbody tfoot thead caption colgroup", "table"),
+    "tfoot": ("tr td th tbody tfoot thead caption colgroup", "table"),
+}
+ENDED_BY = {name: (frozenset(ends.split()), frozenset(till.split())) for name, (ends, till) in ENDED_BY.items()}
+#: A p is not looked for beyond these.
+HOLDS = frozenset("td th caption table object button".split())
+
+#: Classes, ids and roles that mark a block as something else than the article.
+OTHER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb "
+    "breadcrumbs sidebar footer masthead cookie cookies cookie-banner cookie-notice consent notice notices alert popup modal "
+    "newsletter subscribe signup login search share sharing social social-share share-buttons related related-posts "
+    "related-articles recommended comment comments comment-list commentlist comments-area comment-form respond reply replies "
+    "disqus disqus_thread contentinfo complementary sidebar-left sidebar-right ad-container ad-slot site-footer site-nav".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -57,26 +74,51 @@ TOKEN = re.compile(
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
+def _says_other(rest: str) -> bool:
+    """Is a whole word of the element's class, id or role one of ``OTHER``?"""
+    return any(word in OTHER for t in MARKED.findall(rest) for x in t if x for word in x.lower().split())
+
+
 def blocks(page: str) -> tuple[bool, list[str], list[str]]:
     """Has the page a main element, the blocks inside it, the open blocks outside."""
     inside: list[str] = []
     outside: list[str] = []
     held: list[str] = []
-    skip, skip_depth = "", 0
-    main, main_depth, found = "", 0, False
+    # Open block elements: name and what they are (1 left out, 2 the article, 0 neither).
+    names: list[str] = []
+    kinds: list[int] = []
+    skips = mains = 0
+    found = False
 
     def close() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                (inside if main else outside).append(text)
+                (inside if mains else outside).append(text)
+
+    def pop(size: int) -> None:
+        nonlocal skips, mains
+        for kind in kinds[size:]:
+            skips -= kind == 1
+            mains -= kind == 2
+        del names[size:], kinds[size:]
+
+    def end_open(ends, till) -> None:
+        """End the innermost open elements of ``ends``, as far as the nearest of ``till``."""
+        size = len(names)
+        for k in range(len(names) - 1, -1, -1):
+            if names[k] in till or kinds[k] == 2:
+                break
+            if names[k] in ends:
+                size = k
+        pop(size)
 
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
         cut = m.start() if m else len(page)
-        if cut > at and not skip:
+        if cut > at and not skips:
             held.append(page[at:cut])
         if not m:
             break
@@ -93,28 +135,39 @@ def blocks(page: str) -> tuple[bool, list[str], list[str]]:
             elif name != "head":
                 at = len(page)
             continue
-        if skip:
-            if name in MAIN and not ending and not main and skip in ("nav", "header", "aside", "menu", "footer"):
-                skip = ""  # an element left open before the article
-            else:
-                if name == skip:
-                    skip_depth += -1 if ending else not rest.endswith("/")
-                    skip = skip if skip_depth else ""
-                continue
-        if name not in INLINE:
+        if name in INLINE:
+            continue
+        if not skips:
             close()
-        if name == main:
-            main_depth += -1 if ending else 1
-            if not main_depth:
-                main = ""
-        elif name in MAIN and not ending and not main:
-            main, main_depth, found = name, 1, True
-        elif not ending and name not in VOID and not rest.endswith("/"):
-            words = " ".join(x for t in MARKED.findall(rest) for x in t if x)
-            if name in NEVER or name == "header" and not main or words and name != "body" and OTHER.search(words):
-                close()
-                skip, skip_depth = name, 1
-    close()
+        if ending:
+            for k in range(len(names) - 1, -1, -1):
+                if names[k] == name:
+                    pop(k)
+                    break
+                if kinds[k] == 2 and name not in ("body", "html"):
+                    break  # a stray end does not leave the article
+            continue
+        if name in VOID or rest.endswith("/"):
+            continue
+        if name in ENDED_BY:
+            end_open(*ENDED_BY[name])
+        end_open(("p",), HOLDS)
+        other = name != "body" and _says_other(rest)
+        kind = 0
+        if name in MAIN and not other and not mains:
+            if skips and not found:  # what was left out holds the article, or was never ended
+                kinds[:] = [0] * len(kinds)
+                skips = 0
+            if not skips:
+                kind, found = 2, True
+        elif name in NEVER or other or name == "header" and not mains:
+            kind = 1
+        names.append(name)
+        kinds.append(kind)
+        skips += kind == 1
+        mains += kind == 2
+    if not skips:
+        close()
     return found, inside, outside
 
 

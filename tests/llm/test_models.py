@@ -44,6 +44,48 @@ def test_forward_sums_all_segmentations():
     assert expected == pytest.approx(counts)
 
 
+def test_long_words_are_summed_whole():
+    assert langid.marked_words("ab" * 35 + " x") == ["ab" * 35, "x"]
+    pieces = ["a", "ab", "aba", "b", "ba", "bab"]
+    index = {p: i for i, p in enumerate(pieces)}
+    draw = np.random.default_rng(7)
+    probs = np.vstack([draw.random((len(pieces) + 1, 2)) * 0.3, np.zeros((1, 2))])
+    words = ["".join(draw.choice(["a", "b"], 60)) for _ in range(3)]
+    lattice = langid.Lattice(index, words)
+    assert lattice.n > langid.PLAIN
+    assert lattice.log_words(probs) == pytest.approx(np.log(lattice.forward(probs)[lattice.n]), rel=1e-12)
+    plain = sum(langid.Lattice(index, [w]).expected(probs[:, :1], np.array([2.0])) for w in words)
+    assert lattice.expected(probs[:, :1], np.full(3, 2.0)) == pytest.approx(plain)
+    limit, langid.PLAIN = langid.PLAIN, 100
+    try:
+        assert lattice.expected(probs[:, :1], np.full(3, 2.0)) == pytest.approx(plain, rel=1e-10)
+    finally:
+        langid.PLAIN = limit
+    far = langid.Lattice(index, ["ab" * 3000]).log_words(probs)
+    assert np.isfinite(far).all() and (far < -2000).all()
+
+
+def test_predictions_equal_plain_sums_over_whole_documents(spark):
+    rows = [(i, f"der und die das nicht {i}", "de") for i in range(12)] + [(20 + i, f"the and of that is {i}", "en") for i in range(12)]
+    texts = {50: "Das ist the Haus, und " + "donaudampf" * 6 + "!", 51: "of that und die", 52: "the the the of is zzz"}
+    docs = spark.createDataFrame(rows + [(k, t, None) for k, t in texts.items()], "doc_id long, text string, lang string")
+    model = langid.learn_from(docs)
+    index = {p: i for i, p in enumerate(model.pieces)}
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for k, text in texts.items():
+        total = np.array(model.priors, float).copy()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            marked = langid.MARK + word
+            sums = [[1.0] * len(model.languages)]
+            for end in range(1, len(marked) + 1):
+                sums.append([sum(model.probs[index.get(marked[a:end], len(index) if end - a == 1 else -1), lang] * sums[a][lang]
+                                 for a in range(end)) for lang in range(len(model.languages))])
+            total += np.log(sums[-1])
+        best = int(np.argmax(total))
+        assert got[k]["lang_pred"] == model.languages[best]
+        assert got[k]["score"] == pytest.approx(1 / np.exp(total - total[best]).sum(), rel=1e-6)
+
+
 def test_long_pieces_are_used():
     pieces = langid.read_pieces(langid.common.file_bytes(langid.public_tokenizers.path(langid.VOCABULARY)))
     assert {"▁function", "▁different", "▁information"} <= set(pieces)
@@ -190,7 +232,8 @@ def test_parity_bits_rule_out_no_link():
     left, right = np.triu_indices(len(sets), 1)
     may = ngram_join.may_link(odd, sizes, left, right, 0.8)
     ok = ngram_join._jaccard_pairs(sets, left, right, 0.8)
-    assert ok.sum() > 10 and may[ok].all() and may.sum() < 2 * ok.sum()
+    near = np.minimum(sizes[left], sizes[right]) >= 0.8 * np.maximum(sizes[left], sizes[right])
+    assert ok.sum() > 10 and may[ok].all() and may[near].sum() < 2 * ok.sum()
 
 
 def test_matched_depth_shortens_to_the_recall():

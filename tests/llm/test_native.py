@@ -118,7 +118,7 @@ def test_line_dedup_equals_brute_force(spark):
     seen = Counter((h, x) for h, r in zip(host, rows) for x in set(lines_of(r[2])))
     want = []
     for h, r in zip(host, rows):
-        stay = [x for x in lines_of(r[2]) if not (seen[h, x] >= 3 and seen[h, x] > 0.3 * pages_of[h])]
+        stay = [x for x in lines_of(r[2]) if not (seen[h, x] >= 2 and seen[h, x] > 0.3 * pages_of[h])]
         want.append((r[0], len(lines_of(r[2])), len(lines_of(r[2])) - len(stay), "\n".join(stay)))
     got = [tuple(r) for r in line_dedup.clean_pages(pages).collect()]
     assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 50
