@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but
 the last return the columns of documents. No stage reads anything but ``docs``.
+
+A document without text (null or empty) has no words and no language: the first two stages drop
+it. Of rows with equal texts one stays, that with the largest doc_id (null is the smallest), of
+repeated rows one; of near-duplicates the one with the smallest doc_id and text hash. Documents
+of any length are worked on whole. An empty table passes through as an empty one. Further columns
+are carried along, whatever their names, but for the last stage, which returns places of pieces.
 """
 
 from __future__ import annotations
