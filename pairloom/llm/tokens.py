@@ -17,7 +17,7 @@ import numpy as np
 from pairloom.llm import common
 
 #: Units and their characters that a worker remembers before it drops those seen once.
-UNITS, UNIT_CHARS = 600_000, 48 << 20
+UNITS, UNIT_CHARS = 1_200_000, 48 << 20
 
 #: New units that go to the library as one text.
 GROUP = 2000

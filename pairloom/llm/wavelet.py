@@ -3,8 +3,9 @@
 A shard holds the ids of consecutive documents. Bit plane ``k`` holds bit ``k`` of every id,
 ordered stably by the bits above it; ``zeros`` of a plane is where its ones go on the next
 one. Each plane is packed to bits, with the number of ones before each block of ``BLOCK`` bits,
-so that rank and select touch one block per plane. Planes are compressed apart, so a reader
-inflates only those it walks through.
+so that rank and select touch one block per plane. Planes are compressed in pieces of ``PIECE``
+bytes, each apart, and a reader inflates a piece when it first touches it: a lookup needs the
+head of the file and a few pieces, whatever the shard's size.
 
 Files are written by the tasks of a job into the shared folder through pyarrow's file systems
 (local, HDFS, object stores), under names that a repeated task gives again, and moved into
@@ -15,8 +16,10 @@ gives the end id alone. An empty table gives no file. Other columns are left out
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -30,19 +33,42 @@ from pairloom.session import stage_root
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK = 2048
+#: Bytes of a plane that are compressed together.
+PIECE = 1 << 16
 SHARD_TOKENS = 4 << 20
-MAGIC = b"PLWM0001"
+MAGIC = b"PLWM0002"
 HEAD = "<8sQQQHqq"
 MANIFEST = "part int, shard int, path string, docs long, tokens long"
 
 
-def pack_plane(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A plane's bits in bytes, and the ones before each block (and the total at the end)."""
-    packed = np.packbits(bits, bitorder="little")
-    whole = np.zeros(-(-max(len(bits), 1) // BLOCK) * BLOCK // 8, np.uint8)
+def count_ones(packed: np.ndarray) -> np.ndarray:
+    """Ones of a plane's bytes before each block, and the total at the end."""
+    whole = np.zeros(-(-max(8 * len(packed), 1) // BLOCK) * BLOCK // 8, np.uint8)
     whole[:len(packed)] = packed
-    ones = np.bitwise_count(whole.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.int64)
-    return packed, np.concatenate([[0], np.cumsum(ones)])
+    ones = np.bitwise_count(whole.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
+    return np.concatenate([[0], np.cumsum(ones)])
+
+
+class Plane:
+    """Packed bits of a plane in compressed pieces, inflated when touched."""
+
+    def __init__(self, pieces: list[bytes], size: int):
+        self.pieces, self.size, self.open = pieces, size, {}
+
+    def piece(self, k: int) -> np.ndarray:
+        import zstandard
+
+        if k not in self.open:
+            self.open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.pieces[k]), np.uint8)
+        return self.open[k]
+
+    def __getitem__(self, cut: slice) -> np.ndarray:
+        start, stop = cut.start or 0, min(self.size, self.size if cut.stop is None else cut.stop)
+        first, last = start // PIECE, max(start, stop - 1) // PIECE
+        if first == last and first < len(self.pieces):
+            return self.piece(first)[start - first * PIECE:stop - first * PIECE]
+        parts = [self.piece(k) for k in range(first, min(last + 1, len(self.pieces)))]
+        return np.concatenate([np.zeros(0, np.uint8), *parts])[start - first * PIECE:stop - first * PIECE]
 
 
 class WaveletMatrix:
@@ -59,18 +85,24 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids, doc_ids=(), null=(), sizes=(), part=0, shard=0):
+        """Planes by one stable partition a level, between two arrays that change places."""
         ids = np.asarray(ids)
         levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        cur = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+        kind = np.uint16 if levels <= 16 else np.uint32
+        cur, spare = ids.astype(kind), np.empty(len(ids), kind)
         planes, zeros, ranks = [], [], []
         for level in range(levels - 1, -1, -1):
-            bits = (cur >> level & 1).astype(bool)
-            packed, ones = pack_plane(bits)
-            low = cur[~bits]
+            bits = (cur & kind(1 << level)) != 0
+            packed = np.packbits(bits, bitorder="little")
+            ones = count_ones(packed)
+            low = len(ids) - int(ones[-1])
+            if level:
+                np.compress(bits, cur, out=spare[low:])
+                np.compress(~bits, cur, out=spare[:low])
+                cur, spare = spare, cur
             planes.append(packed)
             ranks.append(ones)
-            zeros.append(len(low))
-            cur = np.concatenate([low, cur[bits]])
+            zeros.append(low)
         return cls(len(ids), planes, zeros, ranks, np.asarray(doc_ids, np.int64),
                    np.asarray(null, np.uint8), np.asarray(sizes, np.int64), part, shard)
 
@@ -81,13 +113,16 @@ class WaveletMatrix:
         blobs = [press(np.asarray(self.doc_ids, "<i8").tobytes()), press(np.asarray(self.null, "u1").tobytes()),
                  press(np.asarray(self.sizes, "<i8").tobytes())]
         for packed, ones in zip(self.planes, self.ranks):
-            blobs += [press(packed.tobytes()), press(ones.astype("<i8").tobytes())]
+            whole = packed[0:-(-self.n // 8)]
+            blobs.append(press(ones.astype("<i8").tobytes()))
+            blobs += [press(whole[a:a + PIECE].tobytes()) for a in range(0, len(whole), PIECE)]
         head = struct.pack(HEAD, MAGIC, self.n, len(self.doc_ids), len(blobs), self.levels, self.part, self.shard)
         table = np.array([*self.zeros, *map(len, blobs)], "<i8").tobytes()
         return b"".join([head, table, *blobs])
 
     @classmethod
     def from_bytes(cls, data: bytes):
+        """A shard whose planes are still compressed; only the head and the counts are read."""
         import zstandard
 
         magic, n, n_docs, n_blobs, levels, part, shard = struct.unpack_from(HEAD, data)
@@ -97,14 +132,15 @@ class WaveletMatrix:
         table = np.frombuffer(data, "<i8", levels + n_blobs, at)
         at += table.nbytes
         inflate = zstandard.ZstdDecompressor().decompress
-        blobs = []
-        for size in table[levels:].tolist():
-            blobs.append(inflate(data[at:at + size]) if size else b"")
-            at += size
-        planes = [np.frombuffer(b, np.uint8) for b in blobs[3::2]]
-        ranks = [np.frombuffer(b, "<i8") for b in blobs[4::2]]
-        return cls(n, planes, table[:levels].tolist(), ranks, np.frombuffer(blobs[0], "<i8")[:n_docs],
-                   np.frombuffer(blobs[1], np.uint8), np.frombuffer(blobs[2], "<i8"), part, shard)
+        ends = at + np.cumsum(table[levels:])
+        view = memoryview(data)
+        blobs = [view[a:b] for a, b in zip([at, *ends[:-1].tolist()], ends.tolist())]
+        size = -(-n // 8)
+        each = 1 + -(-size // PIECE)
+        planes = [Plane(blobs[3 + k * each + 1:3 + (k + 1) * each], size) for k in range(levels)]
+        ranks = [np.frombuffer(inflate(blobs[3 + k * each]), "<i8") for k in range(levels)]
+        return cls(n, planes, table[:levels].tolist(), ranks, np.frombuffer(inflate(blobs[0]), "<i8")[:n_docs],
+                   np.frombuffer(inflate(blobs[1]), np.uint8), np.frombuffer(inflate(blobs[2]), "<i8"), part, shard)
 
     def bits(self, level: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         stop = self.n if stop is None else stop
@@ -169,19 +205,31 @@ class WaveletMatrix:
         """All ids in order: the planes undone from the lowest up."""
         kind = np.uint16 if self.levels <= 16 else np.uint32
         cur = np.zeros(self.n, kind)
+        out = np.empty(self.n, kind)
         for k in range(self.levels - 1, -1, -1):
-            bits = self.bits(k).astype(bool)
-            out = np.empty(self.n, kind)
-            out[~bits] = cur[:self.zeros[k]]
-            out[bits] = cur[self.zeros[k]:] | kind(1 << (self.levels - 1 - k))
-            cur = out
+            bits = self.bits(k).view(bool)
+            cur[self.zeros[k]:] |= kind(1 << (self.levels - 1 - k))
+            out[np.flatnonzero(bits)] = cur[self.zeros[k]:]
+            out[np.flatnonzero(~bits)] = cur[:self.zeros[k]]
+            cur, out = out, cur
         return cur
 
 
-def _write_file(root: str, name: str, data: bytes) -> str:
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with the scheme and host of the file system that Spark itself would use for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _store(root: str):
     from pyarrow import fs
 
-    store, folder = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+    # Hadoop writes local paths as file:/..., which is a scheme without a host.
+    return fs.FileSystem.from_uri(root.replace("file:/", "file:///", 1) if re.match("file:/[^/]", root) else root)
+
+
+def _write_file(root: str, name: str, data: bytes) -> str:
+    store, folder = _store(root)
     attempt = f"{folder}/_{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(attempt) as out:
         out.write(data)
@@ -189,19 +237,14 @@ def _write_file(root: str, name: str, data: bytes) -> str:
     return f"{root}/{name}"
 
 
-def _make_folder(root: str) -> None:
-    from pyarrow import fs
-
-    store, folder = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-    store.create_dir(folder, recursive=True)
-
-
 def write_shards(docs: DataFrame, root: str, vocabulary: str | None = None, end_id: int = END_ID,
                  shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) in doc_id order; one manifest row per file."""
     common.small_batches(docs.sparkSession)
     data = common.file_bytes(vocabulary or public_tokenizers.path(VOCABULARY))
-    _make_folder(root)
+    root = qualified(docs.sparkSession, root)
+    store, folder = _store(root)
+    store.create_dir(folder, recursive=True)
 
     def run(batches):
         encoder, part, shard = tokens.encoder(data), TaskContext.get().partitionId(), 0
@@ -238,8 +281,11 @@ def write_shards(docs: DataFrame, root: str, vocabulary: str | None = None, end_
     return common.stage(ordered.mapInArrow(run, MANIFEST), "token-shards")
 
 
-def read_shards(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens and its ids (binary, uint32)."""
+def read_shards(spark: SparkSession, root: str, manifest: DataFrame, digest: bool = False) -> DataFrame:
+    """One row per document from the files: doc_id, start, n_tokens and its ids (binary, uint32).
+
+    With ``digest`` the ids stay in the task that read them, and ids_crc32 tells about them.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.plwm").load(root).select("content"))
 
     def run(batches):
@@ -253,15 +299,21 @@ def read_shards(spark: SparkSession, root: str, manifest: DataFrame) -> DataFram
                     b = min(a + 2000, len(ends))
                     blob = ids[starts[a]:ends[b - 1]].tobytes()
                     cuts = (np.concatenate([starts[a:b], ends[b - 1:b]]) - starts[a]) * 4
-                    binary = pa.Array.from_buffers(pa.binary(), b - a, [
-                        None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(blob)])
+                    if digest:
+                        view, ends_at = memoryview(blob), cuts.tolist()
+                        value = pa.array([zlib.crc32(view[x:y]) for x, y in zip(ends_at, ends_at[1:])], pa.int64())
+                    else:
+                        value = pa.Array.from_buffers(pa.binary(), b - a, [
+                            None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(blob)])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(matrix.doc_ids[a:b], pa.int64(), mask=matrix.null[a:b].astype(bool)),
                         pa.array(np.full(b - a, matrix.part, np.int32)), pa.array(np.full(b - a, matrix.shard, np.int32)),
-                        pa.array(starts[a:b]), pa.array(matrix.sizes[a:b]), binary],
-                        ["doc_id", "part", "shard", "inner", "n_tokens", "ids"])
+                        pa.array(starts[a:b]), pa.array(matrix.sizes[a:b]), value],
+                        ["doc_id", "part", "shard", "inner", "n_tokens", name])
 
-    docs = files.mapInArrow(run, "doc_id long, part int, shard int, inner long, n_tokens long, ids binary")
+    name = "ids_crc32" if digest else "ids"
+    docs = files.mapInArrow(run, "doc_id long, part int, shard int, inner long, n_tokens long, "
+                            + ("ids_crc32 long" if digest else "ids binary"))
     # Where each file starts: sums inside a writing task, then over one row per writing task.
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     tasks = manifest.groupBy("part").agg(F.sum("tokens").alias("_sum"))
@@ -270,12 +322,11 @@ def read_shards(spark: SparkSession, root: str, manifest: DataFrame) -> DataFram
     begins = manifest.join(tasks, "part").select(
         "part", "shard", (F.col("_task") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("_begin"))
     return docs.join(begins, ["part", "shard"]).select(
-        "doc_id", (F.col("_begin") + F.col("inner")).alias("start"), "n_tokens", "ids")
+        "doc_id", (F.col("_begin") + F.col("inner")).alias("start"), "n_tokens", name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document written to shards and read back from them."""
     root = f"{stage_root(spark)}/llm/shards-{uuid.uuid4().hex[:12]}"
     manifest = write_shards(common.read_table(spark, sf_dir, "documents"), root)
-    return read_shards(spark, root, manifest).select(
-        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_shards(spark, root, manifest, digest=True)

@@ -100,6 +100,37 @@ def test_shards_read_back_in_order(spark, docs, library, tmp_path, shard_tokens)
         assert bytes(r["ids"]) == np.array(ids, "<u4").tobytes()
         at += len(ids)
     assert manifest.agg({"tokens": "sum"}).first()[0] == at
+    told = wavelet.read_shards(spark, root, manifest, digest=True).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in told] == [
+        (r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(bytes(r["ids"]))) for r in rows]
+
+
+def test_root_without_a_scheme_lies_where_spark_looks(spark, docs, tmp_path):
+    root = f"{tmp_path}/plain"
+    assert wavelet.qualified(spark, root).startswith("file:") and wavelet.qualified(spark, f"file://{root}").endswith("/plain")
+    manifest = wavelet.write_shards(docs.select("doc_id", "text"), root)
+    assert wavelet.read_shards(spark, root, manifest).count() == len(TEXTS) + 1
+
+
+def test_a_lookup_inflates_a_few_pieces():
+    draw = np.random.default_rng(5)
+    ids = draw.integers(0, 3000, 3_000_000).astype(np.uint32)
+    data = wavelet.WaveletMatrix.build(ids).to_bytes()
+    matrix = wavelet.WaveletMatrix.from_bytes(data)
+    pieces = sum(len(p.pieces) for p in matrix.planes)
+    assert not any(p.open for p in matrix.planes) and pieces > 60
+    assert matrix.access(1_234_567) == ids[1_234_567]
+    assert 0 < sum(len(p.open) for p in matrix.planes) <= 2 * matrix.levels
+    at = matrix.select(17, 40)
+    assert ids[at] == 17 and (ids[:at] == 17).sum() == 40 == matrix.rank(17, at)
+    assert (matrix.decode() == ids).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 8, 9, 2047, 2048, 2049, 8 * wavelet.PIECE, 8 * wavelet.PIECE + 1])
+def test_planes_of_every_size_are_read_back(n):
+    ids = np.random.default_rng(n).integers(0, 300, n).astype(np.uint32)
+    matrix = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+    assert (matrix.decode() == ids).all() and (not n or matrix.access(n - 1) == ids[-1])
 
 
 def test_shards_of_an_empty_table(spark, docs, tmp_path):
@@ -160,10 +191,14 @@ def test_plan_covers_all_ranks_without_overlap():
             assert used >= -(-small // size)
 
 
-def test_hashes_are_those_of_the_contract(spark):
-    text = "Grüße  aus\nBerlin"
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    row = bpe.decode(bpe.encode(docs)).first()
-    ids = codec().encoding.encode_ordinary(text)
-    assert hashlib.sha256(",".join(map(str, row["ids"])).encode()).hexdigest() == hashlib.sha256(
-        ",".join(map(str, ids)).encode()).hexdigest()
+def test_registered_query_hashes_what_the_library_says(spark, docs, tmp_path):
+    docs.select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = codec().encoding
+    rows = bpe.query(spark, str(tmp_path)).collect()
+    assert len(rows) == len(TEXTS) + 1
+    for r in rows:
+        text = TEXTS[r["doc_id"]] or ""
+        ids = plain.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
