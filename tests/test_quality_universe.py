@@ -155,3 +155,12 @@ def test_last_incoming_row_of_a_key_lands(spark, tmp_path):
     rows_ = spark.createDataFrame([("A", dt.date(2020, 1, 1), 1.0, 0), ("A", dt.date(2020, 1, 1), 2.0, 1)],
                                   "ticker string, date date, adjusted_close double, ord long")
     assert [r["adjusted_close"] for r in landing.land(rows_, str(tmp_path / "x")).collect()] == [2.0]
+
+
+def test_row_numbers_follow_a_range_partitioning_with_sampled_borders(spark):
+    n = 6000
+    listing = spark.range(0, n, 1, 6).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("ticker"), *[
+        F.lit("x").alias(c) for c in ("company_name", "sector", "industry")])
+    listing = listing.repartition(1).repartitionByRange(4, "ticker").sortWithinPartitions("ticker")
+    got = tables.normalize_constituents(listing).select("ticker", "row_no").collect()
+    assert sorted((r["row_no"], int(r["ticker"])) for r in got) == [(i, i) for i in range(n)]
