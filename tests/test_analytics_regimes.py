@@ -157,6 +157,13 @@ def test_number_texts(spark):
         assert r["v"] is None or r["six"] == f"{r['v']:.6g}", r
 
 
+def test_six_digits_round_the_exact_value(spark):
+    values = [1000.005, -1000.005, 2.0000005, 0.30000045, 1.0000035e-7, 100000.5, 0.0, -0.0, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", general_text(F.col("v")).alias("six"), float_text(F.col("v")).alias("whole")).collect():
+        assert r["six"] == ("0" if r["v"] == 0 else f"{r['v']:.6g}") and r["whole"] == repr(r["v"])
+
+
 def test_summary_without_validation_explains_itself(spark):
     out = {r["summary_item"]: r["notes"] for r in rows(R.robustness_summary(
         results(spark, [("s1", "test", 2.0, -0.1, 1.5, 0.0)]), RobustnessParams()))}

@@ -159,8 +159,8 @@ def test_last_incoming_row_of_a_key_lands(spark, tmp_path):
 
 def test_row_numbers_follow_a_range_partitioning_with_sampled_borders(spark):
     n = 6000
-    listing = spark.range(0, n, 1, 6).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("ticker"), *[
-        F.lit("x").alias(c) for c in ("company_name", "sector", "industry")])
-    listing = listing.repartition(1).repartitionByRange(4, "ticker").sortWithinPartitions("ticker")
+    listing = spark.range(0, n, 1, 1).select("id", F.col("id").cast("string").alias("ticker"), *[
+        F.concat(F.lit(c), "id").alias(c) for c in ("company_name", "sector", "industry")])
+    listing = listing.repartitionByRange(4, "id").sortWithinPartitions("id").drop("id")
     got = tables.normalize_constituents(listing).select("ticker", "row_no").collect()
     assert sorted((r["row_no"], int(r["ticker"])) for r in got) == [(i, i) for i in range(n)]
