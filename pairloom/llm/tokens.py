@@ -10,15 +10,20 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 from pairloom.llm import common
 
 #: Units and their characters that a worker remembers before it drops those seen once.
 UNITS, UNIT_CHARS = 1_200_000, 48 << 20
 
+#: Which bytes are white space by themselves.
+ASCII_SPACE = np.zeros(256, bool)
+ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
 #: New units that go to the library as one text.
 GROUP = 2000
 
@@ -39,6 +44,8 @@ class Texts:
         self.units = re.compile(f"[{common.SPACES}]*[^{common.SPACES}]+|[{common.SPACES}]+")
         self.spaces = frozenset(filter(re.compile(f"[{common.SPACES}]").match, map(chr, range(0x3001))))
         self.unsure = re.compile(common.UNSURE)
+        # Texts whose units are not found by the white space of ASCII alone.
+        self.odd = re.compile(f"[{common.WIDE_SPACES}{common.UNSURE[1:-1]}]")
         self.forget()
 
     def forget(self, keep: np.ndarray | None = None) -> None:
@@ -62,24 +69,52 @@ class Texts:
             keep = np.flatnonzero(self.used > 1)
             self.forget(keep if len(keep) <= self.most // 2 and self.chars <= UNIT_CHARS else None)
 
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, set[str]]:
+        """Distinct units, the unit at each place of the texts, how many each text has, and uncut texts.
+
+        Units are slices of the texts' bytes, which Arrow tells apart: no string is made for a
+        unit that returns within the batch.
+        """
+        blob = "".join(texts).encode("utf-8")
+        sizes = np.array([len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        space = ASCII_SPACE[np.frombuffer(blob, np.uint8)]
+        first = np.zeros(len(blob), bool)
+        first[1:] = space[1:] & ~space[:-1]
+        whole = set()
+        for i, t in enumerate(texts):
+            if self.odd.search(t):
+                a, b = int(begins[i]), int(ends[i])
+                first[a:b] = False
+                if self.unsure.search(t):
+                    whole.add(t)
+                else:
+                    lengths = [len(u.encode("utf-8")) for u in self.units.findall(t)]
+                    first[a + np.cumsum(lengths)[:-1]] = True
+        first[begins[sizes > 0]] = True
+        starts = np.flatnonzero(first)
+        offsets = np.append(starts, len(blob)).astype(np.int32)
+        made = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(blob)]).dictionary_encode()
+        each = np.diff(np.searchsorted(starts, np.append(begins, len(blob))))
+        return made.dictionary.to_numpy(zero_copy_only=False).tolist(), made.indices.to_numpy(), each, whole
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         self.make_room()
-        whole = {t for t in texts if self.unsure.search(t)}
-        cut = [[t] if t in whole else self.units.findall(t) for t in texts]
-        flat = list(chain.from_iterable(cut))
-        codes = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
+        units, at, each, whole = self.cut(texts)
+        codes = np.fromiter(map(self.at.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(codes < 0)
         if len(missing):
-            new = [flat[i] for i in missing.tolist()]
-            self.learn(list(dict.fromkeys(new)), whole)
+            new = [units[i] for i in missing.tolist()]
+            self.learn(new, whole)
             codes[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
-        self.used += np.bincount(codes, minlength=len(self.used))
+        self.used[codes] += np.bincount(at, minlength=len(codes))
+        codes = codes[at]
         sizes = self.sizes[codes]
         ids = self.ids[common.spread(self.starts[codes], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        last = np.cumsum([len(u) for u in cut])
-        return ids, np.diff(np.concatenate([[0], ends[last]]))
+        return ids, np.diff(np.concatenate([[0], ends[np.cumsum(each)]]))
 
     def learn(self, units: list[str], whole: set[str]) -> None:
         """Encode new units, joined to longer texts wherever that leaves their borders.

@@ -68,6 +68,17 @@ def test_units_give_the_ids_of_the_whole_text(library):
         assert ids[a:b].tolist() == library(text), repr(text[:80])
 
 
+def test_a_batch_names_each_unit_once(library):
+    encoder = tokens.Texts(common.file_bytes(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["to be or  not to be", "", "or not\u00a0to be\u3000", "or\x1c not", " \x85 be \n", "\0 to be"]
+    units, at, each, whole = encoder.cut(texts)
+    assert len(set(units)) == len(units) < len(at) and whole == {"or\x1c not"} and len(each) == len(texts)
+    ends = np.cumsum(each)
+    assert ["".join(units[k] for k in at[a:b]) for a, b in zip(ends - each, ends)] == texts
+    ids, sizes = encoder.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in library(t)] and sizes.tolist() == [len(library(t)) for t in texts]
+
+
 def test_wavelet_matrix_against_a_plain_list():
     draw = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 1), (5000, 7), (9000, 50_000)):
