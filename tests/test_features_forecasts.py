@@ -327,8 +327,42 @@ def test_draws_keep_their_share():
     assert (boosting._drawn(np.arange(100), 0, p) != boosting._drawn(np.arange(100), 1, p)).any()
 
 
+def jobs_of(spark, group, run):
+    """What ``run()`` returns and how many jobs it took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_a_level_of_a_tree_is_one_job(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(5000, 3))
+    y = np.sin(3 * x[:, 0]) + x[:, 1] * (x[:, 2] > 0)
+    train = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], "inputs array<double>, label double").repartition(3)
+    p = ForecastParams(trees=27, tree_depth=2, learning_rate=0.2)
+    _, few = jobs_of(spark, "few trees", lambda: boosting.fit(train, 3, replace(p, trees=7), bins=16))
+    model, many = jobs_of(spark, "many trees", lambda: boosting.fit(train, 3, p, bins=16))
+    assert many - few == 2 * 20 + 1  # and one that renews the sum of the trees
+    assert np.mean((model.predict(x) - y) ** 2) < 0.3 * y.var()
+
+
 # ------------------------------------------------------------------ recurrent cell
 
+def test_a_round_of_the_recurrent_cell_is_one_job(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(5000, 3, 2))
+    train = spark.createDataFrame([(v.reshape(-1).tolist(), float(v[1, 0])) for v in x], "sequence array<double>, label double")
+    cell, p = Cell(2, 3), ForecastParams(sequence_length=3, rounds=12)
+    _, few = jobs_of(spark, "few rounds", lambda: L.fit_recurrent(train, cell, replace(p, rounds=2)))
+    (flat, centre, scale), many = jobs_of(spark, "many rounds", lambda: L.fit_recurrent(train, cell, p))
+    assert many - few == 10
+    y = x[:, 1, 0]
+    assert (centre, scale) == pytest.approx((y.mean(), y.std()))
+    assert np.mean((centre + scale * cell.predict(flat, x) - y) ** 2) < y.var()
+
+
 def test_gradient_equals_differences():
     rng = np.random.default_rng(3)
     cell = Cell(2, 3)
