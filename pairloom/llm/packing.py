@@ -30,6 +30,8 @@ from pairloom.llm import common, tokens
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SIZE = 2048
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 19
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
 
@@ -46,7 +48,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
     def run(batches):
         encoder, part = tokens.encoder(data, units), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE_BYTES):
             flat, each = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             total = each + 1
             ends = np.cumsum(total)

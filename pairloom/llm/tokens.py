@@ -27,6 +27,9 @@ ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: New units that go to the library as one text.
 GROUP = 2000
 
+#: Texts that go to the library at once: what it returns takes far more room than their ids.
+BATCH = 8
+
 
 class Texts:
     """Encoder of one tokenizer file."""
@@ -128,8 +131,9 @@ class Texts:
         joined = [u for u in units if u not in odd] if odd else units
         units = [*joined, *alone]
         groups = ["".join(joined[i:i + GROUP]) for i in range(0, len(joined), GROUP)] + alone
-        found = self.library.encode_batch_fast(groups, add_special_tokens=False)
-        order = np.concatenate([np.asarray(e.ids, np.uint32) for e in found])
+        order = np.concatenate([
+            np.asarray(e.ids, np.uint32) for i in range(0, len(groups), BATCH)
+            for e in self.library.encode_batch_fast(groups[i:i + BATCH], add_special_tokens=False)])
         bytes_of = byte_lengths(units)
         ends = np.searchsorted(np.cumsum(self.width[order]), np.cumsum(bytes_of)) + 1
         sizes = np.diff(np.concatenate([[0], ends]))

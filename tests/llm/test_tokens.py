@@ -213,3 +213,29 @@ def test_registered_query_hashes_what_the_library_says(spark, docs, tmp_path):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_library_gets_few_texts_at_once_and_memory_goes_back_after_a_task(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from pairloom.llm import common, tokens
+
+    made = tokens.Texts(common.file_bytes(public_tokenizers.path("byte_bpe_50k.json")))
+    library, sizes = made.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **settings):
+            sizes.append(len(texts))
+            return library.encode_batch_fast(texts, **settings)
+
+    made.library = Counted()
+    text = " ".join(f"w{i} {i * 7919}" for i in range(40_000))
+    ids, each = made.encode([text])
+    assert len(sizes) > 1 and max(sizes) <= 8
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and each.tolist() == [len(ids)]
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", None])], ["text"])
+    assert sum(b.num_rows for b in common.slices(iter([batch, batch]), "text", 1)) == 6
+    assert calls == [1]
