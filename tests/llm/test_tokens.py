@@ -216,11 +216,8 @@ def test_registered_query_hashes_what_the_library_says(spark, docs, tmp_path):
 
 
 def test_library_gets_few_texts_at_once_and_memory_goes_back_after_a_task(monkeypatch):
-    import public_tokenizers
     import pyarrow as pa
 
-    from pairloom.llm import common, tokens
-
     made = tokens.Texts(common.file_bytes(public_tokenizers.path("byte_bpe_50k.json")))
     library, sizes = made.library, []
 
